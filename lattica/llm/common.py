@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -70,3 +72,19 @@ def cuts(data: bytes, least: int, bits: int, most: int) -> list[int]:
     if at < n:
         out.append(n)
     return out
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple]:
+    """(key, iterator of the other columns' values) for each run of rows of equal ``key``, in sorted input.
+
+    Rows are read as they are needed, so a group may be larger than memory.
+    """
+
+    def rows() -> Iterator[tuple]:
+        for b in batches:
+            k = b.schema.get_field_index(key)
+            cols = [b.column(i).to_pylist() for i in range(b.num_columns)]
+            yield from zip(cols[k], zip(*(c for i, c in enumerate(cols) if i != k), strict=True), strict=True)
+
+    for own, members in groupby(rows(), itemgetter(0)):
+        yield own, (r for _, r in members)

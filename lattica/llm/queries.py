@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import chat, credentials, langid, media
+from lattica.llm import bpe, chat, credentials, langid, media, packing
 from lattica.tables import load
 
+#: The tokenizer of the queries.
+TOKENIZER = "word_bpe_49k.json"
+
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(load(spark, sf_dir, "documents"))
@@ -22,3 +26,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.secret_digest(load(spark, sf_dir, "documents"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(load(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(load(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
