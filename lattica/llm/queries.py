@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import bpe, chat, credentials, langid, media, packing
+from lattica.llm import bpe, chat, credentials, langid, media, minhash, packing, sketch
 from lattica.tables import load
 
 #: The tokenizer of the queries.
@@ -34,3 +34,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(load(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(load(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.compared_with_next(load(spark, sf_dir, "documents"))
