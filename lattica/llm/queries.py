@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import bpe, chat, credentials, langid, media, minhash, packing, sketch
+from lattica.llm import bpe, chat, credentials, langid, media, minhash, packing, quality, sketch
 from lattica.tables import load
 
 #: The tokenizer of the queries.
@@ -42,3 +42,7 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.compared_with_next(load(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classified(load(spark, sf_dir, "documents"))

@@ -29,9 +29,9 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text's index, hash) of every shingle of every text, in order; repeats are kept."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text's index, hash, size in bytes) of every word of every text, in order."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     data = np.frombuffer(b"\n".join([*texts, b""]).lower(), np.uint8)
     if not len(data):
         return none
@@ -40,15 +40,19 @@ def shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(edge == 1)
     if not len(starts):
         return none
-    ends = np.flatnonzero(edge == -1)  # the last byte is a line feed
-    sizes = ends - starts
+    sizes = np.flatnonzero(edge == -1) - starts  # the last byte is a line feed
     inside = np.flatnonzero(word)
     at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     place = np.arange(len(inside)) - np.repeat(at, sizes)
     terms = (data[inside].astype(np.uint64) + np.uint64(1)) * _powers(int(sizes.max()))[place]
     hashes = mix(np.add.reduceat(terms, at) + sizes.astype(np.uint64) * _GOLD)
     bounds = np.cumsum([len(t) + 1 for t in texts])
-    owner = np.searchsorted(bounds, starts, "right")
+    return np.searchsorted(bounds, starts, "right"), hashes, sizes
+
+
+def shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text's index, hash) of every shingle of every text, in order; repeats are kept."""
+    owner, hashes, _ = word_hashes(texts)
     counts = np.bincount(owner, minlength=len(texts))
     first = np.concatenate([[0], np.cumsum(counts)[:-1]])
     n = np.where(counts >= k, counts - k + 1, (counts > 0).astype(counts.dtype))
