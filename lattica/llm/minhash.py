@@ -171,3 +171,10 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     out = marks.select("doc_id", "n_shingles", "set_digest").join(classes, "set_digest", "left").join(labels, F.col("rep") == F.col("node"), "left")
     found = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"))
+
+
+def without_near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with one row of each group, that of the smallest key; rows without a key stay."""
+    gone = near_duplicates(df, words, percent, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    rest = df.join(gone, df[id_col].cast("long") == F.col("_gone"), "left_anti")
+    return rest.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(rest.where(F.col(id_col).isNull()))

@@ -238,19 +238,22 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: i
     return Model(posterior, accuracy, share, train(grams, dense, target))
 
 
+def _scores(m: Model, texts: list[str | None], threshold: float) -> tuple[list[float], np.ndarray]:
+    """Posterior and score of each text; without evidence none is rejected."""
+    data = [(t or "").encode() for t in texts]
+    values, words = measures(data)
+    weak = [m.posterior.get(c, m.share) for c in _patterns(values, words).tolist()]
+    score = m.scorer(data) if m.scorer is not None else np.array(weak)
+    return weak, np.where(words >= WORDS, score, np.maximum(score, threshold))
+
+
 def scored(df: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, weak_label (posterior of good), score, kept (score of the threshold at least)."""
     own = df.sparkSession.sparkContext.broadcast(model)  # DIMS weights and 3 ** labellers posteriors at most
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = own.value
         for part in slices(batches, most=2 << 20):
-            data = [t.encode() for t in part.column(1).to_pylist()]
-            values, words = measures(data)
-            codes = _patterns(values, words).tolist()
-            weak = [m.posterior.get(c, m.share) for c in codes]
-            score = m.scorer(data) if m.scorer is not None else np.array(weak)
-            score = np.where(words >= WORDS, score, np.maximum(score, threshold))  # no evidence, no rejection
+            weak, score = _scores(own.value, part.column(1).to_pylist(), threshold)
             yield table(_FULL, part.column(0), weak, score, score >= threshold)
 
     return keyed_text(df, id_col, text_col).mapInArrow(scan, "doc_id bigint, weak_label double, score double, kept boolean")
@@ -259,5 +262,16 @@ def scored(df: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "d
 _FULL = pa.schema([("doc_id", pa.int64()), ("weak_label", pa.float64()), ("score", pa.float64()), ("kept", pa.bool_())])
 
 
+def accepted(df: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text scores the threshold at least, with all their columns."""
+    own, k = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text_col, 2 << 20):
+            yield part.filter(pa.array(_scores(own.value, part.column(k).to_pylist(), threshold)[1] >= threshold))
+
+    return df.mapInArrow(scan, df.schema)
+
+
 def classified(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     return scored(df, fit(df), threshold)

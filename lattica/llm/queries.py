@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import bpe, chat, credentials, langid, media, minhash, packing, quality, sketch
+from lattica.llm import bpe, chat, credentials, langid, media, minhash, packing, quality, sketch, suffix
 from lattica.tables import load
 
 #: The tokenizer of the queries.
@@ -46,3 +46,7 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(load(spark, sf_dir, "documents"))
+
+
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_report(load(spark, sf_dir, "documents"))
