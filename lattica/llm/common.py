@@ -9,6 +9,7 @@ from operator import itemgetter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,7 +75,27 @@ def cuts(data: bytes, least: int, bits: int, most: int) -> list[int]:
     return out
 
 
-def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple]:
+def packed(texts: DataFrame, level: int = 6) -> DataFrame:
+    """(doc_id, data): the texts of (doc_id, text) compressed, for a shuffle."""
+    schema = pa.schema([("doc_id", pa.int64()), ("data", pa.binary())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=level)
+        for part in slices(batches):
+            yield table(schema, part.column(0), [pack.compress(t.encode()) for t in part.column(1).to_pylist()])
+
+    return texts.mapInArrow(scan, "doc_id bigint, data binary")
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) again, from at most about ``most`` packed bytes at a time."""
+    unpack = zstandard.ZstdDecompressor()
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+    for part in slices(batches, "data", most):
+        yield table(schema, part.column(0), [unpack.decompress(x).decode() for x in part.column(1).to_pylist()])
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: str, named=lambda k: k) -> Iterator[tuple]:
     """(key, iterator of the other columns' values) for each run of rows of equal ``key``, in sorted input.
 
     Rows are read as they are needed, so a group may be larger than memory.
@@ -84,7 +105,7 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple]:
         for b in batches:
             k = b.schema.get_field_index(key)
             cols = [b.column(i).to_pylist() for i in range(b.num_columns)]
-            yield from zip(cols[k], zip(*(c for i, c in enumerate(cols) if i != k), strict=True), strict=True)
+            yield from zip(map(named, cols[k]), zip(*(c for i, c in enumerate(cols) if i != k), strict=True), strict=True)
 
     for own, members in groupby(rows(), itemgetter(0)):
         yield own, (r for _, r in members)

@@ -23,12 +23,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import keyed_text, slices, table
+from lattica.llm.common import keyed_text, packed, slices, table
 from lattica.llm.shingles import mix, shingle_sets
 
 #: A hash is retained below 1/SCALE of the range; words a shingle.
 SCALE, WORDS = 4, 5
-LEVEL = 6
 
 
 def sketches(texts: list[bytes], words: int = WORDS, scale: int = SCALE) -> list[tuple[str, np.ndarray]]:
@@ -90,17 +89,6 @@ _ROWS = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
-def _compressed(texts: DataFrame) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("data", pa.binary())])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=LEVEL)
-        for part in slices(batches):
-            yield table(schema, part.column(0), [pack.compress(t.encode()) for t in part.column(1).to_pylist()])
-
-    return texts.mapInArrow(scan, "doc_id bigint, data binary")
-
-
 def compared_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's fingerprint against its edited text's and its follower's.
 
@@ -118,7 +106,7 @@ def compared_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     firsts = texts.select("doc_id", own.alias("range")).groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("k")).orderBy("range").collect()
     before = [(r["k"]["doc_id"], firsts[i - 1]["range"]) for i, r in enumerate(firsts)]
     ahead = F.broadcast(spark.createDataFrame(before, "first bigint, also int"))  # a row for each range
-    rows = _compressed(texts).join(ahead, F.col("doc_id").eqNullSafe(F.col("first")), "left")
+    rows = packed(texts).join(ahead, F.col("doc_id").eqNullSafe(F.col("first")), "left")
     spread = rows.select("doc_id", "data", F.explode(F.when(F.col("also").isNull(), F.array(F.struct(own.alias("range"), F.lit(False).alias("extra")))).otherwise(F.array(F.struct(own.alias("range"), F.lit(False).alias("extra")), F.struct(F.col("also").alias("range"), F.lit(True).alias("extra"))))).alias("to"))
     ranged = spread.select("to.*", "doc_id", "data").repartition(parts, "range").sortWithinPartitions("range", "extra", F.asc_nulls_first("doc_id"), "data")
 
