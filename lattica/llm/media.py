@@ -19,13 +19,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cuts, keyed_text, slices, table
+from lattica.llm.common import cuts, grouped, keyed_text, slices, table
 
 #: Sizes of chunks in bytes: least, 2**BITS more on average, most.
 LEAST, BITS, MOST = 2048, 12, 32768
@@ -110,23 +109,29 @@ def chunk_store(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(scan, "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data"))
 
 
-_READ = "media_sha256 binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, feature string"
+_READ = pa.schema([("media_sha256", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("feature", pa.string())])
 
 
 def read_back(lists: DataFrame, store: DataFrame) -> DataFrame:
     """Rebuild each distinct media from its recipe and the store, verify it and describe its samples."""
     wanted = lists.groupBy("media_sha256").agg(F.first("recipe").alias("recipe")).select("media_sha256", F.posexplode("recipe").alias("at", "digest"))
-    found = wanted.join(store, "digest", "left")
-
-    def rebuild(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        unpack = zstandard.ZstdDecompressor()
-        media = b"".join(unpack.decompress(bytes(c)) for c in pdf.sort_values("at")["data"])
-        if hashlib.sha256(media).digest() != bytes(key[0]):
-            raise ValueError("media differ from their digest")
-        payload = decode_media(media)
-        return pd.DataFrame([(key[0], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(media), feature(payload))], columns=[c.split()[0] for c in _READ.split(", ")])
-
-    return found.groupBy("media_sha256").applyInPandas(rebuild, _READ)
+    found = wanted.join(store, "digest", "left").repartition("media_sha256").sortWithinPartitions("media_sha256", "at")
+
+    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, out = zstandard.ZstdDecompressor(), []
+        for key, chunks in grouped(slices(batches, "data", 1 << 20), "media_sha256"):
+            media = b"".join(unpack.decompress(c) for (c,) in chunks)
+            if hashlib.sha256(media).digest() != key:
+                raise ValueError("media differ from their digest")
+            payload = decode_media(media)
+            out.append((key, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(media), feature(payload)))
+            if len(out) == 1000:
+                yield table(_READ, *(list(c) for c in zip(*out, strict=True)))
+                out = []
+        if out:
+            yield table(_READ, *(list(c) for c in zip(*out, strict=True)))
+
+    return found.select("media_sha256", "data").mapInArrow(rebuild, "media_sha256 binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, feature string")
 
 
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
