@@ -28,7 +28,9 @@ from lattica.llm.common import cuts, grouped, keyed_text, slices, table
 
 #: Sizes of chunks in bytes: least, 2**BITS more on average, most.
 LEAST, BITS, MOST = 2048, 12, 32768
-LEVEL = 6
+LEVEL = 12
+#: Texts, characters of each and bytes that the compression dictionary is made of.
+SAMPLE, SAMPLE_CHARS, DICT_BYTES = 1000, 20_000, 64 << 10
 RATE, BLOCK = 8000, 64
 
 
@@ -66,6 +68,14 @@ def chunks_of(media: bytes) -> list[bytes]:
     return [media[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
+def _loaded(shared: bytes) -> zstandard.ZstdCompressionDict | None:
+    if not shared:
+        return None
+    own = zstandard.ZstdCompressionDict(shared)
+    own.precompute_compress(level=LEVEL)
+    return own
+
+
 def digest(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
@@ -89,11 +99,25 @@ def recipes(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(scan, "doc_id bigint, n_bytes bigint, media_sha256 binary, recipe array<binary>")
 
 
-def chunk_store(texts: DataFrame) -> DataFrame:
-    """digest, data: each distinct chunk once, compressed.  A task sends a chunk once at most."""
+def dictionary(texts: DataFrame, sample: int = SAMPLE, size: int = DICT_BYTES) -> bytes:
+    """A compression dictionary from about ``sample`` texts chosen by a hash; empty where they are too few.
+
+    Chunks are restored exactly whatever it holds; it only makes them smaller.
+    """
+    n = texts.count()
+    share = min(1 << 30, sample * (1 << 30) // max(n, 1) + 1)
+    rows = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).orderBy("doc_id", F.xxhash64("text")).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
+    try:
+        return zstandard.train_dictionary(size, [r["text"].encode() for r in rows]).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def chunk_store(texts: DataFrame, shared: bytes = b"") -> DataFrame:
+    """digest, data: each distinct chunk once, compressed with ``shared``.  A task sends a chunk once at most."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, seen = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True), set()
+        pack, seen = zstandard.ZstdCompressor(level=LEVEL, dict_data=_loaded(shared)), set()
         for part in slices(batches):
             keys, data = [], []
             for t in part.column(1).to_pylist():
@@ -112,13 +136,13 @@ def chunk_store(texts: DataFrame) -> DataFrame:
 _READ = pa.schema([("media_sha256", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("feature", pa.string())])
 
 
-def read_back(lists: DataFrame, store: DataFrame) -> DataFrame:
+def read_back(lists: DataFrame, store: DataFrame, shared: bytes = b"") -> DataFrame:
     """Rebuild each distinct media from its recipe and the store, verify it and describe its samples."""
     wanted = lists.groupBy("media_sha256").agg(F.first("recipe").alias("recipe")).select("media_sha256", F.posexplode("recipe").alias("at", "digest"))
     found = wanted.join(store, "digest", "left").repartition("media_sha256").sortWithinPartitions("media_sha256", "at")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, out = zstandard.ZstdDecompressor(), []
+        unpack, out = zstandard.ZstdDecompressor(dict_data=_loaded(shared)), []
         for key, chunks in grouped(slices(batches, "data", 1 << 20), "media_sha256"):
             media = b"".join(unpack.decompress(c) for (c,) in chunks)
             if hashlib.sha256(media).digest() != key:
@@ -138,6 +162,7 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per input row: what was read back for its text's media."""
     texts = keyed_text(df, id_col, text_col)
     lists = recipes(texts)
-    seen = read_back(lists, chunk_store(texts))
+    shared = dictionary(texts)
+    seen = read_back(lists, chunk_store(texts, shared), shared)
     own = lists.select("doc_id", "n_bytes", "media_sha256")
     return own.join(seen, "media_sha256").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media_sha256")).alias("media_sha256"), "feature")
