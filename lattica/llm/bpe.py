@@ -1,11 +1,15 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 Texts are cut by a rolling hash, so that documents which share passages share
-chunks.  Each distinct chunk is encoded once.  A document's ids are those of its
-chunks put together in order; where a cut went through a word, the join is repaired:
-the word on both sides is re-encoded, widening over further chunks until both
-neighbours agree, which they do at white space.  Equal texts are put together
-once, and decoded from their ids.
+chunks.  A chunk is encoded once in a task, whatever number of texts have it, and texts
+are ordered over the cluster by their least chunk digest, so that texts with common
+chunks meet in a task.  The order is by ranges of (digest of chunk, digest of text): the texts of
+one chunk, however many, spread over as many tasks as they need.
+
+A document's ids are those of its chunks put together in order; where a cut went
+through a word, the join is repaired: the word on both sides is re-encoded, widening
+over further chunks until both neighbours agree, which they do at white space.  Equal
+texts are put together once, and decoded from their ids.
 
 A null text is an empty one; repeated rows give a row each.  A chunk without white
 space is one word and is carried into the repair as text, however long the run is.
@@ -22,19 +26,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cuts, grouped, keyed_text, slices, table
-from lattica.llm.tokens import encoder, words
+from lattica.llm.common import cuts, keyed_text, slices, table
+from lattica.llm.tokens import Encoder, encoder, words
 
 #: Sizes of chunks in bytes: least, 2**BITS more on average, most.
-LEAST, BITS, MOST = 2048, 11, 16384
-LEVEL = 6
+LEAST, BITS, MOST = 256, 9, 4096
+#: Chunks that a task keeps, and the level of compression of shuffled texts.
+KEEP, LEVEL = 50_000, 6
 
 
 def chunks_of(data: bytes) -> list[bytes]:
     """Chunks of UTF-8 bytes, with each cut moved to the start of a character."""
-    ends = cuts(data, LEAST, BITS, MOST)
     out, at = [], 0
-    for end in ends:
+    for end in cuts(data, LEAST, BITS, MOST):
         while end < len(data) and data[end] & 0xC0 == 0x80:
             end += 1
         if end > at:
@@ -47,65 +51,64 @@ def digest(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
-_RECIPE = pa.schema([("doc_id", pa.int64()), ("text_digest", pa.binary()), ("recipe", pa.list_(pa.binary()))])
-_CHUNK = pa.schema([("digest", pa.binary()), ("data", pa.binary())])
-_CODED = pa.schema([("digest", pa.binary()), ("ids", pa.binary()), ("n_head", pa.int32()), ("n_tail", pa.int32()), ("head", pa.string()), ("tail", pa.string())])
+_NAMED = pa.schema([("doc_id", pa.int64()), ("text_digest", pa.binary())])
+_BODY = pa.schema([("least", pa.binary()), ("text_digest", pa.binary()), ("data", pa.binary())])
 _TEXT = pa.schema([("text_digest", pa.binary()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.binary())])
 
 
-def recipes(texts: DataFrame) -> DataFrame:
-    """doc_id, text_digest, recipe: digests of the text's chunks in order."""
+def named(texts: DataFrame) -> DataFrame:
+    """doc_id, text_digest."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            data = [t.encode() for t in part.column(1).to_pylist()]
-            yield table(_RECIPE, part.column(0), [digest(x) for x in data], [[digest(c) for c in chunks_of(x)] for x in data])
+            yield table(_NAMED, part.column(0), [digest(t.encode()) for t in part.column(1).to_pylist()])
 
-    return texts.mapInArrow(scan, "doc_id bigint, text_digest binary, recipe array<binary>")
+    return texts.mapInArrow(scan, "doc_id bigint, text_digest binary")
 
 
-def distinct_chunks(texts: DataFrame) -> DataFrame:
-    """digest, data: each distinct chunk once, compressed. A task sends a chunk once at most."""
+def ordered(texts: DataFrame) -> DataFrame:
+    """least, text_digest, data: distinct texts, compressed, in order of their least chunk digest. A task sends a text once at most."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, seen = zstandard.ZstdCompressor(level=LEVEL), set()
         for part in slices(batches):
-            keys, data = [], []
+            rows = []
             for t in part.column(1).to_pylist():
-                for c in chunks_of(t.encode()):
-                    if (d := digest(c)) not in seen:
-                        if len(seen) >= 1 << 20:
-                            seen.clear()
-                        seen.add(d)
-                        keys.append(d)
-                        data.append(pack.compress(c))
-            yield table(_CHUNK, keys, data)
+                data = t.encode()
+                if (d := digest(data)) not in seen:
+                    if len(seen) >= 1 << 20:
+                        seen.clear()
+                    seen.add(d)
+                    rows.append((min(map(digest, chunks_of(data)), default=b""), d, pack.compress(data)))
+            yield table(_BODY, *([r[i] for r in rows] for i in range(3)))
 
-    return texts.mapInArrow(scan, "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data"))
+    bodies = texts.mapInArrow(scan, "least binary, text_digest binary, data binary")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bodies.repartitionByRange(parts, "least", "text_digest").sortWithinPartitions("least", "text_digest")
 
 
-def encoded_chunks(chunks: DataFrame, path: str) -> DataFrame:
-    """Each chunk's ids, with its first and last word where a cut may have gone through them.
+class Chunks:
+    """Encoded chunks of a task: (ids, ids of the first word, of the last one, those words).
 
-    ``head`` is the word that the chunk starts with, empty where it starts with white space, and
-    n_head its ids; ``tail`` likewise.  A chunk that is one word has it in both.
+    The first word counts where the chunk starts with it, the last where it ends with it;
+    a chunk that is one word has it in both places.
     """
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, pack, unpack = encoder(path), zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
-        for part in slices(batches, "data", 2 << 20):
-            texts = [unpack.decompress(x).decode() for x in part.column(1).to_pylist()]
-            lists = [words(t) for t in texts]
-            out = []
-            for text, own_words, ids in zip(texts, lists, own.each(lists), strict=True):
-                head = own_words[0] if own_words and text.startswith(own_words[0]) else ""
-                tail = own_words[-1] if own_words and text.endswith(own_words[-1]) else ""
-                whole = np.frombuffer(b"".join(ids), "<u4")
-                small = whole.astype("<u2") if len(own.strings) <= 1 << 16 else whole
-                out.append((pack.compress(small.tobytes()), len(ids[0]) // 4 if head else 0, len(ids[-1]) // 4 if tail else 0, head, tail))
-            yield table(_CODED, part.column(0), *([x[i] for x in out] for i in range(5)))
+    def __init__(self, own: Encoder):
+        self.own, self.known = own, {}
 
-    return chunks.mapInArrow(scan, "digest binary, ids binary, n_head int, n_tail int, head string, tail string")
+    def learn(self, chunks: dict[bytes, bytes]) -> None:
+        """Encode those of the chunks, by digest, that are new."""
+        new = {d: c for d, c in chunks.items() if d not in self.known}
+        if len(self.known) + len(new) > KEEP:
+            self.known.clear()
+            new = chunks
+        texts = [c.decode() for c in new.values()]
+        lists = [words(t) for t in texts]
+        for d, text, own_words, ids in zip(new, texts, lists, self.own.each(lists), strict=True):
+            head = own_words[0] if own_words and text.startswith(own_words[0]) else ""
+            tail = own_words[-1] if own_words and text.endswith(own_words[-1]) else ""
+            self.known[d] = (np.frombuffer(b"".join(ids), "<u4"), len(ids[0]) // 4 if head else 0, len(ids[-1]) // 4 if tail else 0, head, tail)
 
 
 class Joiner:
@@ -142,39 +145,36 @@ class Joiner:
         return np.concatenate([p.astype("<u4") for p in self.parts]) if self.parts else np.zeros(0, "<u4")
 
 
-def put_together(lists: DataFrame, coded: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
+def put_together(texts: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     """For each distinct text: n_tokens, digests of the ids and of the text decoded from them, and the ids if asked for."""
-    wanted = lists.groupBy("text_digest").agg(F.first("recipe").alias("recipe")).select("text_digest", F.posexplode_outer("recipe").alias("at", "digest"))
-    found = wanted.join(coded, "digest", "left").repartition("text_digest").sortWithinPartitions("text_digest", "at")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, unpack = encoder(path), zstandard.ZstdDecompressor()
-        kind = "<u2" if len(own.strings) <= 1 << 16 else "<u4"
-        out, size = [], 0
-        for key, rows in grouped(slices(batches, "ids", 1 << 20), "text_digest"):
-            text = Joiner(own.alone)
-            for data, n_head, n_tail, head, tail, at in rows:
-                if data is not None:
-                    text.add(np.frombuffer(unpack.decompress(data), kind), n_head, n_tail, head, tail)
-                elif at is not None:
-                    raise ValueError("a chunk is missing")
-            ids = text.ids()
-            raw = ids.tobytes()
-            out.append((key, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest(), raw if keep_ids else None))
-            size += 200 + len(raw) * keep_ids
-            if size >= 4 << 20:
+        own, unpack, last = encoder(path), zstandard.ZstdDecompressor(), None
+        known = Chunks(own)
+        for part in slices(batches, "data", 1 << 20):
+            lists = []
+            for name, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                if name != last:  # equal texts of several tasks follow one another
+                    lists.append((name, [(digest(c), c) for c in chunks_of(unpack.decompress(data))]))
+                last = name
+            known.learn({d: c for _, chunks in lists for d, c in chunks})
+            out = []
+            for name, chunks in lists:
+                text = Joiner(own.alone)
+                for d, _ in chunks:
+                    text.add(*known.known[d])
+                ids = text.ids()
+                raw = ids.tobytes()
+                out.append((name, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest(), raw if keep_ids else None))
+            if out:
                 yield table(_TEXT, *(list(c) for c in zip(*out, strict=True)))
-                out, size = [], 0
-        if out:
-            yield table(_TEXT, *(list(c) for c in zip(*out, strict=True)))
 
-    return found.select("text_digest", "ids", "n_head", "n_tail", "head", "tail", "at").mapInArrow(scan, "text_digest binary, n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids binary")
+    return ordered(texts).select("text_digest", "data").mapInArrow(scan, "text_digest binary, n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids binary")
 
 
 def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids."""
     texts = keyed_text(df, id_col, text_col)
-    lists = recipes(texts)
-    done = put_together(lists, encoded_chunks(distinct_chunks(texts), path), path, keep_ids)
-    out = lists.select("doc_id", "text_digest").join(done, "text_digest").drop("text_digest")
+    done = put_together(texts, path, keep_ids).dropDuplicates(["text_digest"])
+    out = named(texts).join(done, "text_digest").drop("text_digest")
     return out if keep_ids else out.drop("ids")
