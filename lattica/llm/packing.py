@@ -140,7 +140,7 @@ class Packer:
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 #: Tokens packed at a time by a task.
-WINDOW = 4 << 20
+WINDOW = 1 << 20
 
 
 def pack(examples: DataFrame, limits: Limits = Limits(), window: int = WINDOW) -> DataFrame:
@@ -169,7 +169,7 @@ def pack(examples: DataFrame, limits: Limits = Limits(), window: int = WINDOW) -
             if got:
                 yield table(_SCHEMA, *(list(c) for c in zip(*got, strict=True)))
 
-        for part in slices(batches, "ids"):
+        for part in slices(batches, "ids", 2 << 20):
             for key, data, answer in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                 packer.add(Item(len(keys), 0, len(data) // 4, answer))
                 keys.append(key)

@@ -1,9 +1,10 @@
 """Fast exact encoding with a tokenizer that drops white space.
 
 Such a tokenizer's ids for a text are those of its words one after another, so a
-word is encoded once per Python worker and kept.  New words are encoded many at
-a time, parted by spaces; how many end-of-word tokens each has is known for words
-of plain letters, digits and marks, and any other word is encoded alone.
+word is encoded once per Python worker and kept.  Words of plain letters, digits and
+marks fall into pieces that the tokenizer takes one by one, in lower case; new pieces are
+encoded many at a time, parted by spaces, and each ends with the next end-of-word
+token.  Any other word is encoded alone.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}
 _PIECE = re.compile(f"[{_LETTERS}]+|[0-9]|[{_MARKS}]+")
 _PLAIN = re.compile(f"[{_LETTERS}0-9{_MARKS}]+")
 #: Words kept by a worker, and words encoded at a time.
-KEEP, BLOCK = 1_500_000, 1000
+KEEP, BLOCK = 800_000, 1000
 
 
 def words(text: str) -> list[str]:
@@ -54,37 +55,43 @@ class Encoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, new: list[str]) -> None:
-        if len(self.known) + len(new) > KEEP:
-            self.known.clear()
-        plain = []
+        """Keep the ids of new words; those of a plain word are its pieces', which many words share."""
+        known, split, pieces = self.known, [], {}
         for w in new:
             if _PLAIN.fullmatch(w):
-                plain.append(w)
+                parts = _PIECE.findall(w.lower())
+                split.append((w, parts))
+                for p in parts:
+                    if p not in known:
+                        pieces[p] = None
             else:
-                self.known[w] = self.alone(w)
-        for k in range(0, len(plain), BLOCK):
-            block = plain[k : k + BLOCK]
+                known[w] = self.alone(w)
+        fresh = list(pieces)
+        for k in range(0, len(fresh), BLOCK):
+            block = fresh[k : k + BLOCK]
             ids = np.array(self.library.encode(" ".join(block), add_special_tokens=False).ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
-            last = np.cumsum([len(_PIECE.findall(w)) for w in block])
-            if len(stops) != last[-1] or stops[-1] != len(ids):
-                for w in block:
-                    self.known[w] = self.alone(w)
+            if len(stops) != len(block) or stops[-1] != len(ids):
+                for p in block:
+                    known[p] = self.alone(p)
                 continue
             data, at = ids.tobytes(), 0
-            for w, end in zip(block, (stops[last - 1] * 4).tolist(), strict=True):
-                self.known[w] = data[at:end]
+            for p, end in zip(block, (stops * 4).tolist(), strict=True):
+                known[p] = data[at:end]
                 at = end
+        for w, parts in split:
+            known[w] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
 
     def each(self, lists: list[list[str]]) -> Iterator[list[bytes]]:
         """For each list, the ids of each of its words."""
-        new = set()
+        every = set()
         for x in lists:
-            new.update(x)
-        new.difference_update(self.known)
+            every.update(x)
+        new = every - self.known.keys()
         if len(self.known) + len(new) > KEEP:
-            new = {w for x in lists for w in x}
-        self.learn(sorted(new))
+            self.known.clear()
+            new = every
+        self.learn(list(new))
         for x in lists:
             yield list(map(self.known.__getitem__, x))
 
@@ -112,7 +119,7 @@ def tokenized(df: DataFrame, path: str, last: int | None = None, id_col: str = "
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for part in slices(batches):
+        for part in slices(batches, most=1 << 20):
             yield table(_SCHEMA, part.column(0), [x + tail for x in own.texts(part.column(1).to_pylist())])
 
     return keyed_text(df, id_col, text_col).mapInArrow(scan, "doc_id bigint, ids binary")
