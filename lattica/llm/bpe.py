@@ -67,7 +67,10 @@ def named(texts: DataFrame) -> DataFrame:
 
 
 def ordered(texts: DataFrame) -> DataFrame:
-    """least, text_digest, data: distinct texts, compressed, in order of their least chunk digest. A task sends a text once at most."""
+    """least, text_digest, data: distinct texts, compressed, in order of their least chunk digest. A task sends a text once at most.
+
+    The digest is hashed again, as long texts, having many chunks, would else gather at the low end.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, seen = zstandard.ZstdCompressor(level=LEVEL), set()
@@ -79,7 +82,7 @@ def ordered(texts: DataFrame) -> DataFrame:
                     if len(seen) >= 1 << 20:
                         seen.clear()
                     seen.add(d)
-                    rows.append((min(map(digest, chunks_of(data)), default=b""), d, pack.compress(data)))
+                    rows.append((digest(min(map(digest, chunks_of(data)), default=b"")), d, pack.compress(data)))
             yield table(_BODY, *([r[i] for r in rows] for i in range(3)))
 
     bodies = texts.mapInArrow(scan, "least binary, text_digest binary, data binary")
