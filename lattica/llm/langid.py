@@ -2,7 +2,8 @@
 
 Each language gets a raw-content zstandard dictionary: passages and frequent words of
 a bounded sample of its training rows.  A text is compressed whole with each
-dictionary; the smallest result names the language.  Narrow margins are
+dictionary, in lower case and with a space for what is no letter, as neither tells
+languages apart; the smallest result names the language.  Narrow margins are
 rejected: ``confident`` is false there.
 
 Null texts and texts without letters are ``und`` with score 0.  Without any
@@ -24,18 +25,24 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import slices, table
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER, OTHERS = re.compile(r"[^\W\d_]"), re.compile(r"[\W\d_]+")
 #: Bounds of what is learned: training rows a language, bytes of a dictionary, languages.
 ROWS, DICT_BYTES, LANGS = 300, 96 << 10, 200
-LEVEL = 3
+LEVEL = 7
 #: Bytes of difference that halve a language's weight; least margin, in parts of the text's size, of a confident answer.
 SOFT, MARGIN = 4.0, 0.01
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("confident", pa.bool_())])
 
 
+def plain(text: str) -> str:
+    """Letters in lower case, single spaces between."""
+    return OTHERS.sub(" ", text.lower())
+
+
 def content(texts: list[str], size: int = DICT_BYTES) -> bytes:
     """Dictionary content: a third passages, then words, the most frequent last, where matches are cheapest."""
+    texts = [plain(t) for t in texts]
     words = Counter(w for t in texts for w in t.split())
     chosen, room = [], size * 2 // 3
     for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0])):
@@ -79,7 +86,7 @@ class Scorer:
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         if not self.langs or text is None or not LETTER.search(text):
             return "und", 0.0, False
-        data = text.encode()
+        data = plain(text).encode()
         sizes = np.array([len(c.compress(data)) for c in self.with_dict], float)
         best = int(sizes.argmin())
         score = 1 / np.exp2((sizes[best] - sizes) / SOFT).sum()

@@ -65,7 +65,7 @@ def feature(payload: bytes) -> str:
 
 def chunks_of(media: bytes) -> list[bytes]:
     ends = cuts(media, LEAST, BITS, MOST)
-    return [media[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return [media[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def _loaded(shared: bytes) -> zstandard.ZstdCompressionDict | None:

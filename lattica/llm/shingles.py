@@ -53,6 +53,8 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 def shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     """(text's index, hash) of every shingle of every text, in order; repeats are kept."""
     owner, hashes, _ = word_hashes(texts)
+    if not len(owner):
+        return owner, hashes
     counts = np.bincount(owner, minlength=len(texts))
     first = np.concatenate([[0], np.cumsum(counts)[:-1]])
     n = np.where(counts >= k, counts - k + 1, (counts > 0).astype(counts.dtype))
