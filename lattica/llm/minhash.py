@@ -6,12 +6,12 @@ fraction.  The ranks are correlated, which lowers the variance, and as values
 grow with j a set is finished as soon as every slot has a value below the next j.
 
 Equal sets form a class with one representative.  Bands of signatures put
-representatives in buckets.  Within a bucket a few centres a round are compared with
-the members outside their component; a centre is used once, and a bucket rests when
-its members are in one component or all have been centres.  So no bucket lists all its
-pairs when it is one group, yet every pair of a bucket is in the end
-either compared or in one component.  Links are confirmed on full sets of
-64-bit shingle hashes; groups are found by union-find and stars over the links.
+representatives in buckets.  The few pairs of a small bucket are first held against the
+signatures, then against the full sets of 64-bit shingle hashes.  Documents that large
+buckets join are dealt into blocks of bounded size; a task compares the full sets of two
+blocks by products of indicator matrices and hands on a forest of the links, never the
+pairs.  So a group of any size is spread over tasks, and every pair that shares a
+bucket is confirmed or refuted.  Groups are found by union-find and stars over the links.
 
 ``n_shingles`` is the size of the set.  Texts without words (null, empty, white space)
 have an empty set and are linked with nothing.  Repeated rows have equal sets. Rows
@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import keyed_text, slices, table
-from lattica.llm.components import components
+from lattica.llm.common import grouped, keyed_text, packed, slices, table, unpacked
+from lattica.llm.components import UnionFind, components
 from lattica.llm.shingles import mix, shingle_sets
 from lattica.plans.durable import staged
 
 #: 40 bands of 5 rows miss a pair at 0.8 once in ten million.
 BANDS, ROWS = 40, 5
+#: Largest small bucket; documents and elements of a block.
+SMALL, DOCS, ELEMENTS = 8, 2048, 1_500_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,7 +71,7 @@ def signatures(of: np.ndarray, elements: np.ndarray, n: int, m: int) -> np.ndarr
     return best.reshape(n, m)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("slots", pa.binary())])
 _SETS = pa.schema([("doc_id", pa.int64()), ("elements", pa.binary())])
 
 
@@ -80,7 +82,7 @@ def _sets(part: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def signed(texts: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, set_digest and a hash for each band; the last two null for empty sets."""
+    """doc_id, n_shingles, set_digest, a hash for each band and a byte of each slot; the last three null for empty sets."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, most=2 << 20):
@@ -92,25 +94,41 @@ def signed(texts: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) -
             sizes = np.diff(at)
             digests = [hashlib.blake2b(elements[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)]
             lists = keys.view(np.int64).tolist()
-            yield table(_SIGNED, part.column(0), sizes, digests, [x if n else None for x, n in zip(lists, sizes, strict=True)])
+            slots = sig.reshape(part.num_rows, -1).astype(np.uint8)
+            yield table(_SIGNED, part.column(0), sizes, digests, [x if n else None for x, n in zip(lists, sizes, strict=True)], [x.tobytes() if n else None for x, n in zip(slots, sizes, strict=True)])
 
-    return texts.mapInArrow(scan, "doc_id bigint, n_shingles bigint, set_digest binary, bands array<bigint>")
+    return texts.mapInArrow(scan, "doc_id bigint, n_shingles bigint, set_digest binary, bands array<bigint>, slots binary")
 
 
-def full_sets(texts: DataFrame, words: int) -> DataFrame:
-    """doc_id and its set as sorted 64-bit hashes."""
+def full_sets(bodies: DataFrame, words: int) -> DataFrame:
+    """doc_id and its set as sorted 64-bit hashes, from packed texts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, most=2 << 20):
+        for part in unpacked(batches, 1 << 20):
             _, elements, at = _sets(part, words)
             yield table(_SETS, part.column(0), [elements[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)])
 
-    return texts.mapInArrow(scan, "doc_id bigint, elements binary")
+    return bodies.mapInArrow(scan, "doc_id bigint, elements binary")
 
 
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
+def likely(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose signatures do not rule the similarity out: by seven standard deviations and more."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            u, v, a, b = (part.column(i) for i in range(4))
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(part.num_rows, -1) for c in (a, b)) if part.num_rows else (np.zeros((0, 1)),) * 2
+            m, p = x.shape[1], percent / 100
+            keep = pa.array((x == y).sum(1) >= m * p - 7 * (m * p * (1 - p)) ** 0.5 - 1)
+            yield pa.RecordBatch.from_arrays([u.filter(keep), v.filter(keep)], schema=_LINKS)
+
+    own = pairs.join(marks.select(F.col("doc_id").alias("u"), F.col("slots").alias("a")), "u").join(marks.select(F.col("doc_id").alias("v"), F.col("slots").alias("b")), "v")
+    return own.select("u", "v", "a", "b").mapInArrow(scan, "u bigint, v bigint")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
 
@@ -128,32 +146,72 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return own.select("u", "v", "a", "b").mapInArrow(scan, "u bigint, v bigint")
 
 
-def linked(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component) over the documents of ``buckets`` (bucket, doc_id, size), by rounds of centres."""
-    labels, rounds = None, 0
-    rest = buckets.withColumn("component", F.col("doc_id")).withColumn("used", F.lit(False))
-    while True:
-        # buckets that still hold several components and members that have not been centres
-        open_ = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        rest = staged(rest.join(open_, "bucket", "left_semi"), "buckets")
-        # one centre a salt: a plain aggregation, whatever the bucket's size
-        salt = F.pmod(F.xxhash64("doc_id", F.lit(rounds)), F.lit(1 << min(rounds, 20)))
-        centres = rest.where("NOT used").groupBy("bucket", salt.alias("salt")).agg(F.min(F.struct("doc_id", "component", "size")).alias("c")).select("bucket", F.col("c.doc_id").alias("u"), F.col("c.component").alias("cu"), F.col("c.size").alias("nu"))
-        centres = staged(centres, "centres")
-        if centres.isEmpty():
-            break
-        close = (F.lit(100) * F.least("nu", "size") >= F.lit(percent) * F.greatest("nu", "size")) & (F.col("cu") != F.col("component"))
-        pairs = rest.join(centres, "bucket").where(close).select(F.least("u", "doc_id").alias("u"), F.greatest("u", "doc_id").alias("v")).distinct()
-        links = staged(confirmed(pairs, sets, percent), "confirmed")
-        done = centres.select("bucket", F.col("u").alias("doc_id"), F.lit(True).alias("now"))
-        rest = rest.join(done, ["bucket", "doc_id"], "left").select("bucket", "doc_id", "size", "component", (F.col("used") | F.coalesce("now", F.lit(False))).alias("used"))
-        if not links.isEmpty():
-            labels = components(links if labels is None else links.unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v"))))
-            rest = rest.join(labels.withColumnRenamed("component", "found"), rest["doc_id"] == F.col("node"), "left").select("bucket", "doc_id", "size", F.coalesce("found", "component").alias("component"), "used")
-        rounds += 1
-    if labels is None:
-        return buckets.sparkSession.createDataFrame([], "node bigint, component bigint")
-    return labels
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections: products of indicator blocks for frequent elements, pairs for rare ones."""
+    n = len(sets)
+    of = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    out = np.zeros((n, n), np.float32)
+    order = np.argsort(code, kind="stable")
+    of, code = of[order], code[order]
+    rare = (times > 1) & (times <= 8)
+    for size in range(2, 9):
+        own = of[(rare & (times == size))[code]].reshape(-1, size)
+        for i in range(size):
+            for j in range(i):
+                np.add.at(out, (own[:, i], own[:, j]), 1)
+                np.add.at(out, (own[:, j], own[:, i]), 1)
+    often = np.flatnonzero(times > 8)
+    for k in range(0, len(often), 4096):
+        some = often[k : k + 4096]
+        place = np.full(len(times), -1)
+        place[some] = np.arange(len(some))
+        hit = place[code] >= 0
+        has = np.zeros((n, len(some)), np.float32)
+        has[of[hit], place[code[hit]]] = 1
+        out += has @ has.T
+    return out
+
+
+def _blocks_compared(percent: int):
+    """Links of two blocks' documents, as a forest."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), rows in grouped(slices(batches, "elements", 1 << 20), "place", lambda p: (p["g"], p["i"], p["j"])):
+            docs, blocks, data = zip(*rows, strict=True)
+            sets = [np.frombuffer(x, np.uint64) for x in data]
+            sizes, block = np.array([len(x) for x in sets]), np.array(blocks)
+            both = common_counts(sets)
+            linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+            if i != j:
+                linked &= block[:, None] != block[None, :]
+            own = UnionFind()
+            for a, b in zip(*np.nonzero(np.tril(linked, -1)), strict=True):
+                own.union(docs[a], docs[b])
+            forest = own.forest()
+            yield table(_LINKS, [u for u, _ in forest], [v for _, v in forest])
+
+    return scan
+
+
+def linked(buckets: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that join the same documents as all links between documents that share a bucket do."""
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("centre"))
+    small = buckets.join(sizes.where(F.col("n") <= SMALL), "bucket")
+    close = F.lit(100) * F.least("nu", "size") >= F.lit(percent) * F.greatest("nu", "size")
+    pairs = small.select("bucket", F.col("doc_id").alias("u"), F.col("size").alias("nu")).join(small.select("bucket", F.col("doc_id").alias("v"), "size"), "bucket").where((F.col("u") < F.col("v")) & close)
+    few = confirmed(likely(pairs.select("u", "v").distinct(), marks, percent), sets, percent)
+    # large buckets: documents that such buckets join are compared in blocks, each block once with each other
+    large = buckets.join(sizes.where(F.col("n") > SMALL), "bucket")
+    coarse = components(large.select(F.col("doc_id").alias("u"), F.col("centre").alias("v")))
+    member = large.select("doc_id", "size").distinct().join(coarse.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "size", F.coalesce("component", "doc_id").alias("g"))
+    member = staged(member, "members")
+    blocks = member.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / DOCS), F.ceil(F.sum("size") / ELEMENTS)).cast("int").alias("blocks"))
+    dealt = member.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    spread = dealt.join(sets, "doc_id").select("doc_id", "block", "elements", "g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = spread.select(F.struct("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).alias("place"), "doc_id", "block", "elements")
+    many = placed.repartition("place").sortWithinPartitions("place", "doc_id").mapInArrow(_blocks_compared(percent), "u bigint, v bigint")
+    return few.unionAll(many)
 
 
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -166,8 +224,8 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     buckets = staged(placed.join(shared, "bucket", "left_semi"), "buckets")
     wanted = buckets.select("doc_id").distinct()
-    sets = staged(full_sets(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), words), "sets")
-    labels = linked(buckets, sets, percent)
+    sets = staged(full_sets(packed(texts).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), words), "sets")
+    labels = components(linked(buckets, reps.select("doc_id", "slots"), sets, percent))
     out = marks.select("doc_id", "n_shingles", "set_digest").join(classes, "set_digest", "left").join(labels, F.col("rep") == F.col("node"), "left")
     found = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"))
