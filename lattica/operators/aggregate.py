@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from lattica.operators.ordering import with_position
 
 
 def script_agg(df: DataFrame, column: str) -> DataFrame:
@@ -74,5 +75,5 @@ def correlation(x: Column, y: Column) -> Column:
 
 def group_bounds(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """For sorted input, each group's first and last position (from 1)."""
-    n = F.row_number().over(W.orderBy(*keys, *order))
-    return df.select(*keys, n.alias("_n")).groupBy(*keys).agg(F.min("_n").cast("bigint").alias("first"), F.max("_n").cast("bigint").alias("last"))
+    placed = with_position(df, [*(F.col(k) for k in keys), *order], "_n")
+    return placed.groupBy(*keys).agg(F.min("_n").alias("first"), F.max("_n").alias("last"))

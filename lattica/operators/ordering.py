@@ -17,9 +17,11 @@ def with_position(df: DataFrame, order: list[Column], name: str = "position") ->
     """``df`` with each row's position from 1 in the order, computed on all partitions at once.
 
     The sorted rows are staged, as positions need their counts before the rows are numbered.
-    Rows that tie get positions in no particular order.
+    Rows that tie get positions in no particular order; a number of their own parts them, so
+    that a value of a third of all rows still spreads over ranges.
     """
-    parted = staged(df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    parted = df.withColumn("_tie", F.monotonically_increasing_id()).orderBy(*order, "_tie").drop("_tie")
+    parted = staged(parted.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "sorted")
     sizes = parted.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
     local = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
