@@ -46,9 +46,3 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a staged DataFrame that nothing reads any more."""
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/lattica-" in folder:
-            _forget(df.sparkSession, folder)
