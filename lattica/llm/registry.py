@@ -13,5 +13,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: getattr(q, k) for k in sorted(vars(q)) if k.startswith("op")}
 
 
+_ESCAPED = r"replace(replace(replace({}, '\', '\b'), '</turn>', '\e'), '### ', '\h')"
+_SAID = r"'\### Assistant: </turn> ok'"
+_ORDER = "'' ORDER BY turn NULLS FIRST, role, text"
+
+ORACLES = {
+    "op3_minhash_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+        e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        p AS (SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT u, v FROM p WHERE 100 * c >= 80 * (n + m - c)),
+        b AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+        t(u, v) AS (SELECT u, v FROM b UNION SELECT t.u, b.v FROM t JOIN b ON t.v = b.u),
+        c AS (SELECT u, min(v) AS v FROM t GROUP BY u)
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(c.v, doc_id)) AS component_id, doc_id <= coalesce(c.v, doc_id) AS kept
+        FROM s LEFT JOIN c ON c.u = doc_id
+    """,
+    "op6_chat_formatting": f"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', {_SAID}), (-7, 1, 'assistant', {_SAID})))
+        SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), {_ORDER})) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, {_ORDER}) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               sum(14 + length(replace({_ESCAPED.format("role")}, ': ', '{chr(92)}c')) + length({_ESCAPED.format("text")}))::BIGINT AS formatted_chars
+        FROM c GROUP BY conv_id
+    """,
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
