@@ -18,6 +18,7 @@ space is one word and is carried into the repair as text, however long the run i
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import cuts, keyed_text, slices, table
-from lattica.llm.tokens import Encoder, encoder, words
+from lattica.llm.tokens import WORD, Encoder, encoder
 
 #: Sizes of chunks in bytes: least, 2**BITS more on average, most.
 LEAST, BITS, MOST = 256, 9, 4096
 #: Chunks that a task keeps, and the level of compression of shuffled texts.
 KEEP, LEVEL = 50_000, 6
+_HEAD, _TAIL = re.compile(f"{WORD}+"), re.compile(f"{WORD}+$")
 
 
 def chunks_of(data: bytes) -> list[bytes]:
@@ -107,11 +109,11 @@ class Chunks:
             self.known.clear()
             new = chunks
         texts = [c.decode() for c in new.values()]
-        lists = [words(t) for t in texts]
-        for d, text, own_words, ids in zip(new, texts, lists, self.own.each(lists), strict=True):
-            head = own_words[0] if own_words and text.startswith(own_words[0]) else ""
-            tail = own_words[-1] if own_words and text.endswith(own_words[-1]) else ""
-            self.known[d] = (np.frombuffer(b"".join(ids), "<u4"), len(ids[0]) // 4 if head else 0, len(ids[-1]) // 4 if tail else 0, head, tail)
+        heads = [m.group() if (m := _HEAD.match(t)) else "" for t in texts]
+        tails = [m.group() if (m := _TAIL.search(t)) else "" for t in texts]
+        n_heads, n_tails = ([len(x) // 4 for x in self.own.texts(edge)] for edge in (heads, tails))
+        for d, ids, *edges in zip(new, self.own.texts(texts), n_heads, n_tails, heads, tails, strict=True):
+            self.known[d] = (np.frombuffer(ids, "<u4"), *edges)
 
 
 class Joiner:
@@ -154,7 +156,7 @@ def put_together(texts: DataFrame, path: str, keep_ids: bool = False) -> DataFra
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, unpack, last = encoder(path), zstandard.ZstdDecompressor(), None
         known = Chunks(own)
-        for part in slices(batches, "data", 1 << 20):
+        for part in slices(batches, "data", 3 << 20):
             lists = []
             for name, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 if name != last:  # equal texts of several tasks follow one another
@@ -178,6 +180,6 @@ def put_together(texts: DataFrame, path: str, keep_ids: bool = False) -> DataFra
 def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids."""
     texts = keyed_text(df, id_col, text_col)
-    done = put_together(texts, path, keep_ids).dropDuplicates(["text_digest"])
+    done = put_together(texts, path, keep_ids)  # equal texts are in one range, so each comes once
     out = named(texts).join(done, "text_digest").drop("text_digest")
     return out if keep_ids else out.drop("ids")

@@ -100,25 +100,27 @@ class Packer:
         """Place the pool's items; the open sequence stays open unless ``last``."""
         while self.pool:
             types = np.array(list(self.pool), np.int64)
+            tokens, loss = np.ascontiguousarray(types[:, 0]), np.ascontiguousarray(types[:, 1])
             left = np.array([len(x) for x in self.pool.values()], np.int64)
-            demand = np.column_stack([types[:, 0], np.ones(len(types), np.int64), types[:, 1]])
-            most = np.array([self.limits.tokens, self.limits.segments, self.limits.loss], np.int64)
-            weight = (demand * left[:, None]).sum(0) / left.sum() / most
-            scaled = demand / most * weight
-            grown = False
-            while left.any() and not grown:
-                room = np.array(self.room)
-                fits = (demand <= room).all(1) & (left > 0)
-                if fits.any():
-                    k = int(np.where(fits, scaled @ (room / most), -1.0).argmax())
+            # weight of a limit: the mean demand in parts of it; each demand again in parts, for the dot product
+            n, most = left.sum(), self.limits
+            by_tokens = tokens * ((tokens * left).sum() / n / most.tokens**3)
+            by_loss = loss * ((loss * left).sum() / n / most.loss**3)
+            grown, remaining = False, int(n)
+            while remaining and not grown:
+                fits = (tokens <= self.room[0]) & (loss <= self.room[2]) & (left > 0)
+                if self.room[1] > 0 and fits.any():
+                    k = int(np.where(fits, by_tokens * self.room[0] + by_loss * self.room[2], -1.0).argmax())  # the segments' part is the same for all
                     self._place(self.pool[tuple(types[k].tolist())].pop())
                     left[k] -= 1
+                    remaining -= 1
                     continue
                 gap = min(self.room[0], self.room[2])
                 if self.room[1] > 0 and gap >= self.limits.least_cut:
-                    k = int(np.where(left > 0, types[:, 0], -1).argmax())
+                    k = int(np.where(left > 0, tokens, -1).argmax())
                     item = self.pool[tuple(types[k].tolist())].pop()
                     left[k] -= 1
+                    remaining -= 1
                     cut = Item(item.owner, item.start, item.start + gap, item.answer)
                     rest = Item(item.owner, cut.end, item.end, item.answer)
                     if rest.end > rest.start:
@@ -128,6 +130,7 @@ class Packer:
                         same = np.flatnonzero((types == key).all(1))
                         if len(same):
                             left[same[0]] += 1
+                            remaining += 1
                         else:
                             grown = True
                     else:

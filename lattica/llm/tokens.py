@@ -1,10 +1,10 @@
 """Fast exact encoding with a tokenizer that drops white space.
 
-Such a tokenizer's ids for a text are those of its words one after another, so a
-word is encoded once per Python worker and kept.  Words of plain letters, digits and
-marks fall into pieces that the tokenizer takes one by one, in lower case; new pieces are
-encoded many at a time, parted by spaces, and each ends with the next end-of-word
-token.  Any other word is encoded alone.
+Such a tokenizer's ids for a text are those of its words one after another, and those of
+a word of plain letters, digits and marks are those of its pieces in lower case.  The
+distinct words of a batch, and their distinct pieces, are found column-wise; the
+library encodes each piece once, many at a time, parted by spaces, where each piece ends with
+the next end-of-word token.  Any other word is encoded alone.  Nothing is kept between batches.
 """
 
 from __future__ import annotations
@@ -15,26 +15,41 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from lattica.llm.common import keyed_text, slices, table
 
-#: White space by Unicode; str.split() also takes these four controls for it.
+#: White space by Unicode; splitting at it otherwise also takes these four controls for it.
 _ODD = re.compile("[\x1c-\x1f]")
-_WORD = re.compile("[^\t-\r \x85\xa0  -     　]+")
-_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~"
-_PIECE = re.compile(f"[{_LETTERS}]+|[0-9]|[{_MARKS}]+")
-_PLAIN = re.compile(f"[{_LETTERS}0-9{_MARKS}]+")
-#: Words kept by a worker, and words encoded at a time.
-KEEP, BLOCK = 800_000, 1000
+WORD = "[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_WORD = re.compile(f"{WORD}+")
+#: Characters of plain words: letters whose lower case is one letter, digits, and marks but for the apostrophe and <.
+_UPPER, _LOWER, _MARKS = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ", r"!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~"
+_PLAIN = f"^[{_UPPER}{_LOWER}0-9{_MARKS}]+$"
+_PIECE = f"([{_LOWER}]+|[0-9]|[{_MARKS}]+)"
+#: Pieces that the library encodes at a time.
+BLOCK = 1000
 
 
 def words(text: str) -> list[str]:
     return _WORD.findall(text) if _ODD.search(text) else text.split()
 
 
+def _gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``data`` one after another."""
+    ends = np.cumsum(sizes)
+    return data[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _offsets(lists: pa.Array) -> np.ndarray:
+    """Bounds of the lists in their flattened values."""
+    own = lists.offsets.to_numpy()
+    return own - own[0]
+
+
 class Encoder:
-    """ids of words and texts, as little-endian unsigned 32-bit integers."""
+    """ids of texts, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -45,7 +60,6 @@ class Encoder:
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.strings = [self.library.id_to_token(i) or "" for i in range(size)]
         self.ends = np.array([s.endswith("</w>") for s in self.strings])
-        self.known: dict[str, bytes] = {}
         probe = ["Ab", "c'd", "12", "é.", "!?"]
         if self.alone("\n ".join([*probe, ""])) != b"".join(map(self.alone, probe)):
             raise ValueError("the tokenizer does not drop white space")
@@ -54,50 +68,52 @@ class Encoder:
         """By the library itself."""
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, new: list[str]) -> None:
-        """Keep the ids of new words; those of a plain word are its pieces', which many words share."""
-        known, split, pieces = self.known, [], {}
-        for w in new:
-            if _PLAIN.fullmatch(w):
-                parts = _PIECE.findall(w.lower())
-                split.append((w, parts))
-                for p in parts:
-                    if p not in known:
-                        pieces[p] = None
-            else:
-                known[w] = self.alone(w)
-        fresh = list(pieces)
-        for k in range(0, len(fresh), BLOCK):
-            block = fresh[k : k + BLOCK]
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all, number of each)."""
+        data, sizes = [], []
+        for k in range(0, len(pieces), BLOCK):
+            block = pieces[k : k + BLOCK]
             ids = np.array(self.library.encode(" ".join(block), add_special_tokens=False).ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(block) or stops[-1] != len(ids):
-                for p in block:
-                    known[p] = self.alone(p)
-                continue
-            data, at = ids.tobytes(), 0
-            for p, end in zip(block, (stops * 4).tolist(), strict=True):
-                known[p] = data[at:end]
-                at = end
-        for w, parts in split:
-            known[w] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
-
-    def each(self, lists: list[list[str]]) -> Iterator[list[bytes]]:
-        """For each list, the ids of each of its words."""
-        every = set()
-        for x in lists:
-            every.update(x)
-        new = every - self.known.keys()
-        if len(self.known) + len(new) > KEEP:
-            self.known.clear()
-            new = every
-        self.learn(list(new))
-        for x in lists:
-            yield list(map(self.known.__getitem__, x))
+                own = [np.frombuffer(self.alone(p), "<u4") for p in block]
+                ids, stops = np.concatenate(own), np.cumsum([len(x) for x in own])
+            data.append(ids)
+            sizes.append(np.diff(stops, prepend=0))
+        return (np.concatenate(data), np.concatenate(sizes)) if data else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+
+    def _words(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all, start of each, number of each) for distinct words without white space."""
+        plain = pc.match_substring_regex(distinct, _PLAIN)
+        parted = pc.utf8_rtrim(pc.replace_substring_regex(pc.utf8_lower(distinct.filter(plain)), _PIECE, r"\1 "), " ")
+        lists = pc.split_pattern(parted, " ")
+        coded = lists.flatten().dictionary_encode()
+        ids, sizes = self._pieces(coded.dictionary.to_pylist())
+        which = coded.indices.to_numpy()
+        split = _gathered(ids, (np.cumsum(sizes) - sizes)[which], sizes[which])
+        ends = np.concatenate([[0], np.cumsum(sizes[which])])[_offsets(lists)]
+        rest = [np.frombuffer(self.alone(w), "<u4") for w in distinct.filter(pc.invert(plain)).to_pylist()]
+        more = np.array([len(x) for x in rest], np.int64)
+        data = np.concatenate([split, *rest]).astype("<u4")
+        flag = plain.to_numpy(zero_copy_only=False).astype(bool)
+        starts, n = np.zeros(len(flag), np.int64), np.zeros(len(flag), np.int64)
+        starts[flag], n[flag] = ends[:-1], np.diff(ends)
+        starts[~flag], n[~flag] = len(split) + np.cumsum(more) - more, more
+        return data, starts, n
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
-        for x in self.each([words(t) for t in texts]):
-            yield b"".join(x)
+        """The ids of each text."""
+        if any(map(_ODD.search, texts)):
+            lists = pa.array([words(t) for t in texts], pa.list_(pa.string()))
+        else:
+            lists = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        data, starts, n = self._words(coded.dictionary)
+        which = coded.indices.to_numpy()
+        raw = _gathered(data, starts[which], n[which]).tobytes()
+        bounds = (4 * np.concatenate([[0], np.cumsum(n[which])])[_offsets(lists)]).tolist()
+        for at, end in zip(bounds, bounds[1:], strict=False):
+            yield raw[at:end]
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library's decode(ids, skip_special_tokens=False) for a tokenizer without a decoder."""
@@ -119,7 +135,7 @@ def tokenized(df: DataFrame, path: str, last: int | None = None, id_col: str = "
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for part in slices(batches, most=1 << 20):
+        for part in slices(batches, most=8 << 20):
             yield table(_SCHEMA, part.column(0), [x + tail for x in own.texts(part.column(1).to_pylist())])
 
     return keyed_text(df, id_col, text_col).mapInArrow(scan, "doc_id bigint, ids binary")

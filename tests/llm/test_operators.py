@@ -404,11 +404,19 @@ def test_bpe_of_odd_rows(odd, empty, library):
     assert bpe.encode_documents(empty, PATH).count() == 0
 
 
-def test_a_full_cache_changes_nothing(monkeypatch, texts):
-    monkeypatch.setattr(tokens, "KEEP", 50)
-    own = tokens.Encoder(PATH)
-    some = list(texts.values())[:20]
+def test_encoder_equals_the_library(texts, library):
+    own = tokens.encoder(PATH)
+    some = [*texts.values(), *TRICKY]
     assert list(own.texts(some)) == [own.alone(t) for t in some]
+    assert list(own.texts([])) == [] and list(own.texts(["", " "])) == [b"", b""]
+    assert list(own.texts(TRICKY[::-1][:3])) == [own.alone(t) for t in TRICKY[::-1][:3]]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(max_size=60), max_size=4))
+def test_encoder_on_any_text(raw):
+    own = tokens.encoder(PATH)
+    assert list(own.texts(raw)) == [own.alone(t) for t in raw]
 
 
 # 9: language
