@@ -31,3 +31,8 @@ def balance(df: DataFrame, partitions: int, key: str) -> DataFrame:
     """partitions that hold rows, largest, mean and skew (largest by mean) after hashing by key."""
     sizes = df.repartition(partitions, key).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"))
     return sizes.agg(F.count("*").alias("partitions"), F.max("n").alias("largest"), F.avg("n").alias("mean"), (F.max("n") / F.avg("n")).alias("skew"))
+
+
+def rendered(df: DataFrame, rows: int, width: int, vertical: bool = False) -> str:
+    """The first rows as a framed table, cells cut to ``width``."""
+    return df._jdf.showString(rows, width, vertical)
