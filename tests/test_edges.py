@@ -195,3 +195,22 @@ def test_streaming_windows(spark):
     df = events.source(spark, "/root/testdata/sf0.001", "events.parquet")
     out = events.drained(events.tumbling(df, "ts", "1 day", "1 hour", ["event_type"]), "tumbled")
     assert out.agg(F.sum("n")).first()[0] == 1000
+
+
+def test_transactions(spark):
+    from lattica.operators.transactions import Store, TransactionError
+
+    store = Store(spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, s string"))
+    low, high = store.begin("read_committed"), store.begin()
+    other = store.begin()
+    other.insert([(3, "c")])
+    other.commit()
+    assert (low.read().count(), high.read().count(), store.current.count()) == (3, 2, 3)
+    low.delete(F.col("id") == 1)
+    low.commit()
+    assert sorted(r["id"] for r in store.current.collect()) == [2, 3]
+    high.rollback()
+    with pytest.raises(TransactionError):
+        high.read()
+    with pytest.raises(TransactionError):
+        store.begin().rollback_to("nothing")
