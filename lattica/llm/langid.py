@@ -55,19 +55,19 @@ def content(texts: list[str], size: int = DICT_BYTES) -> bytes:
     return passages + " ".join(["", *reversed(chosen), ""]).encode()
 
 
-def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", rows: int = ROWS, size: int = DICT_BYTES) -> dict[str, bytes]:
-    """Dictionaries from at most about ``rows`` rows a language, chosen by a hash of ``order_col``.
+def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = ROWS, size: int = DICT_BYTES) -> dict[str, bytes]:
+    """Dictionaries from at most about ``rows`` rows a language, chosen by a hash of the text.
 
     The counts of rows a language are taken over all rows; the sample's expected size is
     fixed, so what comes to the driver does not grow with the input.
     """
-    known = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(F.col(order_col)), F.lit(1 << 30)).alias("at")).where("text IS NOT NULL AND lang IS NOT NULL")
+    known = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 30)).alias("at")).where("text IS NOT NULL AND lang IS NOT NULL")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()}
     if not counts:
         return {}
     share = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(min(1 << 30, int(rows / n * (1 << 30)) + 1))) for lang, n in counts.items()))
     sample: dict[str, list] = {lang: [] for lang in counts}
-    for r in known.where(F.col("at") < share).orderBy("lang", "at", F.xxhash64("text")).collect():
+    for r in known.where(F.col("at") < share).orderBy("lang", "at", "text").collect():
         sample[r["lang"]].append(r["text"])
     return {lang: content(texts, size) for lang, texts in sample.items()}
 
