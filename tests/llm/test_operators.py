@@ -10,9 +10,9 @@ import brute
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import LONG, ODD
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from odd_rows import LONG, ODD
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
