@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cuts, keyed_text, slices, table
+from lattica.llm.common import cuts, keyed_text, lean, slices, table
 from lattica.llm.tokens import WORD, Encoder, encoder
 
 #: Sizes of chunks in bytes: least, 2**BITS more on average, most.
@@ -65,7 +65,7 @@ def named(texts: DataFrame) -> DataFrame:
         for part in slices(batches):
             yield table(_NAMED, part.column(0), [digest(t.encode()) for t in part.column(1).to_pylist()])
 
-    return texts.mapInArrow(scan, "doc_id bigint, text_digest binary")
+    return texts.mapInArrow(lean(scan), "doc_id bigint, text_digest binary")
 
 
 def ordered(texts: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def ordered(texts: DataFrame) -> DataFrame:
                     rows.append((digest(min(map(digest, chunks_of(data)), default=b"")), d, pack.compress(data)))
             yield table(_BODY, *([r[i] for r in rows] for i in range(3)))
 
-    bodies = texts.mapInArrow(scan, "least binary, text_digest binary, data binary")
+    bodies = texts.mapInArrow(lean(scan), "least binary, text_digest binary, data binary")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return bodies.repartitionByRange(parts, "least", "text_digest").sortWithinPartitions("least", "text_digest")
 
@@ -174,12 +174,12 @@ def put_together(texts: DataFrame, path: str, keep_ids: bool = False) -> DataFra
             if out:
                 yield table(_TEXT, *(list(c) for c in zip(*out, strict=True)))
 
-    return ordered(texts).select("text_digest", "data").mapInArrow(scan, "text_digest binary, n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids binary")
+    return ordered(texts).select("text_digest", "data").mapInArrow(lean(scan), "text_digest binary, n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids binary")
 
 
 def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids."""
     texts = keyed_text(df, id_col, text_col)
-    done = put_together(texts, path, keep_ids)  # equal texts are in one range, so each comes once
+    done = put_together(texts, path, keep_ids).dropDuplicates(["text_digest"])
     out = named(texts).join(done, "text_digest").drop("text_digest")
     return out if keep_ids else out.drop("ids")

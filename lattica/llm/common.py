@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
@@ -32,6 +33,21 @@ def slices(batches: Iterator[pa.RecordBatch], sized: str = "text", most: int = 8
             at = upto
 
 
+def lean(scan):
+    """``scan`` for mapInArrow, after which the worker gives its free memory back, as idle workers live on beside busy ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from scan(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def table(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -76,15 +92,16 @@ def cuts(data: bytes, least: int, bits: int, most: int) -> list[int]:
 
 
 def packed(texts: DataFrame, level: int = 6) -> DataFrame:
-    """(doc_id, data): the texts of (doc_id, text) compressed, for a shuffle."""
-    schema = pa.schema([("doc_id", pa.int64()), ("data", pa.binary())])
+    """(key, data): the texts of (key, text) compressed, for a shuffle; the key is a long or binary."""
+    key, kind = texts.dtypes[0]
+    schema = pa.schema([(key, pa.int64() if kind == "bigint" else pa.binary()), ("data", pa.binary())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=level)
         for part in slices(batches):
             yield table(schema, part.column(0), [pack.compress(t.encode()) for t in part.column(1).to_pylist()])
 
-    return texts.mapInArrow(scan, "doc_id bigint, data binary")
+    return texts.mapInArrow(lean(scan), f"{key} {kind}, data binary")
 
 
 def unpacked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import table
+from lattica.llm.common import lean, table
 from lattica.plans.durable import staged
 
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -65,7 +65,7 @@ def components(edges: DataFrame) -> DataFrame:
     Links with a null end and links of a node with itself say nothing and are left out.
     """
     links = edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v"), (F.col("u") != F.col("v")).alias("ok")).where("ok").select("u", "v")
-    e = staged(links.mapInArrow(_merged, "u bigint, v bigint").distinct(), "links")
+    e = staged(links.mapInArrow(lean(_merged), "u bigint, v bigint").distinct(), "links")
     while True:
         # small star: a node's smaller neighbours and itself go to the smallest of them
         least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))

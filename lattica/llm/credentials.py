@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import keyed_text, slices, table
+from lattica.llm.common import keyed_text, lean, slices, table
 
 #: Fixed patterns; ASSIGN is matched against text whose A-Z are in lower case.
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""")
@@ -100,7 +100,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for part in slices(batches):
             yield table(_SCHEMA, part.column(0), [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans_of(t, reach)] for t in part.column(1).to_pylist()])
 
-    return keyed_text(df, id_col, text_col).mapInArrow(scan, f"doc_id bigint, spans {SPANS}")
+    return keyed_text(df, id_col, text_col).mapInArrow(lean(scan), f"doc_id bigint, spans {SPANS}")
 
 
 def redact(df: DataFrame, text_col: str = "text", mask: str = "[REDACTED]", reach: int = REACH) -> DataFrame:
@@ -121,7 +121,7 @@ def redact(df: DataFrame, text_col: str = "text", mask: str = "[REDACTED]", reac
             texts = pa.array([t if t is None else clean(t) for t in part.column(k).to_pylist()], type=part.schema.field(k).type)
             yield pa.RecordBatch.from_arrays([texts if i == k else part.column(i) for i in range(len(names))], names=names)
 
-    return df.mapInArrow(scan, df.schema)
+    return df.mapInArrow(lean(scan), df.schema)
 
 
 def secret_digest(df: DataFrame) -> DataFrame:

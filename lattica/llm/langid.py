@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import slices, table
+from lattica.llm.common import lean, slices, table
 
 LETTER, OTHERS = re.compile(r"[^\W\d_]"), re.compile(r"[\W\d_]+")
 #: Bounds of what is learned: training rows a language, bytes of a dictionary, languages.
@@ -104,7 +104,7 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_i
             found = [score(t) for t in part.column(1).to_pylist()]
             yield table(_SCHEMA, part.column(0), *(list(c) for c in zip(*found, strict=True))) if found else table(_SCHEMA, [], [], [], [])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, "doc_id bigint, lang_pred string, score double, confident boolean")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(scan), "doc_id bigint, lang_pred string, score double, confident boolean")
 
 
 def predict_held_out(df: DataFrame) -> DataFrame:

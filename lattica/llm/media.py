@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cuts, grouped, keyed_text, slices, table
+from lattica.llm.common import cuts, grouped, keyed_text, lean, slices, table
 
 #: Sizes of chunks in bytes: least, 2**BITS more on average, most.
 LEAST, BITS, MOST = 2048, 12, 32768
@@ -96,7 +96,7 @@ def recipes(texts: DataFrame) -> DataFrame:
                 out.append((len(data), hashlib.sha256(media).digest(), [digest(c) for c in chunks_of(media)]))
             yield table(_RECIPE, part.column(0), *([x[i] for x in out] for i in range(3)))
 
-    return texts.mapInArrow(scan, "doc_id bigint, n_bytes bigint, media_sha256 binary, recipe array<binary>")
+    return texts.mapInArrow(lean(scan), "doc_id bigint, n_bytes bigint, media_sha256 binary, recipe array<binary>")
 
 
 def dictionary(texts: DataFrame, sample: int = SAMPLE, size: int = DICT_BYTES) -> bytes:
@@ -130,7 +130,7 @@ def chunk_store(texts: DataFrame, shared: bytes = b"") -> DataFrame:
                         data.append(pack.compress(c))
             yield table(_STORE, keys, data)
 
-    return texts.mapInArrow(scan, "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data"))
+    return texts.mapInArrow(lean(scan), "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data"))
 
 
 _READ = pa.schema([("media_sha256", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("feature", pa.string())])
@@ -155,7 +155,7 @@ def read_back(lists: DataFrame, store: DataFrame, shared: bytes = b"") -> DataFr
         if out:
             yield table(_READ, *(list(c) for c in zip(*out, strict=True)))
 
-    return found.select("media_sha256", "data").mapInArrow(rebuild, "media_sha256 binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, feature string")
+    return found.select("media_sha256", "data").mapInArrow(lean(rebuild), "media_sha256 binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, feature string")
 
 
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import grouped, keyed_text, packed, slices, table, unpacked
-from lattica.llm.components import UnionFind, components
+from lattica.llm.common import grouped, keyed_text, lean, packed, slices, table, unpacked
+from lattica.llm.components import components
 from lattica.llm.shingles import mix, shingle_sets
 from lattica.plans.durable import staged
 
 #: 40 bands of 5 rows miss a pair at 0.8 once in ten million.
 BANDS, ROWS = 40, 5
 #: Largest small bucket; documents and elements of a block.
-SMALL, DOCS, ELEMENTS = 8, 2048, 1_500_000
+SMALL, DOCS, ELEMENTS = 8, 1024, 500_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -85,7 +85,7 @@ def signed(texts: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) -
     """doc_id, n_shingles, set_digest, a hash for each band and a byte of each slot; the last three null for empty sets."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, most=2 << 20):
+        for part in slices(batches, most=1 << 20):
             of, elements, at = _sets(part, words)
             sig = signatures(of, elements, part.num_rows, bands * rows).reshape(part.num_rows, bands, rows)
             keys = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=np.uint64)), sig.shape[:2])
@@ -97,7 +97,7 @@ def signed(texts: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) -
             slots = sig.reshape(part.num_rows, -1).astype(np.uint8)
             yield table(_SIGNED, part.column(0), sizes, digests, [x if n else None for x, n in zip(lists, sizes, strict=True)], [x.tobytes() if n else None for x, n in zip(slots, sizes, strict=True)])
 
-    return texts.mapInArrow(scan, "doc_id bigint, n_shingles bigint, set_digest binary, bands array<bigint>, slots binary")
+    return texts.mapInArrow(lean(scan), "doc_id bigint, n_shingles bigint, set_digest binary, bands array<bigint>, slots binary")
 
 
 def full_sets(bodies: DataFrame, words: int) -> DataFrame:
@@ -108,7 +108,7 @@ def full_sets(bodies: DataFrame, words: int) -> DataFrame:
             _, elements, at = _sets(part, words)
             yield table(_SETS, part.column(0), [elements[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)])
 
-    return bodies.mapInArrow(scan, "doc_id bigint, elements binary")
+    return bodies.mapInArrow(lean(scan), "doc_id bigint, elements binary")
 
 
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -126,7 +126,7 @@ def likely(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([u.filter(keep), v.filter(keep)], schema=_LINKS)
 
     own = pairs.join(marks.select(F.col("doc_id").alias("u"), F.col("slots").alias("a")), "u").join(marks.select(F.col("doc_id").alias("v"), F.col("slots").alias("b")), "v")
-    return own.select("u", "v", "a", "b").mapInArrow(scan, "u bigint, v bigint")
+    return own.select("u", "v", "a", "b").mapInArrow(lean(scan), "u bigint, v bigint")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -143,7 +143,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield table(_LINKS, [u for u, _ in out], [v for _, v in out])
 
     own = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("elements").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("elements").alias("b")), "v")
-    return own.select("u", "v", "a", "b").mapInArrow(scan, "u bigint, v bigint")
+    return own.select("u", "v", "a", "b").mapInArrow(lean(scan), "u bigint, v bigint")
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -162,8 +162,8 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
                 np.add.at(out, (own[:, i], own[:, j]), 1)
                 np.add.at(out, (own[:, j], own[:, i]), 1)
     often = np.flatnonzero(times > 8)
-    for k in range(0, len(often), 4096):
-        some = often[k : k + 4096]
+    for k in range(0, len(often), 2048):
+        some = often[k : k + 2048]
         place = np.full(len(times), -1)
         place[some] = np.arange(len(some))
         hit = place[code] >= 0
@@ -182,14 +182,17 @@ def _blocks_compared(percent: int):
             sets = [np.frombuffer(x, np.uint64) for x in data]
             sizes, block = np.array([len(x) for x in sets]), np.array(blocks)
             both = common_counts(sets)
-            linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
-            if i != j:
-                linked &= block[:, None] != block[None, :]
-            own = UnionFind()
-            for a, b in zip(*np.nonzero(np.tril(linked, -1)), strict=True):
-                own.union(docs[a], docs[b])
-            forest = own.forest()
-            yield table(_LINKS, [u for u, _ in forest], [v for _, v in forest])
+            label = np.arange(len(sets))  # rows come by key, so the smallest label is the smallest key
+            for k in range(1, len(sets)):
+                shared = both[k, :k].astype(np.int64)
+                near = 100 * shared >= percent * (sizes[k] + sizes[:k] - shared)
+                if i != j:
+                    near &= block[:k] != block[k]
+                roots = np.unique(np.append(label[:k][near], label[k]))
+                if len(roots) > 1:
+                    label[np.isin(label, roots[1:])] = roots[0]
+            moved = np.flatnonzero(label != np.arange(len(sets)))
+            yield table(_LINKS, [docs[k] for k in moved], [docs[k] for k in label[moved]])
 
     return scan
 
@@ -210,7 +213,7 @@ def linked(buckets: DataFrame, marks: DataFrame, sets: DataFrame, percent: int)
     dealt = member.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     spread = dealt.join(sets, "doc_id").select("doc_id", "block", "elements", "g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     placed = spread.select(F.struct("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).alias("place"), "doc_id", "block", "elements")
-    many = placed.repartition("place").sortWithinPartitions("place", "doc_id").mapInArrow(_blocks_compared(percent), "u bigint, v bigint")
+    many = placed.repartition("place").sortWithinPartitions("place", "doc_id").mapInArrow(lean(_blocks_compared(percent)), "u bigint, v bigint")
     return few.unionAll(many)
 
 

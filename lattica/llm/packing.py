@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import slices, table
+from lattica.llm.common import lean, slices, table
 from lattica.llm.tokens import tokenized
 
 
@@ -184,7 +184,7 @@ def pack(examples: DataFrame, limits: Limits = Limits(), window: int = WINDOW) -
         yield from out(True)
 
     picked = examples.select("doc_id", F.coalesce("ids", F.lit(b"")).alias("ids"), answers.alias("answer"))
-    return picked.mapInArrow(scan, "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return picked.mapInArrow(lean(scan), "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
 def packed_documents(df: DataFrame, path: str, end_id: int = 1) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import keyed_text, slices, table
+from lattica.llm.common import keyed_text, lean, slices, table
 from lattica.llm.shingles import word_hashes
 
 #: Bound of the training sample, dimensions of the hashed features, steps of training.
@@ -192,23 +192,23 @@ def voted(texts: DataFrame) -> DataFrame:
     """doc_id, pattern: the votes in base 3."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, most=2 << 20):
+        for part in slices(batches, most=1 << 19):
             yield table(_VOTED, part.column(0), _patterns(*measures([t.encode() for t in part.column(1).to_pylist()])))
 
-    return texts.mapInArrow(scan, "doc_id bigint, pattern bigint")
+    return texts.mapInArrow(lean(scan), "doc_id bigint, pattern bigint")
 
 
 def featured(texts: DataFrame) -> DataFrame:
     """pattern, and features as 32-bit floats."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, most=2 << 20):
+        for part in slices(batches, most=1 << 19):
             data = [t.encode() for t in part.column(1).to_pylist()]
             values, words = measures(data)
             grams = [(np.bincount(trigrams(np.frombuffer(t, np.uint8)), minlength=DIMS) / (len(t) - 2) if len(t) > 2 else np.zeros(DIMS)).astype(np.float32).tobytes() for t in data]
             yield table(_SAMPLE, _patterns(values, words), grams, [x.tobytes() for x in _dense(values, words)])
 
-    return texts.mapInArrow(scan, "pattern bigint, grams binary, dense binary")
+    return texts.mapInArrow(lean(scan), "pattern bigint, grams binary, dense binary")
 
 
 @dataclass
@@ -252,11 +252,11 @@ def scored(df: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "d
     own = df.sparkSession.sparkContext.broadcast(model)  # DIMS weights and 3 ** labellers posteriors at most
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, most=2 << 20):
+        for part in slices(batches, most=1 << 19):
             weak, score = _scores(own.value, part.column(1).to_pylist(), threshold)
             yield table(_FULL, part.column(0), weak, score, score >= threshold)
 
-    return keyed_text(df, id_col, text_col).mapInArrow(scan, "doc_id bigint, weak_label double, score double, kept boolean")
+    return keyed_text(df, id_col, text_col).mapInArrow(lean(scan), "doc_id bigint, weak_label double, score double, kept boolean")
 
 
 _FULL = pa.schema([("doc_id", pa.int64()), ("weak_label", pa.float64()), ("score", pa.float64()), ("kept", pa.bool_())])
@@ -267,10 +267,10 @@ def accepted(df: DataFrame, model: Model, threshold: float = 0.5, text_col: str
     own, k = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col, 2 << 20):
+        for part in slices(batches, text_col, 1 << 19):
             yield part.filter(pa.array(_scores(own.value, part.column(k).to_pylist(), threshold)[1] >= threshold))
 
-    return df.mapInArrow(scan, df.schema)
+    return df.mapInArrow(lean(scan), df.schema)
 
 
 def classified(df: DataFrame, threshold: float = 0.5) -> DataFrame:

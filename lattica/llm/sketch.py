@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import keyed_text, packed, slices, table
+from lattica.llm.common import keyed_text, lean, packed, slices, table
 from lattica.llm.shingles import mix, shingle_sets
 
 #: A hash is retained below 1/SCALE of the range; words a shingle.
@@ -76,7 +76,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             found = sketches([t.encode() for t in part.column(1).to_pylist()], words, scale)
             yield table(schema, part.column(0), [f for f, _ in found])
 
-    return keyed_text(df, id_col, text_col).mapInArrow(scan, "doc_id bigint, fingerprint string")
+    return keyed_text(df, id_col, text_col).mapInArrow(lean(scan), "doc_id bigint, fingerprint string")
 
 
 def edited(text: str, following: str) -> str:
@@ -139,4 +139,4 @@ def compared_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if waiting:
             yield out()
 
-    return ranged.select("range", "extra", "doc_id", "data").mapInArrow(scan, _ROWS)
+    return ranged.select("range", "extra", "doc_id", "data").mapInArrow(lean(scan), _ROWS)

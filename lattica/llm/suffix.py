@@ -36,16 +36,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import slices, table
+from lattica.llm.common import lean, packed, slices, table
 from lattica.llm.shingles import mix
 from lattica.plans.durable import staged
 
 LENGTH = 400
 #: Bytes of a gram; most distinct fragments of an anchor, and bytes of fragments, in a block.
+#: Dealing an anchor out costs a digest for each of its windows, so one is dealt only where it outgrows a block.
 GRAM, HOT, BLOCK = 32, 20_000, 12 << 20
 #: Bytes searched for fragments at a time; places in them fit in PLACE bits.
 PLACE = 20
-LEVEL = 6
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -117,7 +117,7 @@ def found_fragments(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, most=4 << 20):
+        for part in slices(batches, most=1 << 20):
             names = part.column(0).to_pylist()
             for held in _blocks([t.encode() for t in part.column(1).to_pylist()], length):
                 joined = b"".join(p for _, _, p in held)
@@ -145,7 +145,7 @@ def found_fragments(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                 if rows:
                     yield table(_FOUND, *(list(c) for c in zip(*rows, strict=True)))
 
-    return texts.mapInArrow(scan, "doc binary, key bigint, digest binary, start bigint, upto bigint, anchor int, multi boolean")
+    return texts.mapInArrow(lean(scan), "doc binary, key bigint, digest binary, start bigint, upto bigint, anchor int, multi boolean")
 
 
 def repeated(parts: list[bytes], anchors: list[int], groups: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -272,17 +272,6 @@ def _cut(keep_text: bool):
     return scan
 
 
-def _packed(texts: DataFrame) -> DataFrame:
-    schema = pa.schema([("doc", pa.binary()), ("data", pa.binary())])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=LEVEL)
-        for part in slices(batches):
-            yield table(schema, part.column(0), [pack.compress(t.encode()) for t in part.column(1).to_pylist()])
-
-    return texts.mapInArrow(scan, "doc binary, data binary")
-
-
 def document_key(id_col: str, text_col: str) -> Column:
     """128 bits that name a document: equal for rows of equal key and text."""
     return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\0"), F.coalesce(F.col(text_col), F.lit("")))))
@@ -301,15 +290,15 @@ def removals(texts: DataFrame, length: int = LENGTH, keep_text: bool = False, ho
     compared = classes.join(several, "key").withColumn("deal", F.pmod(F.xxhash64("digest"), "dealt").cast("int"))
     wanted = compared.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_list(F.struct("key", "deal", "dealt", "at.start", "at.upto", "at.anchor", "settled")).alias("wanted"))
     suspects = found.select("doc").where("key IS NULL").union(candidates.select("doc")).distinct()
-    bodies = staged(_packed(texts).join(suspects, "doc", "left_semi").dropDuplicates(["doc"]), "bodies")
-    parts = bodies.join(wanted, "doc").mapInArrow(_fetch, "key bigint, deal int, dealt int, doc binary, start bigint, anchor int, settled boolean, part binary")
-    spans = staged(parts.repartition("key", "deal").sortWithinPartitions("key", "deal").mapInArrow(_compared(length), "doc binary, start bigint, upto bigint, window binary, open boolean"), "spans")
+    bodies = staged(packed(texts).join(suspects, "doc", "left_semi").dropDuplicates(["doc"]), "bodies")
+    parts = bodies.join(wanted, "doc").mapInArrow(lean(_fetch), "key bigint, deal int, dealt int, doc binary, start bigint, anchor int, settled boolean, part binary")
+    spans = staged(parts.repartition("key", "deal").sortWithinPartitions("key", "deal").mapInArrow(lean(_compared(length)), "doc binary, start bigint, upto bigint, window binary, open boolean"), "spans")
     over = spans.where("window IS NOT NULL").groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
     equal = candidates.join(classes.where("settled").select("key", "digest"), ["key", "digest"], "left_semi")
     every = found.where("key IS NULL").select("doc", "start", "upto").union(equal.select("doc", "start", "upto"))
     every = every.union(spans.where("window IS NULL").select("doc", "start", "upto")).union(spans.where("open").join(over, "window", "left_semi").select("doc", "start", "upto"))
     lists = every.groupBy("doc").agg(F.collect_set(F.struct("start", "upto")).alias("spans"))
-    return bodies.join(lists, "doc").select("doc", "data", "spans").mapInArrow(_cut(keep_text), "doc binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
+    return bodies.join(lists, "doc").select("doc", "data", "spans").mapInArrow(lean(_cut(keep_text)), "doc binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
 
 
 def dedup_report(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

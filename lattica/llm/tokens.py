@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from lattica.llm.common import keyed_text, slices, table
+from lattica.llm.common import keyed_text, lean, slices, table
 
 #: White space by Unicode; splitting at it otherwise also takes these four controls for it.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -138,4 +138,4 @@ def tokenized(df: DataFrame, path: str, last: int | None = None, id_col: str = "
         for part in slices(batches, most=8 << 20):
             yield table(_SCHEMA, part.column(0), [x + tail for x in own.texts(part.column(1).to_pylist())])
 
-    return keyed_text(df, id_col, text_col).mapInArrow(scan, "doc_id bigint, ids binary")
+    return keyed_text(df, id_col, text_col).mapInArrow(lean(scan), "doc_id bigint, ids binary")
