@@ -221,7 +221,8 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     """One row per input row: doc_id, n_shingles, component_id (the smallest key linked, itself included), kept."""
     texts = keyed_text(df, id_col, text_col)
     marks = staged(signed(texts, words, bands, rows), "signed")
-    classes = marks.where("set_digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_digest").agg(F.min("doc_id").alias("rep"))
+    # staged, so that a join with it can split the rows of one class over tasks
+    classes = staged(marks.where("set_digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_digest").agg(F.min("doc_id").alias("rep")), "classes")
     reps = marks.join(classes, (marks["set_digest"] == classes["set_digest"]) & (marks["doc_id"] == classes["rep"]), "left_semi").dropDuplicates(["doc_id"])
     placed = reps.select(F.explode("bands").alias("bucket"), "doc_id", F.col("n_shingles").alias("size"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
