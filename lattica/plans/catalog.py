@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that register queries when imported.
-MODULES = ("flagship", "q_scan", "q_join", "q_agg", "q_window", "q_text", "q_mutate", "q_more")
+MODULES = ("flagship", "q_scan", "q_join", "q_agg", "q_window", "q_text", "q_mutate", "q_more", "q_stream")
 
 _found: dict[str, Query] = {}
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.plans.durable import shared_dir
+
 
 def source(spark: SparkSession, folder: str, pattern: str = "*.parquet", schema: str | None = None) -> DataFrame:
     """A stream of the Parquet files in ``folder`` whose names match."""
@@ -25,8 +29,14 @@ def sessions(df: DataFrame, ts: str, gap: str, late: str, by: list[str]) -> Data
     return counted.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *by, "n")
 
 
-def drained(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """All that a finite stream yields, as a table in memory."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drained(df: DataFrame, name: str) -> DataFrame:
+    """All that a finite stream yields: each batch's complete result replaces the last one in the shared folder."""
+    spark = df.sparkSession
+    base = f"{shared_dir(spark)}/lattica-stream-{name}-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out")
+
+    q = df.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).parquet(f"{base}/out")
