@@ -12,8 +12,14 @@ def normalized(lo: Column, hi: Column) -> tuple[Column, Column]:
     return F.least(lo, hi), F.greatest(lo, hi)
 
 
-def islands(df: DataFrame, by: list[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
-    """Closed integer ranges merged where they overlap or touch, for each value of ``by``."""
+def islands(df: DataFrame, by: list[str], lo: str = "lo", hi: str = "hi", width: int | None = None) -> DataFrame:
+    """Closed integer ranges merged where they overlap or touch, for each value of ``by``.
+
+    With ``width``, ranges are first merged within bins of their lower bounds, so that a key with very
+    many ranges spreads over tasks, and only what is left is merged by key.
+    """
+    if width:
+        df = islands(df.withColumn("_bin", F.floor(F.col(lo) / width)), [*by, "_bin"], lo, hi)
     order = W.partitionBy(*by).orderBy(lo, hi)
     reach = F.max(hi).over(order.rowsBetween(W.unboundedPreceding, -1))
     starts = F.when(F.col(lo) <= reach + 1, F.lit(0)).otherwise(F.lit(1))

@@ -246,6 +246,6 @@ def pf_21(spark, sf):
 def pf_23(spark, sf):
     e = F.col("event_id")
     r = load(spark, sf, "events").select("user_id", F.expr("event_id div 10").alias("lo"), (F.expr("event_id div 10") + e % 5).alias("hi"))
-    merged = ranges.islands(r, ["user_id"])
+    merged = ranges.islands(r, ["user_id"], width=500)
     side = lambda df, s: df.select(F.lit(s).alias("side"), "user_id", "lo", "hi")
     return side(merged, "in").unionAll(side(ranges.gaps(merged, ["user_id"]), "out"))

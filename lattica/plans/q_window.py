@@ -64,4 +64,4 @@ def wn_18(spark, sf):
           FROM (SELECT user_id, event_id AS lo, event_id + 150 AS hi FROM events))) GROUP BY user_id, g""")
 def wn_19(spark, sf):
     r = load(spark, sf, "events").select("user_id", F.col("event_id").alias("lo"), (F.col("event_id") + 150).alias("hi"))
-    return ranges.islands(r, ["user_id"])
+    return ranges.islands(r, ["user_id"], width=2000)

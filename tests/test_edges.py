@@ -119,6 +119,7 @@ def test_islands_touch_nest_and_repeat(spark):
     r = spark.createDataFrame([(1, 3), (4, 5), (4, 5), (2, 2), (9, 10)], "lo bigint, hi bigint").withColumn("g", F.lit(1))
     merged = ranges.islands(r, ["g"])
     assert sorted((x["lo"], x["hi"]) for x in merged.collect()) == [(1, 5), (9, 10)]
+    assert sorted(map(tuple, ranges.islands(r, ["g"], width=3).collect())) == sorted(map(tuple, merged.collect()))
     assert [(x["lo"], x["hi"]) for x in ranges.gaps(merged, ["g"]).collect()] == [(6, 8)]
     again = ranges.overlap_join(r, r, ["g"], 2)
     assert again.count() == sum(a[0] <= b[1] and b[0] <= a[1] for a in r.select("lo", "hi").collect() for b in r.select("lo", "hi").collect())
