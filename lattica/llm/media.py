@@ -138,8 +138,8 @@ _READ = pa.schema([("media_sha256", pa.binary()), ("payload_bytes", pa.int64()),
 
 def read_back(lists: DataFrame, store: DataFrame, shared: bytes = b"") -> DataFrame:
     """Rebuild each distinct media from its recipe and the store, verify it and describe its samples."""
-    wanted = lists.groupBy("media_sha256").agg(F.first("recipe").alias("recipe")).select("media_sha256", F.posexplode("recipe").alias("at", "digest"))
-    found = wanted.join(store, "digest", "left").repartition("media_sha256").sortWithinPartitions("media_sha256", "at")
+    wanted = lists.groupBy("media_sha256").agg(F.first("recipe").alias("recipe")).select("media_sha256", F.size("recipe").alias("n"), F.posexplode("recipe").alias("at", "digest"))
+    found = wanted.join(store, "digest", "left")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, out = zstandard.ZstdDecompressor(dict_data=_loaded(shared)), []
@@ -155,7 +155,11 @@ def read_back(lists: DataFrame, store: DataFrame, shared: bytes = b"") -> DataFr
         if out:
             yield table(_READ, *(list(c) for c in zip(*out, strict=True)))
 
-    return found.select("media_sha256", "data").mapInArrow(lean(rebuild), "media_sha256 binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, feature string")
+    kinds = "media_sha256 binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, feature string"
+    # media of one chunk are whole where their chunk is; the others' chunks are brought together
+    one = found.where("n = 1").select("media_sha256", "data").mapInArrow(lean(rebuild), kinds)
+    many = found.where("n > 1").repartition("media_sha256").sortWithinPartitions("media_sha256", "at").select("media_sha256", "data")
+    return one.unionAll(many.mapInArrow(lean(rebuild), kinds))
 
 
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
