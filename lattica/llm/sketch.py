@@ -108,7 +108,7 @@ def compared_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ahead = F.broadcast(spark.createDataFrame(before, "first bigint, also int"))  # a row for each range
     rows = packed(texts).join(ahead, F.col("doc_id").eqNullSafe(F.col("first")), "left")
     spread = rows.select("doc_id", "data", F.explode(F.when(F.col("also").isNull(), F.array(F.struct(own.alias("range"), F.lit(False).alias("extra")))).otherwise(F.array(F.struct(own.alias("range"), F.lit(False).alias("extra")), F.struct(F.col("also").alias("range"), F.lit(True).alias("extra"))))).alias("to"))
-    ranged = spread.select("to.*", "doc_id", "data").repartition(parts, "range").sortWithinPartitions("range", "extra", F.asc_nulls_first("doc_id"), "data")
+    ranged = spread.select("to.*", "doc_id", "data").repartitionById(parts, "range").sortWithinPartitions("range", "extra", F.asc_nulls_first("doc_id"), "data")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
