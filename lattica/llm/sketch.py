@@ -115,11 +115,17 @@ def compared_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         range_, last, ended, waiting, size = None, None, False, [], 0
 
         def out() -> pa.RecordBatch:
-            found = sketches([x.encode() for _, t, nxt in waiting for x in (t, edited(t, nxt), nxt)])
-            got = []
-            for i, (key, t, nxt) in enumerate(waiting):
-                (f, h), (g, k), (e, m) = found[3 * i : 3 * i + 3]
-                got.append((key, len(t), hashlib.sha256(edited(t, nxt).encode()).hexdigest(), f, g, containment(f, g, h, k), containment(f, e, h, m)))
+            pieces, spots = [], []
+            for _, t, nxt in waiting:
+                if not pieces or pieces[-1] is not t:  # else it followed the one before and is there already
+                    pieces.append(t)
+                pieces += [edited(t, nxt), nxt]
+                spots.append((len(pieces) - 3, len(pieces) - 2, len(pieces) - 1))
+            data = [x.encode() for x in pieces]
+            found, got = sketches(data), []
+            for (key, t, _), (a, b, c) in zip(waiting, spots, strict=True):
+                (f, h), (g, k), (e, m) = found[a], found[b], found[c]
+                got.append((key, len(t), hashlib.sha256(data[b]).hexdigest(), f, g, containment(f, g, h, k), containment(f, e, h, m)))
             return table(_OUT, *(list(c) for c in zip(*got, strict=True)))
 
         for part in slices(batches, "data", 1 << 20):
