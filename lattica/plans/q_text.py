@@ -176,7 +176,11 @@ def cd_03(spark, sf):
     return load(spark, sf, "part").select("p_partkey", F.crc32(F.col("p_name").cast("binary")).alias("r"))
 
 
-@query(None)
+@query(
+    """SELECT p_partkey, ((n + list_sum(list_transform(range(1, n + 1), lambda i: (n - i + 1) * ascii(s[i])))) % 65521 * 65536
+              + (1 + list_sum(list_transform(range(1, n + 1), lambda i: ascii(s[i])))) % 65521)::BIGINT AS r
+       FROM (SELECT p_partkey, p_name AS s, length(p_name) AS n FROM part)"""
+)
 def cd_04(spark, sf):
     return load(spark, sf, "part").select("p_partkey", codecs.adler32(F.col("p_name")).alias("r"))
 
