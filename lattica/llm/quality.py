@@ -7,7 +7,8 @@ and the classes' shares.  The posterior of a text's pattern is its weak label.
 A hashed linear scorer, trained on the posteriors of a bounded sample, scores
 every whole text from byte trigrams and the labellers' measures.
 
-Null and empty texts give no evidence: every labeller abstains, and they are kept.
+Null, empty and very short texts give little evidence: labellers abstain, and without a vote that
+they are bad they are kept.
 Repeated rows get equal scores.  Without rows, or where the sample has one class
 only, the score is the posterior.
 """
@@ -40,23 +41,24 @@ FUNCTION_WORDS = (
 
 @dataclass(frozen=True)
 class Labeller:
-    """Votes bad from ``bad`` on, good up to ``good`` (both turned round where bad < good), else abstains."""
+    """Votes bad from ``bad`` on, good up to ``good`` (both turned round where bad < good), else abstains, as on texts of fewer words."""
 
     name: str
     good: float
     bad: float
+    words: int
 
 
 #: A measure of 0 to 1, or a length, for each; see ``measures``.  A good limit of -1 is never
 #: met: such a labeller knows one kind of bad text, and its silence says little.
 LABELLERS = (
-    Labeller("symbols", -1, 0.10),  # marks such as # $ % & * | among all characters
-    Labeller("capitals", -1, 0.50),  # upper case among ASCII letters
-    Labeller("repeats", -1, 0.15),  # words equal to the word before
-    Labeller("function_words", 0.12, 0.04),  # words that any prose has
-    Labeller("bare_marks", -1, 0.15),  # words without a letter or digit
-    Labeller("exclamations", -1, 0.30),  # words that end in !
-    Labeller("variety", 0.50, 0.15),  # distinct words, against what so many words would have
+    Labeller("symbols", -1, 0.10, 4),  # marks such as # $ % & * | among all characters
+    Labeller("capitals", -1, 0.50, 8),  # upper case among ASCII letters
+    Labeller("repeats", -1, 0.15, 8),  # words equal to the word before
+    Labeller("function_words", 0.12, 0.04, 20),  # words that any prose has
+    Labeller("bare_marks", -1, 0.15, 4),  # words without a letter or digit
+    Labeller("exclamations", -1, 0.30, 4),  # words that end in !
+    Labeller("variety", 0.50, 0.15, 20),  # distinct words, against what so many words would have
 )
 _KINDS = np.zeros(256, np.uint8)
 _KINDS[list(b"#$%&*|<>{}[]^~=_+@\\")] = 1
@@ -65,8 +67,8 @@ _KINDS[ord("a") : ord("z") + 1] = 3
 _KINDS[ord("0") : ord("9") + 1] = 4
 _KINDS[128:] = 5
 _KINDS[ord("!")] = 6
-#: Fewest words for a vote.
-WORDS = 8
+#: Words from which a text may be rejected without a single vote that it is bad.
+WORDS = 20
 
 
 def measures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +112,7 @@ def votes(values: np.ndarray, words: np.ndarray) -> np.ndarray:
     turned = np.where(bad < good, -1.0, 1.0)
     v = values * turned
     out = np.where(v >= bad * turned, BAD, np.where(v <= good * turned, GOOD, ABSTAIN))
-    return np.where(words[:, None] >= WORDS, out, ABSTAIN)
+    return np.where(words[:, None] >= np.array([x.words for x in LABELLERS]), out, ABSTAIN)
 
 
 #: First guess of how often a labeller abstains, says bad and says good on texts of either class, and its weight in parts of the rows.
@@ -244,7 +246,8 @@ def _scores(m: Model, texts: list[str | None], threshold: float) -> tuple[list[f
     values, words = measures(data)
     weak = [m.posterior.get(c, m.share) for c in _patterns(values, words).tolist()]
     score = m.scorer(data) if m.scorer is not None else np.array(weak)
-    return weak, np.where(words >= WORDS, score, np.maximum(score, threshold))
+    evident = (words >= WORDS) | (votes(values, words) == BAD).any(1)
+    return weak, np.where(evident, score, np.maximum(score, threshold))
 
 
 def scored(df: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
