@@ -1,4 +1,4 @@
-"""Graph queries read every row of their table."""
+"""Graph and join queries read every row of their tables."""
 
 from lattica import registry
 
@@ -17,3 +17,13 @@ def test_graph_reads_every_order(spark):
     assert {r["v"]: r["component"] for r in run["gr_04_whole"](spark, SF).collect()} == strong
     weak = {k: min(own[c]) if c % 2 == 0 else -c for k, c in orders.items()} | {-c: -c for c in own if c % 2}
     assert {r["v"]: r["component"] for r in run["gr_07_whole"](spark, SF).collect()} == weak
+
+
+def test_joins_read_every_row_and_fan_out(spark):
+    run = registry.queries()
+    orders, items = (spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("orders", "lineitem"))
+    inner, left, right, full = (run[f"jn_0{n}_whole"](spark, SF) for n in (2, 3, 4, 5))
+    assert right.count() == items and inner.groupBy("ok").count().where("count > 1").count() > 0
+    assert left.count() - inner.count() == run["jn_07_whole"](spark, SF).count() > 0
+    assert run["jn_06_whole"](spark, SF).count() + run["jn_07_whole"](spark, SF).count() == orders
+    assert full.count() == left.count() + right.count() - inner.count()
