@@ -17,11 +17,14 @@ turns of their own.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 TURNS = "array<struct<role:string,text:string>>"
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>"
@@ -58,22 +61,54 @@ def fingerprint(record: Column) -> Column:
     return F.xxhash64(F.regexp_replace(shape, r": (?:[A-Z]+(?:\([0-9,]+\))?)(?=[,>])", ""))
 
 
+def example(kind: DataType) -> str:
+    """A small JSON text of the field paths of a type; an array has one element."""
+    if isinstance(kind, StructType):
+        return "{" + ",".join(f"{json.dumps(f.name)}:{example(f.dataType)}" for f in kind) + "}"
+    return f"[{example(kind.elementType)}]" if isinstance(kind, ArrayType) else '""'
+
+
+def typed_fingerprint(kind: StructType) -> Column:
+    """The fingerprint of records of a type, from its schema alone, however large they are."""
+    return fingerprint(F.parse_json(F.lit(example(kind))))
+
+
+def _turns(m: Mapping, items: Callable[[str], Column], string: Callable[[Column | None, str], Column]) -> Column:
+    """The turns by a mapping: ``items`` gives the array at a path, ``string`` the text at a path of an element or, for None, of the record; never null."""
+    if m.each:
+        path, role, text = m.each
+        named = lambda r: reduce(lambda c, kv: c.when(r == kv[0], F.lit(kv[1])), ROLES.items(), F.when(F.lit(False), r)).otherwise(r)
+        return F.transform(items(path), lambda x: F.struct(named(string(x, role)).alias("role"), string(x, text).alias("text")))
+    return F.array(*(F.struct(F.lit(role).alias("role"), F.concat_ws("\n", *(string(None, p) for p in paths)).alias("text")) for role, paths in m.fixed))
+
+
 def canonical_turns(record: Column, print_: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
     """The turns of a variant by the mapping that its fingerprint selects; null where none does."""
+    items = lambda path: F.coalesce(F.try_variant_get(record, path, "array<variant>"), F.array().cast("array<variant>"))
+    string = lambda x, path: F.coalesce(F.try_variant_get(record if x is None else x, path, "string"), F.lit(""))
+    chosen = F.when(F.lit(False), F.lit(None).cast(TURNS))
+    for m in mappings:
+        chosen = chosen.when(print_ == fingerprint(F.parse_json(F.lit(m.example))), _turns(m, items, string).cast(TURNS))
+    return chosen
 
-    def turns(m: Mapping) -> Column:
-        if m.each:
-            path, role, text = m.each
-            raw = F.coalesce(F.try_variant_get(record, path, "array<variant>"), F.array().cast("array<variant>"))
-            said = lambda x: F.coalesce(F.try_variant_get(x, role, "string"), F.lit(""))
-            named = lambda r: reduce(lambda c, kv: c.when(r == kv[0], F.lit(kv[1])), ROLES.items(), F.when(F.lit(False), r)).otherwise(r)
-            return F.transform(raw, lambda x: F.struct(named(said(x)).alias("role"), F.coalesce(F.try_variant_get(x, text, "string"), F.lit("")).alias("text")))
-        part = lambda p: F.coalesce(F.try_variant_get(record, p, "string"), F.lit(""))
-        return F.array(*(F.struct(F.lit(role).alias("role"), F.concat_ws("\n", *map(part, paths)).alias("text")) for role, paths in m.fixed))
 
+def _has(kind: DataType, path: str) -> bool:
+    for name in path.split(".")[1:]:
+        if not isinstance(kind, StructType) or name not in kind.names:
+            return False
+        kind = kind[name].dataType
+    return True
+
+
+def typed_turns(record: Column, kind: StructType, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
+    """The turns of a struct of type ``kind`` by the mapping that its fingerprint selects; null where none does."""
+    at = lambda x, path: reduce(lambda c, name: c[name], path.split(".")[1:], x)
+    items = lambda path: at(record, path)
+    string = lambda x, path: F.coalesce(at(record if x is None else x, path), F.lit(""))
     chosen = F.when(F.lit(False), F.lit(None).cast(TURNS))
     for m in mappings:
-        chosen = chosen.when(print_ == fingerprint(F.parse_json(F.lit(m.example))), turns(m).cast(TURNS))
+        if all(_has(kind, p) for p in ([m.each[0]] if m.each else [p for _, paths in m.fixed for p in paths])):
+            chosen = chosen.when(typed_fingerprint(kind) == fingerprint(F.parse_json(F.lit(m.example))), _turns(m, items, string).cast(TURNS))
     return chosen
 
 
@@ -122,10 +157,17 @@ def loss_spans(text: Column) -> Column:
     return step["spans"]
 
 
+def loss_texts(text: Column) -> Column:
+    """The texts at the loss spans of a formatted text, read in one pass."""
+    head = f"{OPEN}{LOSS_ROLE}{MIDDLE}"
+    parts = F.filter(F.split(text, "\\Q" + CLOSE + "\\E\n"), lambda p: F.startswith(p, F.lit(head)))
+    return F.transform(parts, lambda p: unescaped(F.substring(p, F.lit(len(head) + 1), F.length(p))))
+
+
 def format_records(df: DataFrame, record_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """``df`` with columns fingerprint, formatted and loss_spans for the JSON text in ``record_col``.
 
-    Texts that are no JSON have null columns.
+    Texts that are no JSON, or beyond the parser's limits (20 million characters a string, 128 MiB a record), have null columns.
     """
     own = F.try_parse_json(F.col(record_col))
     out = df.withColumn("_record", own).withColumn("fingerprint", fingerprint(F.col("_record")))
@@ -133,12 +175,24 @@ def format_records(df: DataFrame, record_col: str, mappings: tuple[Mapping, ...]
     return out.withColumn("loss_spans", loss_spans(F.col("formatted"))).drop("_record")
 
 
-def records_of(rows: DataFrame) -> DataFrame:
-    """(conv_id, record): rows by turn as JSON records of one of two layouts, a message list or, for a user's and an assistant's turn, a prompt and its response."""
+#: The two layouts of rows by turn.
+LISTED = StructType().add("messages", ArrayType(StructType().add("role", "string").add("content", "string")))
+ASKED = StructType().add("prompt", "string").add("response", "string")
+
+
+def format_turns(rows: DataFrame) -> DataFrame:
+    """(conv_id, formatted, loss_spans): rows by turn as records of one of two layouts, a message list or, for a user's and an assistant's turn, a prompt and its response.
+
+    The records are typed and their fingerprints those of the layouts, so no record passes the limits of a JSON parser or a variant.
+    """
     turns = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
-    pair = (F.size("turns") == 2) & (F.col("turns")[0]["role"] == "user") & (F.col("turns")[1]["role"] == "assistant")
-    asked = F.to_json(F.struct(F.col("turns")[0]["content"].alias("prompt"), F.col("turns")[1]["content"].alias("response")))
-    return rows.groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", F.when(pair, asked).otherwise(F.to_json(F.struct(F.col("turns").alias("messages")))).alias("record"))
+    said = F.col("turns")
+    one, two = F.get(said, F.lit(0)), F.get(said, F.lit(1))
+    pair = (F.size(said) == 2) & (one["role"] == "user") & (two["role"] == "assistant")
+    asked = F.when(pair, F.struct(one["content"].alias("prompt"), two["content"].alias("response")))
+    records = rows.groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", asked.alias("asked"), F.when(~pair, F.struct(said.alias("messages"))).alias("listed"))
+    own = F.when(F.col("asked").isNotNull(), typed_turns(F.col("asked"), ASKED)).otherwise(typed_turns(F.col("listed"), LISTED))
+    return records.select("conv_id", formatted(own).alias("formatted")).withColumn("loss_spans", loss_spans(F.col("formatted")))
 
 
 def chat_digest(conversations: DataFrame) -> DataFrame:
@@ -146,10 +200,9 @@ def chat_digest(conversations: DataFrame) -> DataFrame:
     rows = conversations.select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     control = conversations.sparkSession.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
-    out = format_records(records_of(rows.unionByName(control)), "record")
+    out = format_turns(rows.unionByName(control))
     turns = F.col("turns")
-    under = F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"])))
-    loss = F.array_join(under, "")
+    loss = F.array_join(loss_texts(F.col("formatted")), "")
     return out.withColumn("turns", read_turns(F.col("formatted"))).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

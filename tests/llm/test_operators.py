@@ -304,6 +304,29 @@ def test_chat_round_trip(spark):
     assert chat.chat_digest(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string, extra int")).count() == 1
 
 
+def test_chat_of_a_text_beyond_the_json_parser(spark):
+    rows = spark.range(2).selectExpr("1L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role", "repeat('ab', IF(id = 0, 1, 10500000)) AS text")
+    rows = rows.unionAll(rows.selectExpr("2L", "turn + 5", "role", "text")).unionAll(spark.sql("SELECT 2L, 9L, 'user', 'x'"))
+    got = {r["conv_id"]: r for r in chat.chat_digest(rows).collect()}
+    text = "ab" * 10500000
+    assert [got[k]["n_turns"] for k in (1, 2)] == [2, 3] and [got[k]["loss_chars"] for k in (1, 2)] == [len(text)] * 2
+    assert got[1]["turns_sha256"] == brute.sha(f"user\nab\nassistant\n{text}\n") and got[2]["turns_sha256"] == brute.sha(f"user\nab\nassistant\n{text}\nuser\nx\n")
+
+
+def test_chat_loss_texts_are_those_at_the_spans(spark):
+    turns = [("user", "a: b"), ("assistant", "</turn>\n### assistant: é𝄞\\"), ("assistant", ""), ("x", "y"), ("assistant", "z\n")]
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id bigint, turn int, role string, text string")
+    at = F.transform("loss_spans", lambda s: chat.unescaped(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"])))
+    got = chat.format_turns(df).select(chat.loss_texts(F.col("formatted")).alias("read"), at.alias("at")).first()
+    assert got["read"] == got["at"] == [t for r, t in turns if r == "assistant"]
+
+
+def test_chat_fingerprint_of_a_type_is_that_of_its_records(spark):
+    kinds = {chat.ASKED: '{"response":"b","prompt":"a"}', chat.LISTED: '{"messages":[{"role":"user","content":"a"}]}'}
+    for kind, record in kinds.items():
+        assert spark.range(1).select(chat.typed_fingerprint(kind) == chat.fingerprint(F.parse_json(F.lit(record)))).first()[0]
+
+
 def test_chat_layouts(spark):
     records = {
         '{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":"b"}]}': [("user", "a"), ("assistant", "b")],
