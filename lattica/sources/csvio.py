@@ -39,12 +39,23 @@ def infer_kind(samples: list[str | None], null: str = "") -> str:
     return "boolean" if all(s.lower() in ("true", "false", "0", "1") for s in known) else "string"
 
 
-def read_csv(spark: SparkSession, path: str, header: bool = True, delimiter: str = ",", quote: str = '"', null: str = "", sample: int = 1000) -> DataFrame:
-    """A CSV file or folder with inferred types; missing names become colN, short records are padded."""
+def read_csv(spark: SparkSession, path: str, header: bool = True, delimiter: str = ",", quote: str = '"', null: str = "") -> DataFrame:
+    """A CSV file or folder with types inferred from all rows; missing names become colN, short records are padded."""
     raw = spark.read.csv(path, header=header, sep=delimiter, quote=quote, escape=quote, multiLine=True, nullValue=null, mode="PERMISSIVE")
     raw = raw.toDF(*(c if header and c else f"col{i}" for i, c in enumerate(raw.columns)))
-    head = raw.limit(sample).collect()
-    return typed(raw, {c: infer_kind([r[c] for r in head], null) for c in raw.columns})
+    fits = raw.agg(*(F.bool_and(fit).alias(f"{i} {kind}") for i, c in enumerate(raw.columns) for kind, fit in _fits(F.when(F.col(c) != null, F.col(c))).items())).first()
+    return typed(raw, {c: next((k for k in KINDS if fits[f"{i} {k}"]), "string") for i, c in enumerate(raw.columns)})
+
+
+#: In the order of preference, before string; and what a number looks like, as a cast also takes 1d or 0x1p3.
+KINDS = ("bigint", "double", "boolean")
+_DOUBLE = r"(?i)^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)\s*$"
+
+
+def _fits(c: Column) -> dict[str, Column]:
+    """Whether a text is of each kind; NULL for NULL."""
+    number, truth = c.rlike(_DOUBLE) & F.trim(c).try_cast("double").isNotNull(), F.lower(F.trim(c)).isin("true", "false", "0", "1")
+    return {k: F.when(c.isNotNull(), v) for k, v in zip(KINDS, (F.trim(c).try_cast("bigint").isNotNull(), number, truth), strict=True)}
 
 
 def typed(raw: DataFrame, kinds: dict[str, str]) -> DataFrame:

@@ -190,6 +190,17 @@ def test_csv(spark, tmp_path):
     assert [r["s"] for r in back.orderBy("n").collect()] == ['a,"q"', "line\nbreak"]
 
 
+def test_csv_kinds_come_from_all_rows(spark, tmp_path):
+    late = ["2.5,n/a,2,9223372036854775808,x", ",,,,"]
+    (tmp_path / "x.csv").write_text("\n".join(["a,b,c,d,e", *["1,1,1,1,"] * 1500, *late]) + "\n")
+    df = csvio.read_csv(spark, f"file://{tmp_path}/x.csv")
+    assert [t for _, t in df.dtypes] == ["double", "string", "bigint", "double", "string"]
+    row = df.where("a > 2").first()
+    assert list(row) == [2.5, "n/a", 2, 9223372036854775808.0, "x"] and df.where("a IS NULL").count() == 1
+    (tmp_path / "y.csv").write_text("a,b,c\n1,True,1d\n0,0,2\ntrue,1,3\n")
+    assert [t for _, t in csvio.read_csv(spark, f"file://{tmp_path}/y.csv").dtypes] == ["boolean", "boolean", "string"]
+
+
 def test_streaming_windows(spark):
     from lattica.streaming import events
 
