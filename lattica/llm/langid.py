@@ -22,6 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lattica.llm.common import lean, slices, table
 
@@ -55,19 +56,37 @@ def content(texts: list[str], size: int = DICT_BYTES) -> bytes:
     return passages + " ".join(["", *reversed(chosen), ""]).encode()
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each (lang, at) once a task, with the least of its texts seen there."""
+    found: dict[tuple[str, int], str] = {}
+    for part in slices(batches):
+        for lang, at, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            found[lang, at] = min(text, found.get((lang, at), text))
+    for (lang, at), text in found.items():
+        yield table(_SAMPLE, [lang], [at], [text])
+
+
+_SAMPLE = pa.schema([("lang", pa.string()), ("at", pa.int64()), ("text", pa.string())])
+
+
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = ROWS, size: int = DICT_BYTES) -> dict[str, bytes]:
-    """Dictionaries from at most about ``rows`` rows a language, chosen by a hash of the text.
+    """Dictionaries from the ``rows`` distinct texts a language, or all if it has fewer, of the least hashes.
 
-    The counts of rows a language are taken over all rows; the sample's expected size is
-    fixed, so what comes to the driver does not grow with the input.
+    The counts of rows a language are taken over all rows; copies of a text count there but
+    are one text of the sample, so it has the size it can have however the copies are dealt,
+    and what comes to the driver is ``rows`` texts a language at most.
     """
-    known = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 30)).alias("at")).where("text IS NOT NULL AND lang IS NOT NULL")
+    known = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(text_col)).alias("at")).where("text IS NOT NULL AND lang IS NOT NULL")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()}
     if not counts:
         return {}
-    share = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(min(1 << 30, int(rows / n * (1 << 30)) + 1))) for lang, n in counts.items()))
+    # distinct by hash, without the texts; the limit of the rank is applied in each task before the shuffle, too
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("at"))
+    least = known.where(F.col("lang").isin(list(counts))).select("lang", "at").distinct().withColumn("nth", nth).where(F.col("nth") <= rows).select("lang", "at")
+    chosen = known.select("lang", "at", "text").join(F.broadcast(least), ["lang", "at"], "left_semi")  # rows * LANGS hashes at most
+    each = chosen.mapInArrow(lean(_once), "lang string, at bigint, text string").groupBy("lang", "at").agg(F.min("text").alias("text"))
     sample: dict[str, list] = {lang: [] for lang in counts}
-    for r in known.where(F.col("at") < share).orderBy("lang", "at", "text").collect():
+    for r in each.orderBy("lang", "at").collect():
         sample[r["lang"]].append(r["text"])
     return {lang: content(texts, size) for lang, texts in sample.items()}
 

@@ -455,6 +455,19 @@ def test_language_held_out(spark):
     assert len(sure) > 0.9 * len(held) and sum(r["lang"] == r["lang_pred"] for r in sure) / len(sure) > 0.985
 
 
+def test_language_sample_of_copies(spark):
+    some = "the quick brown fox jumps over the lazy dog number"
+    de = spark.range(10000).selectExpr("'der schnelle braune fuchs springt immer wieder' AS text", "'de' AS lang")
+    en = spark.range(400).selectExpr(f"concat('{some} x', translate(string(id), '0123456789', 'abcdefghij')) AS text", "'en' AS lang")
+    en = en.unionAll(spark.range(40000).selectExpr(f"'{some}' AS text", "'en' AS lang"))
+    seen = {}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(langid, "content", lambda texts, size: seen.setdefault(len(texts), texts) and b" ")
+        langid.fit(de.unionAll(en).repartition(4))
+    assert sorted(seen) == [1, langid.ROWS] and seen[1] == ["der schnelle braune fuchs springt immer wieder"]
+    assert len(set(seen[langid.ROWS])) == langid.ROWS
+
+
 def test_language_of_odd_rows(odd, empty):
     rows = langid.predict_held_out(odd).collect()
     assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows)
