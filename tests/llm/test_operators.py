@@ -468,6 +468,15 @@ def test_language_sample_of_copies(spark):
     assert len(set(seen[langid.ROWS])) == langid.ROWS
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGS", 2)
+    rows = [("alpha beta gamma delta", "a"), ("uno dos tres cuatro", "b"), ("eins zwei drei vier", "c"), ("un deux trois quatre", "d")]
+    df = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(rows)], "doc_id bigint, text string, lang string")
+    own = langid.fit(df, rows=4, size=600)
+    assert sorted(own) == ["a", "b", "c", "d"] and all(len(d) <= 320 for d in own.values())
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, own).collect()} == {i: k for i, (_, k) in enumerate(rows)}
+
+
 def test_language_of_odd_rows(odd, empty):
     rows = langid.predict_held_out(odd).collect()
     assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows)
