@@ -25,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import grouped, keyed_text, lean, packed, slices, table, unpacked
+from lattica.llm.common import grouped, lean, packed, slices, table, unpacked
 from lattica.llm.components import components
 from lattica.llm.shingles import mix, shingle_sets
 from lattica.plans.durable import staged
@@ -71,7 +71,7 @@ def signatures(of: np.ndarray, elements: np.ndarray, n: int, m: int) -> np.ndarr
     return best.reshape(n, m)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("slots", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("slots", pa.binary()), ("id", pa.int64())])
 _SETS = pa.schema([("doc_id", pa.int64()), ("elements", pa.binary())])
 
 
@@ -82,7 +82,7 @@ def _sets(part: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def signed(texts: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, set_digest, a hash for each band and a byte of each slot; the last three null for empty sets."""
+    """doc_id, n_shingles, set_digest, a hash for each band and a byte of each slot, of (doc_id, text, id), and id; set_digest to slots are null for empty sets."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, most=1 << 20):
@@ -95,9 +95,9 @@ def signed(texts: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) -
             digests = [hashlib.blake2b(elements[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)]
             lists = keys.view(np.int64).tolist()
             slots = sig.reshape(part.num_rows, -1).astype(np.uint8)
-            yield table(_SIGNED, part.column(0), sizes, digests, [x if n else None for x, n in zip(lists, sizes, strict=True)], [x.tobytes() if n else None for x, n in zip(slots, sizes, strict=True)])
+            yield table(_SIGNED, part.column(0), sizes, digests, [x if n else None for x, n in zip(lists, sizes, strict=True)], [x.tobytes() if n else None for x, n in zip(slots, sizes, strict=True)], part.column(2))
 
-    return texts.mapInArrow(lean(scan), "doc_id bigint, n_shingles bigint, set_digest binary, bands array<bigint>, slots binary")
+    return texts.mapInArrow(lean(scan), "doc_id bigint, n_shingles bigint, set_digest binary, bands array<bigint>, slots binary, id bigint")
 
 
 def full_sets(bodies: DataFrame, words: int) -> DataFrame:
@@ -217,26 +217,47 @@ def linked(buckets: DataFrame, marks: DataFrame, sets: DataFrame, percent: int)
     return few.unionAll(many)
 
 
-def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (the smallest key linked, itself included), kept."""
-    texts = keyed_text(df, id_col, text_col)
+def _row_key(id_col: str, text_col: str) -> Column:
+    """64 bits that name a row: equal for rows of equal key and text."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _grouped(df: DataFrame, words: int, percent: int, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row per input row: row (its key), doc_id, n_shingles, first (the smallest doc_id linked and its row)."""
+    texts = df.select(_row_key(id_col, text_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("id"))
     marks = staged(signed(texts, words, bands, rows), "signed")
+    named = marks.where("set_digest IS NOT NULL AND id IS NOT NULL")
     # staged, so that a join with it can split the rows of one class over tasks
-    classes = staged(marks.where("set_digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_digest").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = staged(named.groupBy("set_digest").agg(F.min("doc_id").alias("rep"), F.min("id").alias("least")), "classes")
     reps = marks.join(classes, (marks["set_digest"] == classes["set_digest"]) & (marks["doc_id"] == classes["rep"]), "left_semi").dropDuplicates(["doc_id"])
     placed = reps.select(F.explode("bands").alias("bucket"), "doc_id", F.col("n_shingles").alias("size"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     buckets = staged(placed.join(shared, "bucket", "left_semi"), "buckets")
     wanted = buckets.select("doc_id").distinct()
-    sets = staged(full_sets(packed(texts).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), words), "sets")
+    sets = staged(full_sets(packed(texts.select("doc_id", "text")).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), words), "sets")
     labels = components(linked(buckets, reps.select("doc_id", "slots"), sets, percent))
-    out = marks.select("doc_id", "n_shingles", "set_digest").join(classes, "set_digest", "left").join(labels, F.col("rep") == F.col("node"), "left")
-    found = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"))
+    # nodes are hashes: the smallest doc_id of a group, then its row of the least key
+    group = F.coalesce("component", "rep").alias("group")
+    of = staged(classes.join(labels, F.col("rep") == F.col("node"), "left").select("set_digest", "least", group), "groups")
+    least = of.groupBy("group").agg(F.min("least").alias("id"))
+    heads = staged(of.join(least, "group").select("set_digest", "group", "id"), "heads")
+    first = named.join(heads, ["set_digest", "id"]).groupBy("group").agg(F.min("doc_id").alias("head"))
+    known = staged(heads.join(first, "group").select("set_digest", F.col("id").alias("first_id"), "head"), "known")
+    out = marks.select(F.col("doc_id").alias("row"), F.col("id").alias("doc_id"), "n_shingles", "set_digest").join(known, "set_digest", "left")
+    return out.drop("set_digest").withColumn("head", F.when(F.col("doc_id").isNotNull(), F.col("head"))).withColumn("first_id", F.coalesce("first_id", "doc_id"))
+
+
+def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (the smallest key linked, itself included), kept.
+
+    Rows are told apart by key and text, so that every text of a key that repeats is compared.
+    """
+    found = _grouped(df, words, percent, id_col, text_col, bands, rows)
+    return found.select("doc_id", "n_shingles", F.col("first_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("first_id")).alias("kept"))
 
 
 def without_near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one row of each group, that of the smallest key; rows without a key stay."""
-    gone = near_duplicates(df, words, percent, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    rest = df.join(gone, df[id_col].cast("long") == F.col("_gone"), "left_anti")
-    return rest.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(rest.where(F.col(id_col).isNull()))
+    """``df`` with one row of each group, that of the smallest key; rows without a key stay, as do texts of one key that are not alike."""
+    gone = _grouped(df, words, percent, id_col, text_col).where("row <> head").select(F.col("row").alias("_gone")).distinct()
+    rest = df.withColumn("_row", _row_key(id_col, text_col)).join(gone, F.col("_row") == F.col("_gone"), "left_anti")
+    return rest.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, "_row"]).unionByName(rest.where(F.col(id_col).isNull())).drop("_row")

@@ -172,6 +172,17 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert sorted(((r["doc_id"] is None, r["doc_id"]) for r in kept.select("doc_id").collect()), key=str) == sorted([(False, i) for i in (1, 2, 3, 4, 6, 8, 9)] + [(True, None)], key=str)
 
 
+def test_texts_of_a_key_that_repeats(spark):
+    one, two, three = ([f"{k}{i}" for i in range(40)] for k in "abc")
+    said = lambda *w: " ".join(w)
+    rows = [(1, said(*one)), (5, said(*one, "x")), (5, said(*two)), (5, said(*two)), (5, said(*three)), (7, said(*three, "y")), (8, ""), (8, "!"), (9, said(*one[:9])), (9, said(*one[:9]).upper())]
+    kept = minhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 2)
+    got = sorted((r["doc_id"], r["text"].lower()) for r in kept.collect())
+    assert got == [(1, said(*one)), (5, said(*two)), (5, said(*three)), (8, ""), (8, "!"), (9, said(*one[:9]))]
+    near = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 2).collect()
+    assert len(near) == len(rows) and sorted(r["component_id"] for r in near if r["doc_id"] in (1, 5, 7)) == [1, 1, 5, 5, 5, 5]
+
+
 def test_components(spark):
     rng = random.Random(8)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1060)] + [(5000, k) for k in range(5001, 5100)] + [(7, 7)]
