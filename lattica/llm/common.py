@@ -92,14 +92,14 @@ def cuts(data: bytes, least: int, bits: int, most: int) -> list[int]:
 
 
 def packed(texts: DataFrame, level: int = 6) -> DataFrame:
-    """(key, data): the texts of (key, text) compressed, for a shuffle; the key is a long or binary."""
+    """(key, data): the texts of (key, text) compressed, for a shuffle; the key is a long or binary, the text a string or its bytes."""
     key, kind = texts.dtypes[0]
     schema = pa.schema([(key, pa.int64() if kind == "bigint" else pa.binary()), ("data", pa.binary())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=level)
         for part in slices(batches):
-            yield table(schema, part.column(0), [pack.compress(t.encode()) for t in part.column(1).to_pylist()])
+            yield table(schema, part.column(0), [pack.compress(t.encode() if isinstance(t, str) else t) for t in part.column(1).to_pylist()])
 
     return texts.mapInArrow(lean(scan), f"{key} {kind}, data binary")
 

@@ -19,9 +19,17 @@ An anchor with more than ``HOT`` distinct fragments is dealt over several blocks
 Windows repeated within a block are settled there; what stays single, and one of each
 settled class, is compared over the blocks by 128-bit digests in a Spark aggregation.
 
-Rows equal in key and text count as one document and have equal results.  A null text is an
-empty one, texts shorter than ``length`` have nothing removed; texts of any length are cut
-into blocks that overlap, whose windows are all the text's windows.
+The construction is over distinct texts: a text of several rows, equal keys or not, stands in
+several places, so all of it is repeated if it has ``length`` bytes.  A report at two lengths
+runs the construction at the shorter one, and at the longer one only over the spans found
+there that are long enough: a repeated string's own substrings are repeated, too, so no longer
+string is missed.
+
+A null text is an empty one, texts shorter than ``length`` have nothing removed; texts of any length are cut
+into blocks that overlap, whose windows are all the text's windows.  Rows without a key are
+rows like others.  An empty table gives an empty result.  Columns of other names, also those
+used inside, are carried along by ``dedup_text`` and not looked at; strings that tie are equal
+and all go, none is preferred.
 """
 
 from __future__ import annotations
@@ -29,18 +37,20 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import lean, packed, slices, table
 from lattica.llm.shingles import mix
-from lattica.plans.durable import staged
+from lattica.plans.durable import discard, staged
 
-LENGTH = 400
+#: Bytes of a repeated string; of a passage of fifty words of four letters and a space.
+LENGTH, PASSAGE = 400, 250
 #: Bytes of a gram; most distinct fragments of an anchor, and bytes of fragments, in a block.
 #: Dealing an anchor out costs a digest for each of its windows, so one is dealt only where it outgrows a block.
 GRAM, HOT, BLOCK = 32, 20_000, 12 << 20
@@ -111,7 +121,7 @@ _FOUND = pa.schema([("doc", pa.binary()), ("key", pa.int64()), ("digest", pa.bin
 
 
 def found_fragments(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Fragments (doc, key, digest, start, upto, anchor, multi), and rows without a key: spans repeated within one document.
+    """Fragments (doc, key, digest, start, upto, anchor, multi) of (doc, text as bytes), and rows without a key: spans repeated within one document.
 
     Of equal fragments of a document one stays, marked ``multi``; the spans of all are settled.
     """
@@ -119,7 +129,7 @@ def found_fragments(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, most=1 << 20):
             names = part.column(0).to_pylist()
-            for held in _blocks([t.encode() for t in part.column(1).to_pylist()], length):
+            for held in _blocks(part.column(1).to_pylist(), length):
                 joined = b"".join(p for _, _, p in held)
                 bounds = np.cumsum([len(p) for _, _, p in held])
                 first, windows, anchor, grams = fragments(np.frombuffer(joined, np.uint8), bounds, length)
@@ -247,6 +257,18 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _KEPT = pa.schema([("doc", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
+_PIECES = pa.schema([("doc", pa.binary()), ("first", pa.bool_()), ("removed", pa.int64()), ("spans", pa.int64()), ("n", pa.int64()), ("start", pa.int64()), ("piece", pa.binary()), ("text", pa.binary())])
+
+
+def merged(spans: list[dict]) -> list[tuple[int, int]]:
+    """Maximal runs covered by the spans, in order; those that touch are one."""
+    out: list[list[int]] = []
+    for start, upto in sorted((s["start"], s["upto"]) for s in spans):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], upto)
+        else:
+            out.append([start, upto])
+    return [(a, b) for a, b in out]
 
 
 def _cut(keep_text: bool):
@@ -255,33 +277,39 @@ def _cut(keep_text: bool):
         for b in slices(batches, "data", 1 << 20):
             out = []
             for doc, data, spans in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                text, kept, at, n, removed = unpack.decompress(data), [], 0, 0, 0
-                for start, upto in sorted((s["start"], s["upto"]) for s in spans):
-                    if start > at or n == 0:
-                        n += 1
-                        kept.append(text[at:start])
-                        removed += upto - start
-                        at = upto
-                    elif upto > at:
-                        removed += upto - at
-                        at = upto
-                rest = b"".join([*kept, text[at:]])
-                out.append((doc, removed, n, hashlib.sha256(rest).hexdigest(), rest.decode(errors="ignore") if keep_text else None))
+                text, runs = unpack.decompress(data), merged(spans)
+                rest = b"".join(text[a:b] for a, b in zip([0, *(b for _, b in runs)], [*(a for a, _ in runs), len(text)], strict=True))
+                out.append((doc, len(text) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest.decode(errors="ignore") if keep_text else None))
             yield table(_KEPT, *(list(c) for c in zip(*out, strict=True)))
 
     return scan
 
 
-def document_key(id_col: str, text_col: str) -> Column:
-    """128 bits that name a document: equal for rows of equal key and text."""
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\0"), F.coalesce(F.col(text_col), F.lit("")))))
+def _pieces(length: int):
+    """A row for each run of ``length`` bytes at least, or one without a piece; totals of all runs stand in a text's first row."""
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for b in slices(batches, "data", 1 << 20):
+            out = []
+            for doc, data, spans, n in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                text, runs = unpack.decompress(data), merged(spans)
+                own = [(a, hashlib.blake2b(text[a:b], digest_size=16).digest(), text[a:b]) for a, b in runs if b - a >= length] or [(None, None, None)]
+                out += [(doc, k == 0, sum(b - a for a, b in runs), len(runs), n, *x) for k, x in enumerate(own)]
+            yield table(_PIECES, *(list(c) for c in zip(*out, strict=True)))
 
-def removals(texts: DataFrame, length: int = LENGTH, keep_text: bool = False, hot: int = HOT) -> DataFrame:
-    """doc, n_removed, n_spans, kept_sha256, kept for each document of ``texts`` (doc, text) that loses bytes."""
+    return scan
+
+
+def repeated_spans(texts: DataFrame, copies: DataFrame, length: int = LENGTH, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """bodies (doc, data) and lists (doc, spans) of the texts of (doc, text as bytes) that have repeated windows.
+
+    doc is a digest of the text; ``copies`` (doc, size) are those that stand in several places.
+    """
     found = staged(found_fragments(texts, length), "fragments")
     named = found.where("key IS NOT NULL")
-    repeats = named.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    spot = F.xxhash64("doc", "start")  # rows of one text give the same places
+    repeats = named.groupBy("key").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a < b").select("key")
     candidates = staged(named.join(repeats, "key", "left_semi"), "candidates")
     place = F.struct("doc", "start", "upto", "anchor")
     classes = staged(candidates.groupBy("key", "digest").agg((F.max("multi") | (F.min(place) < F.max(place))).alias("settled"), F.min(place).alias("at")), "classes")
@@ -289,31 +317,63 @@ def removals(texts: DataFrame, length: int = LENGTH, keep_text: bool = False, ho
     several = classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("dealt", F.ceil(F.col("n") / hot).cast("int"))
     compared = classes.join(several, "key").withColumn("deal", F.pmod(F.xxhash64("digest"), "dealt").cast("int"))
     wanted = compared.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_list(F.struct("key", "deal", "dealt", "at.start", "at.upto", "at.anchor", "settled")).alias("wanted"))
-    suspects = found.select("doc").where("key IS NULL").union(candidates.select("doc")).distinct()
+    copies = copies.where(F.col("size") >= length)
+    suspects = found.select("doc").where("key IS NULL").union(candidates.select("doc")).union(copies.select("doc")).distinct()
     bodies = staged(packed(texts).join(suspects, "doc", "left_semi").dropDuplicates(["doc"]), "bodies")
     parts = bodies.join(wanted, "doc").mapInArrow(lean(_fetch), "key bigint, deal int, dealt int, doc binary, start bigint, anchor int, settled boolean, part binary")
     spans = staged(parts.repartition("key", "deal").sortWithinPartitions("key", "deal").mapInArrow(lean(_compared(length)), "doc binary, start bigint, upto bigint, window binary, open boolean"), "spans")
     over = spans.where("window IS NOT NULL").groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
     equal = candidates.join(classes.where("settled").select("key", "digest"), ["key", "digest"], "left_semi")
-    every = found.where("key IS NULL").select("doc", "start", "upto").union(equal.select("doc", "start", "upto"))
-    every = every.union(spans.where("window IS NULL").select("doc", "start", "upto")).union(spans.where("open").join(over, "window", "left_semi").select("doc", "start", "upto"))
-    lists = every.groupBy("doc").agg(F.collect_set(F.struct("start", "upto")).alias("spans"))
-    return bodies.join(lists, "doc").select("doc", "data", "spans").mapInArrow(lean(_cut(keep_text)), "doc binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
+    every = [found.where("key IS NULL"), equal, spans.where("window IS NULL"), spans.where("open").join(over, "window", "left_semi"), copies.select("doc", F.lit(0).cast("long").alias("start"), F.col("size").alias("upto"))]
+    every = reduce(DataFrame.union, [x.select("doc", "start", "upto") for x in every])
+    lists = staged(every.groupBy("doc").agg(F.collect_set(F.struct("start", "upto")).alias("spans")), "lists")
+    discard(found, candidates, classes, spans)
+    return bodies, lists
 
 
-def dedup_report(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), document_key(id_col, text_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lost = removals(rows.select("doc", "text"), length)
-    whole = rows.select("doc_id", "doc", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("all"))
-    none = F.lit(0).cast("long")
-    return whole.join(lost, "doc", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "all").alias("kept_sha256"))
+def _removed(bodies: DataFrame, lists: DataFrame, keep_text: bool = False) -> DataFrame:
+    """doc, n_removed, n_spans, kept_sha256, kept for each text that loses bytes."""
+    return bodies.join(lists, "doc").select("doc", "data", "spans").mapInArrow(lean(_cut(keep_text)), "doc binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
 
 
-def dedup_text(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with repeated byte strings cut out of ``text_col``; bytes of a character that was cut in two go as well."""
-    key = "_suffix_doc"
-    rows = df.withColumn(key, document_key(id_col, text_col))
-    lost = removals(rows.select(F.col(key).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), length, keep_text=True)
-    own = rows.join(lost.select(F.col("doc").alias(key), "kept"), key, "left")
-    return own.select(*(F.coalesce("kept", text_col).alias(text_col) if c == text_col else F.col(c) for c in df.columns))
+def _texts(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` with a digest, _doc, and bytes, _text, of each text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return df.withColumn("_doc", F.unhex(F.md5(text))).withColumn("_text", text.cast("binary"))
+
+
+def _copies(texts: DataFrame) -> DataFrame:
+    """doc, n, size of the texts of several rows."""
+    return staged(texts.select("doc", F.octet_length("text").cast("long").alias("size")).groupBy("doc").agg(F.count("*").alias("n"), F.max("size").alias("size")).where("n > 1"), "copies")
+
+
+def dedup_report(df: DataFrame, length: int = LENGTH, passage: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 for strings of ``length``, and passage_bytes, passage_spans, what would go for strings of ``passage``, at most ``length``."""
+    if passage > length:
+        raise ValueError("a passage is as long as length at most")
+    rows = _texts(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text")
+    texts = rows.select(F.col("_doc").alias("doc"), F.col("_text").alias("text"))
+    copies = _copies(texts)
+    bodies, lists = repeated_spans(texts, copies, passage, hot)
+    counted = bodies.join(lists, "doc").join(copies.select("doc", "n"), "doc", "left").select("doc", "data", "spans", F.coalesce("n", F.lit(1).cast("long")).alias("n"))
+    found = staged(counted.mapInArrow(lean(_pieces(length)), "doc binary, first boolean, removed bigint, spans bigint, n bigint, start bigint, piece binary, text binary"), "pieces")
+    pieces = found.where("piece IS NOT NULL")
+    again = pieces.select("piece", "n", F.octet_length("text").cast("long").alias("size")).groupBy(F.col("piece").alias("doc")).agg(F.sum("n").alias("n"), F.max("size").alias("size")).where("n > 1")
+    parts, inner = repeated_spans(pieces.select(F.col("piece").alias("doc"), "text"), staged(again, "again"), length, hot)
+    discard(parts)
+    moved = pieces.select("doc", "start", "piece").join(inner.withColumnRenamed("doc", "piece"), "piece").select("doc", F.transform("spans", lambda s: F.struct((s["start"] + F.col("start")).alias("start"), (s["upto"] + F.col("start")).alias("upto"))).alias("spans"))
+    lost = _removed(bodies, moved.groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    totals = found.where("first").select("doc", F.col("removed").alias("passage_bytes"), F.col("spans").alias("passage_spans"))
+    whole = rows.select("doc_id", F.col("_doc").alias("doc"), F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2("_text", 256).alias("all"))
+    both = staged(totals.join(lost.drop("kept"), "doc", "left"), "lost")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_removed", "n_spans", "passage_bytes", "passage_spans")]
+    return whole.join(both, "doc", "left").select("doc_id", "n_bytes", *counts[:2], F.coalesce("kept_sha256", "all").alias("kept_sha256"), *counts[2:])
+
+
+def dedup_text(df: DataFrame, length: int = LENGTH, text_col: str = "text") -> DataFrame:
+    """``df`` with repeated byte strings cut out of ``text_col``; bytes of a character that was cut in two go as well. Null stays null."""
+    rows = _texts(df, text_col)
+    texts = rows.select(F.col("_doc").alias("doc"), F.col("_text").alias("text"))
+    lost = _removed(*repeated_spans(texts, _copies(texts), length), keep_text=True).select(F.col("doc").alias("_doc"), F.col("kept").alias("_kept"))
+    own = rows.join(lost, "_doc", "left")
+    return own.select(*(F.coalesce("_kept", text_col).alias(text_col) if c == text_col else F.col(c) for c in df.columns))

@@ -41,14 +41,14 @@ def near_groups(rows, k, percent=80):
 
 
 def without_repeats(rows, length):
-    """doc_id -> (bytes removed, spans, kept bytes); rows equal in id and text count once."""
-    docs = {(i, t or "") for i, t in rows}
+    """(doc_id, text) -> (bytes removed, spans, kept bytes); every row counts, also one equal to another."""
+    docs = [(i, t or "") for i, t in rows]
     seen = Counter()
     for _, t in docs:
         b = t.encode()
         seen.update(b[k : k + length] for k in range(len(b) - length + 1))
     out = {}
-    for i, t in docs:
+    for i, t in set(docs):
         b = t.encode()
         gone = bytearray(len(b))
         for k in range(len(b) - length + 1):

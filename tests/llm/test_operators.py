@@ -34,30 +34,38 @@ def by_id(df):
 # 1: suffix-array dedup
 
 
+def check_report(got, rows, length, passage):
+    """Each row's contract columns, and the two of passages, against brute force."""
+    want, short = brute.without_repeats(rows, length), brute.without_repeats(rows, passage)
+    said = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["passage_bytes"], r["passage_spans"]) for r in got)
+    key = [(i, t or "") for i, t in rows]
+    assert said == Counter((i, len(t.encode()), *want[i, t][:2], brute.sha(want[i, t][2]), *short[i, t][:2]) for i, t in key)
+
+
 def test_suffix_removes_what_brute_force_does(spark, some, texts):
-    want = brute.without_repeats(texts.items(), 400)
-    for r in suffix.dedup_report(some).collect():
-        removed, spans, kept = want[r["doc_id"], texts[r["doc_id"]]]
-        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(texts[r["doc_id"]].encode()), removed, spans, brute.sha(kept))
+    check_report(suffix.dedup_report(some).collect(), list(texts.items()), 400, 250)
 
 
 @pytest.mark.parametrize("hot", [2, 20_000])
-def test_suffix_on_planted_repeats(spark, hot, monkeypatch):
-    """One passage in many contexts, runs of one byte and a period, and anchors dealt over blocks."""
+def test_suffix_on_planted_repeats(spark, hot):
+    """One passage in many contexts, runs of one byte and a period, equal texts, and anchors dealt over blocks."""
     rng = random.Random(3)
     noise = lambda n: "".join(rng.choice("abcdefghij klmno") for _ in range(n))
-    passage, other = noise(90), noise(70)
-    rows = [(i, noise(rng.randrange(80)) + passage[rng.randrange(8) :] + noise(rng.randrange(80)) + (other if i % 3 else "")) for i in range(40)]
-    rows += [(100, "a" * 300), (101, "xyz" * 90), (102, passage), (103, passage), (104, "é" * 60)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    want = brute.without_repeats(rows, 64)
-    keyed = df.select(suffix.document_key("doc_id", "text").alias("doc"), "text", "doc_id")
-    lost = {r["doc_id"]: r for r in suffix.removals(keyed.select("doc", "text"), 64, hot=hot).join(keyed.drop("text"), "doc").collect()}
-    for i, t in rows:
-        removed, spans, kept = want[i, t]
-        r = lost.get(i)
-        assert (removed, spans) == ((r["n_removed"], r["n_spans"]) if r else (0, 0))
-        assert r is None or r["kept_sha256"] == brute.sha(kept)
+    passage, other, short = noise(90), noise(70), noise(50)
+    rows = [(i, noise(rng.randrange(80)) + passage[rng.randrange(8) :] + noise(rng.randrange(80)) + (other if i % 3 else "") + (short if i % 4 else "")) for i in range(40)]
+    rows += [(100, "a" * 300), (101, "xyz" * 90), (102, passage), (103, passage), (104, "é" * 60), (105, short), (105, short), (106, noise(20)), (107, short + short)]
+    check_report(suffix.dedup_report(spark.createDataFrame(rows, "doc_id bigint, text string"), 64, 40, hot=hot).collect(), rows, 64, 40)
+
+
+def test_suffix_counts_repeated_rows(spark):
+    """Rows equal in key and text, in text alone, and at 399 and 400 bytes."""
+    rng = random.Random(13)
+    noise = lambda n: rng.randbytes(n // 2 + 1).hex()[:n]
+    one, two, three = noise(700), noise(399), noise(400)
+    rows = [(1, one), (1, one), (2, two), (2, two), (3, three), (4, three), (5, noise(900)), (6, noise(30) + two + noise(30)), (None, noise(500))]
+    got = suffix.dedup_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    check_report(got, rows, 400, 250)
+    assert [r["n_removed"] for r in sorted(got, key=lambda r: r["doc_id"] or 0) if r["doc_id"] in (1, 2, 3, 4, 5)] == [700, 700, 0, 0, 400, 400, 0]
 
 
 def test_suffix_on_texts_longer_than_a_block(spark, monkeypatch):
@@ -75,14 +83,13 @@ def test_suffix_on_texts_longer_than_a_block(spark, monkeypatch):
 
 
 def test_suffix_on_odd_rows(odd, empty):
-    want = brute.without_repeats(((i, t) for i, t, *_ in ODD), 400)
-    rows = suffix.dedup_report(odd).collect()
-    assert len(rows) == len(ODD)
-    for r, (i, t) in ((r, x) for r in rows for x in TEXTS if x[0] == r["doc_id"]):
-        assert (r["n_removed"], r["n_spans"]) == want[i, t][:2]
+    check_report(suffix.dedup_report(odd).collect(), [(i, t) for i, t, *_ in ODD], 400, 250)
     assert suffix.dedup_report(empty).count() == 0
     cut = suffix.dedup_text(odd)
     assert cut.columns == odd.columns and cut.count() == len(ODD) and cut.where("doc_id = 1 AND text IS NOT NULL").isEmpty()
+    assert suffix.dedup_text(empty).count() == 0
+    with pytest.raises(ValueError):
+        suffix.dedup_report(odd, 40, 50)
 
 
 # 2: media columns

@@ -24,7 +24,7 @@ def test_each_stage_against_brute_force(spark):
     single = near(spark, kept, "").cache()
     assert single.columns == columns and sorted(r["doc_id"] for r in single.collect()) == sorted(i for i, c in groups.items() if i == c)
     texts = {r["doc_id"]: r["text"] for r in single.collect()}
-    want = brute.without_repeats(texts.items(), 400)
+    want = brute.without_repeats(texts.items(), 250)
     less = cut(spark, single, "").cache()
     assert less.columns == columns
     for r in less.collect():
