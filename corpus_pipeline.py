@@ -48,8 +48,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 @_stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without byte strings of 400 that occur more than once."""
-    return _sized(suffix.dedup_text(docs))
+    """Texts without byte strings as long as a passage of fifty words that occur more than once."""
+    return _sized(suffix.dedup_text(docs, suffix.PASSAGE))
 
 
 @_stage
