@@ -8,20 +8,28 @@ grow with j a set is finished as soon as every slot has a value below the next j
 Equal sets form a class with one representative.  Bands of signatures put
 representatives in buckets.  The few pairs of a small bucket are first held against the
 signatures, then against the full sets of 64-bit shingle hashes.  Documents that large
-buckets join are dealt into blocks of bounded size; a task compares the full sets of two
-blocks by products of indicator matrices and hands on a forest of the links, never the
-pairs.  So a group of any size is spread over tasks, and every pair that shares a
-bucket is confirmed or refuted.  Groups are found by union-find and stars over the links.
+buckets join are a group and are dealt into blocks of bounded size; a task compares the full sets of a
+block by products of indicator matrices and hands on a forest of the links, never the
+pairs.  Of each component of a block the document with most links, its hub, goes on to a next round
+of blocks, as long as rounds halve a group, so that n near copies of one text are one
+component after log n rounds in which each set is sent once.  What is left are buckets whose
+documents are in different components: only blocks that share such a bucket meet, and
+only documents of different components are compared there.  So every pair that shares a
+bucket is confirmed, refuted or joined by other links.  Groups are found by union-find and stars over the links.
 
 ``n_shingles`` is the size of the set.  Texts without words (null, empty, white space)
 have an empty set and are linked with nothing.  Repeated rows have equal sets. Rows
-without a key keep a null component of their own if nothing smaller is in it.
+without a key keep a null component of their own if nothing smaller is in it.  Texts of any
+length are taken whole, one that exceeds a slice alone; pairs at exactly the threshold are
+links, ties between heads go to the smallest key, then row.  Empty tables give
+empty results; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -173,30 +181,89 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _blocks_compared(percent: int):
-    """Links of two blocks' documents, as a forest."""
+_JOINED = pa.schema([("doc_id", pa.int64()), ("root", pa.int64()), ("hub", pa.bool_())])
+
+
+def _joined(sets: list[np.ndarray], percent: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(first document of its component, whether it is its component's hub) for each set; those of equal ``label`` are not compared."""
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    both = common_counts(sets).astype(np.int64)
+    near = 100 * both >= percent * (sizes[:, None] + sizes - both)
+    np.fill_diagonal(near, False)
+    if label is not None:
+        near &= label[:, None] != label
+    root = np.arange(n)
+    for k in range(1, n):
+        roots = np.unique(np.append(root[:k][near[k, :k]], root[k]))
+        if len(roots) > 1:
+            root[np.isin(root, roots[1:])] = roots[0]
+    order = np.lexsort((-near.sum(1), root))
+    hub = np.zeros(n, bool)
+    hub[order[np.flatnonzero(np.diff(root[order], prepend=-1))]] = True
+    return root, hub
+
+
+def _blocks_joined(percent: int):
+    """Components within blocks, or between the components that two blocks bring along as ``label``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), rows in grouped(slices(batches, "elements", 1 << 20), "place", lambda p: (p["g"], p["i"], p["j"])):
-            docs, blocks, data = zip(*rows, strict=True)
-            sets = [np.frombuffer(x, np.uint64) for x in data]
-            sizes, block = np.array([len(x) for x in sets]), np.array(blocks)
-            both = common_counts(sets)
-            label = np.arange(len(sets))  # rows come by key, so the smallest label is the smallest key
-            for k in range(1, len(sets)):
-                shared = both[k, :k].astype(np.int64)
-                near = 100 * shared >= percent * (sizes[k] + sizes[:k] - shared)
-                if i != j:
-                    near &= block[:k] != block[k]
-                roots = np.unique(np.append(label[:k][near], label[k]))
-                if len(roots) > 1:
-                    label[np.isin(label, roots[1:])] = roots[0]
-            moved = np.flatnonzero(label != np.arange(len(sets)))
-            yield table(_LINKS, [docs[k] for k in moved], [docs[k] for k in label[moved]])
+        for _, rows in grouped(slices(batches, "elements", 1 << 20), "place", lambda p: tuple(p.values())):
+            docs, data, *label = zip(*rows, strict=True)
+            root, hub = _joined([np.frombuffer(x, np.uint64) for x in data], percent, np.array(label[0]) if label else None)
+            yield table(_JOINED, docs, np.array(docs)[root], hub)
 
     return scan
 
 
+def _compared(placed: DataFrame, percent: int) -> DataFrame:
+    """doc_id, root, hub of (place, doc_id, elements) or (place, doc_id, elements, label)."""
+    return placed.repartition("place").sortWithinPartitions("place", "doc_id").mapInArrow(lean(_blocks_joined(percent)), "doc_id bigint, root bigint, hub boolean")
+
+
+def _parts() -> Column:
+    """Blocks that rows with a ``size`` need."""
+    return F.greatest(F.ceil(F.count("*") / DOCS), F.ceil(F.sum("size") / ELEMENTS)).cast("int")
+
+
+def _hub_rounds(member: DataFrame, sets: DataFrame, percent: int) -> tuple[list[DataFrame], DataFrame]:
+    """Links within blocks and between hubs, round by round; and the groups (g) of several blocks, whose other pairs are open."""
+    links, wide, todo = [], None, member
+    while True:
+        blocks = staged(todo.groupBy("g").agg(F.count("*").alias("n"), _parts().alias("blocks")), "blocks")
+        several = blocks.where("blocks > 1")
+        wide = several.select("g") if wide is None else wide
+        dealt = todo.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+        found = staged(_compared(dealt.join(sets, "doc_id").select(F.struct("g", "block").alias("place"), "doc_id", "elements"), percent), "joined")
+        links.append(found.where("doc_id <> root").select(F.col("doc_id").alias("u"), F.col("root").alias("v")))
+        hubs = found.where("hub").select("doc_id").join(todo, "doc_id").join(several.select("g", "n"), "g")
+        fewer = hubs.groupBy("g").agg(F.count("*").alias("m"), F.first("n").alias("was")).where("2 * m <= was").select("g")
+        todo = staged(hubs.drop("n").join(fewer, "g", "left_semi"), "hubs")
+        if todo.isEmpty():
+            return links, wide
+
+
+def _open_pairs(large: DataFrame, member: DataFrame, wide: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between documents that share a large bucket of a wide group and are in different components so far."""
+    own = member.join(wide, "g", "left_semi").join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", "g", "size", F.coalesce("component", "doc_id").alias("label"))
+    placed = large.select("bucket", "doc_id").join(own, "doc_id")
+    split = placed.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket")
+    rest = staged(placed.join(split, "bucket", "left_semi"), "open")
+    docs = rest.select("doc_id", "g", "size", "label").distinct()
+    # small components share blocks, large ones are cut into blocks of their own
+    by_group = docs.groupBy("g").agg(_parts().alias("blocks"))
+    by_label = docs.groupBy("label").agg(_parts().alias("cuts"))
+    alone = F.col("cuts") > 1
+    block = F.when(alone, F.xxhash64("label", F.pmod(F.xxhash64("doc_id"), "cuts"))).otherwise(F.xxhash64("g", F.pmod(F.xxhash64("label"), "blocks")))
+    dealt = staged(docs.join(by_group, "g").join(by_label, "label").select("doc_id", "label", block.alias("block"), F.when(alone, F.col("label")).alias("only")), "dealt")
+    there = rest.select("bucket", "doc_id").join(dealt, "doc_id").select("bucket", "block", "only").distinct()
+    other = there.select("bucket", F.col("block").alias("j"), F.col("only").alias("other"))
+    same = F.coalesce(F.col("only") == F.col("other"), F.lit(False))
+    meets = there.join(other, "bucket").where((F.col("block") <= F.col("j")) & ~same).select(F.col("block").alias("i"), "j").distinct()
+    ends = meets.select("i", "j", F.col("i").alias("block")).union(meets.where("i <> j").select("i", "j", F.col("j").alias("block")))
+    placed = dealt.join(sets, "doc_id").join(ends, "block").select(F.struct("i", "j").alias("place"), "doc_id", "elements", "label")
+    return _compared(placed, percent).where("doc_id <> root").select(F.col("doc_id").alias("u"), F.col("root").alias("v"))
+
+
 def linked(buckets: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) that join the same documents as all links between documents that share a bucket do."""
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("centre"))
@@ -204,17 +271,15 @@ def linked(buckets: DataFrame, marks: DataFrame, sets: DataFrame, percent: int)
     close = F.lit(100) * F.least("nu", "size") >= F.lit(percent) * F.greatest("nu", "size")
     pairs = small.select("bucket", F.col("doc_id").alias("u"), F.col("size").alias("nu")).join(small.select("bucket", F.col("doc_id").alias("v"), "size"), "bucket").where((F.col("u") < F.col("v")) & close)
     few = confirmed(likely(pairs.select("u", "v").distinct(), marks, percent), sets, percent)
-    # large buckets: documents that such buckets join are compared in blocks, each block once with each other
-    large = buckets.join(sizes.where(F.col("n") > SMALL), "bucket")
+    large = staged(buckets.join(sizes.where(F.col("n") > SMALL), "bucket"), "large")
     coarse = components(large.select(F.col("doc_id").alias("u"), F.col("centre").alias("v")))
     member = large.select("doc_id", "size").distinct().join(coarse.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "size", F.coalesce("component", "doc_id").alias("g"))
     member = staged(member, "members")
-    blocks = member.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / DOCS), F.ceil(F.sum("size") / ELEMENTS)).cast("int").alias("blocks"))
-    dealt = member.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    spread = dealt.join(sets, "doc_id").select("doc_id", "block", "elements", "g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = spread.select(F.struct("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).alias("place"), "doc_id", "block", "elements")
-    many = placed.repartition("place").sortWithinPartitions("place", "doc_id").mapInArrow(lean(_blocks_compared(percent)), "u bigint, v bigint")
-    return few.unionAll(many)
+    links, wide = _hub_rounds(member, sets, percent)
+    found = staged(reduce(DataFrame.unionAll, links, few), "found")
+    if wide.isEmpty():
+        return found
+    return found.unionAll(_open_pairs(large, member, wide, components(found), sets, percent))
 
 
 def _row_key(id_col: str, text_col: str) -> Column:

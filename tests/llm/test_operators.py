@@ -146,6 +146,38 @@ def test_large_groups_go_through_blocks(spark, monkeypatch):
     assert got == want and 1 < len(set(want.values())) < 100
 
 
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_large_buckets_of_several_components(spark, monkeypatch, seed):
+    """Texts that share half of their words, in families of various sizes and strengths: hubs, then blocks that share a bucket."""
+    monkeypatch.setattr(minhash, "DOCS", 12)
+    monkeypatch.setattr(minhash, "SMALL", 3)
+    rng = random.Random(seed)
+    shared, rows = [f"s{k}" for k in range(50)], []
+    for f in range(12):
+        own = [f"f{f}_{k}" for k in range(rng.randrange(8, 22))]
+        for _ in range(rng.choice([1, 2, 5, 30])):
+            rows.append((len(rows), " ".join(f"x{rng.random()}" if rng.random() < 0.03 else w for w in shared + own)))
+    rng.shuffle(rows)
+    want = brute.near_groups(rows, 1)
+    opened = []
+    keep = minhash._open_pairs
+    monkeypatch.setattr(minhash, "_open_pairs", lambda *x: opened.append(1) or keep(*x))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 1).collect()}
+    assert got == want and opened and 1 < len(set(want.values())) < len(rows)
+
+
+def test_copies_of_a_large_group_grow_with_it(spark, monkeypatch):
+    """Every set of a group of near copies of one text is sent about once, whatever the number of blocks."""
+    monkeypatch.setattr(minhash, "DOCS", 16)
+    rng, sent = random.Random(12), []
+    keep = minhash._compared
+    monkeypatch.setattr(minhash, "_compared", lambda placed, percent: sent.append(placed.count()) or keep(placed, percent))
+    base = [f"w{k}" for k in range(200)]
+    rows = [(i, " ".join(f"x{i}" if k == i % 200 else w for k, w in enumerate(base))) for i in range(200)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 2).collect()
+    assert {r["component_id"] for r in got} == {0} and 200 <= sum(sent) < 260
+
+
 def test_superminhash_estimates_jaccard():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 2**63, 600, dtype=np.uint64)
