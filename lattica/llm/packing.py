@@ -3,15 +3,21 @@
 A sequence has simultaneous limits on tokens, segments and loss-bearing tokens.
 One sequence is filled at a time: of the pieces that fit all limits, the one with
 the greatest dot product between its demands and the room left, each in parts of
-the limit and weighted by the mean demand, goes in next.  When nothing fits, a
-piece is cut to the gap that is left.  Pieces of equal demands are one type, so
+the limit and weighted by the mean demand, goes in next.  When nothing fits, the
+piece of which most can be cut off for the room left is cut there.  Pieces of equal demands are one type, so
 a choice looks at types, not at pieces.
 
+The first line of a document of several lines is its prompt, what follows, or a text of one line, its
+answer, whose tokens and end mark bear loss.  A sequence holds somewhat fewer of them
+than tokens, so prompts are dealt out over the sequences.
+
 Every partition packs its own rows in windows of bounded size and carries its open
 sequence over, so nothing is shuffled; sequence ids are unique as they hold the
 partition's number.  Only the last sequence of a partition can be much under full.
 
-Repeated rows are packed one by one.  An example without ids gives no piece.
+Repeated rows are packed one by one.  A null text is an empty one and gives its end mark alone; an
+example without ids gives no piece.  Very long texts are cut into whole sequences' worth.  Types
+that tie go in order of arrival.  Empty tables give no pieces; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -33,8 +39,8 @@ from lattica.llm.tokens import tokenized
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 2048
-    segments: int = 256
-    loss: int = 2048
+    segments: int = 32
+    loss: int = 1984
     #: Shortest piece that is cut to fill a gap.
     least_cut: int = 8
 
@@ -54,7 +60,7 @@ class Item:
 
 @dataclass
 class Packer:
-    """Places items; ``done`` gets (item, sequence, offset). The open sequence has the number ``sequence``."""
+    """Places items; ``done`` gets (item, sequence, offset, segment, loss before it). The open sequence has the number ``sequence``."""
 
     limits: Limits
     done: list = field(default_factory=list)
@@ -80,7 +86,7 @@ class Packer:
 
     def _place(self, item: Item) -> None:
         n = item.end - item.start
-        self.done.append((item, self.sequence, self.limits.tokens - self.room[0]))
+        self.done.append((item, self.sequence, *(most - left for most, left in zip((self.limits.tokens, self.limits.segments, self.limits.loss), self.room, strict=True))))
         self.room = [self.room[0] - n, self.room[1] - 1, self.room[2] - item.loss()]
 
     def add(self, item: Item) -> None:
@@ -89,7 +95,7 @@ class Packer:
         while item.end - item.start >= whole:
             piece = Item(item.owner, item.start, item.start + whole, item.answer)
             if whole == self.limits.tokens:
-                self.done.append((piece, self._number(), 0))
+                self.done.append((piece, self._number(), 0, 0, 0))
             else:
                 self.pool[(whole, piece.loss())].append(piece)
             item = Item(item.owner, piece.end, item.end, item.answer)
@@ -115,33 +121,32 @@ class Packer:
                     left[k] -= 1
                     remaining -= 1
                     continue
-                gap = min(self.room[0], self.room[2])
-                if self.room[1] > 0 and gap >= self.limits.least_cut:
-                    k = int(np.where(left > 0, tokens, -1).argmax())
+                # a prompt comes before its answer, so as much can be cut off as is prompt and finds room for its loss
+                part = np.where(left > 0, np.minimum(self.room[0], tokens - loss + self.room[2]), 0)
+                k = int(part.argmax())
+                if self.room[1] > 0 and part[k] >= self.limits.least_cut:
                     item = self.pool[tuple(types[k].tolist())].pop()
                     left[k] -= 1
                     remaining -= 1
-                    cut = Item(item.owner, item.start, item.start + gap, item.answer)
+                    cut = Item(item.owner, item.start, item.start + int(part[k]), item.answer)
                     rest = Item(item.owner, cut.end, item.end, item.answer)
-                    if rest.end > rest.start:
-                        self._place(cut)
-                        key = (rest.end - rest.start, rest.loss())
-                        self.pool[key].append(rest)
-                        same = np.flatnonzero((types == key).all(1))
-                        if len(same):
-                            left[same[0]] += 1
-                            remaining += 1
-                        else:
-                            grown = True
+                    self._place(cut)
+                    key = (rest.end - rest.start, rest.loss())
+                    self.pool[key].append(rest)
+                    same = np.flatnonzero((types == key).all(1))
+                    if len(same):
+                        left[same[0]] += 1
+                        remaining += 1
                     else:
-                        self._place(item)
+                        grown = True
+                    continue
                 self._close()
             self.pool = defaultdict(list, {k: v for k, v in self.pool.items() if v})
         if last:
             self._close()
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("loss", pa.int64()), ("segment", pa.int64()), ("loss_before", pa.int64())])
 #: Tokens packed at a time by a task.
 WINDOW = 1 << 20
 
@@ -149,7 +154,8 @@ WINDOW = 1 << 20
 def pack(examples: DataFrame, limits: Limits = Limits(), window: int = WINDOW) -> DataFrame:
     """Pieces of ``examples`` (doc_id, ids as little-endian 32-bit, optional answer_start): one row each.
 
-    doc_id, start, length, ids, doc_tokens, sequence_id, offset.  Tokens from
+    doc_id, start, length, ids, doc_tokens, sequence_id, offset, loss (tokens of the piece that bear loss), and
+    segment and loss_before, the pieces and loss-bearing tokens ahead of it in its sequence.  Tokens from
     ``answer_start`` on bear loss, all where it is absent or null.
     """
     answers = F.coalesce(F.col("answer_start").cast("long"), F.lit(0)) if "answer_start" in examples.columns else F.lit(0).cast("long")
@@ -166,9 +172,9 @@ def pack(examples: DataFrame, limits: Limits = Limits(), window: int = WINDOW) -
             rows = packer.done
             packer.done = []
             got = []
-            for item, sequence, offset in rows:
+            for item, sequence, offset, segment, before in rows:
                 own = ids[item.owner]
-                got.append((keys[item.owner], item.start, item.end - item.start, own[4 * item.start : 4 * item.end], len(own) // 4, base + sequence, offset))
+                got.append((keys[item.owner], item.start, item.end - item.start, own[4 * item.start : 4 * item.end], len(own) // 4, base + sequence, offset, item.loss(), segment, before))
             if got:
                 yield table(_SCHEMA, *(list(c) for c in zip(*got, strict=True)))
 
@@ -184,10 +190,10 @@ def pack(examples: DataFrame, limits: Limits = Limits(), window: int = WINDOW) -
         yield from out(True)
 
     picked = examples.select("doc_id", F.coalesce("ids", F.lit(b"")).alias("ids"), answers.alias("answer"))
-    return picked.mapInArrow(lean(scan), "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return picked.mapInArrow(lean(scan), "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, loss bigint, segment bigint, loss_before bigint")
 
 
 def packed_documents(df: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     """Whole documents, each closed by ``end_id``, packed: pieces with the CRC-32 of their ids."""
-    pieces = pack(tokenized(df, path, end_id))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    pieces = pack(tokenized(df, path, end_id, answers=True))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss", "segment", "loss_before")

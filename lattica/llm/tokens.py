@@ -127,15 +127,25 @@ def encoder(path: str) -> Encoder:
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+_ANSWERS = _SCHEMA.append(pa.field("answer_start", pa.int64()))
 
 
-def tokenized(df: DataFrame, path: str, last: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): each whole text's ids, then ``last``. A null text is an empty one."""
+def tokenized(df: DataFrame, path: str, last: int | None = None, id_col: str = "doc_id", text_col: str = "text", answers: bool = False) -> DataFrame:
+    """(doc_id, ids): each whole text's ids, then ``last``. A null text is an empty one.
+
+    With ``answers`` also answer_start, the number of ids of the first line, 0 for a text of one line.
+    """
     tail = b"" if last is None else int(last).to_bytes(4, "little")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for part in slices(batches, most=8 << 20):
-            yield table(_SCHEMA, part.column(0), [x + tail for x in own.texts(part.column(1).to_pylist())])
-
-    return keyed_text(df, id_col, text_col).mapInArrow(lean(scan), "doc_id bigint, ids binary")
+            texts = part.column(1).to_pylist()
+            ids = [x + tail for x in own.texts(texts)]
+            if answers:
+                starts = [len(x) // 4 for x in own.texts([t[: max(t.find("\n"), 0)] for t in texts])]
+                yield table(_ANSWERS, part.column(0), ids, starts)
+            else:
+                yield table(_SCHEMA, part.column(0), ids)
+
+    return keyed_text(df, id_col, text_col).mapInArrow(lean(scan), "doc_id bigint, ids binary" + ", answer_start bigint" * answers)

@@ -275,6 +275,41 @@ def test_packing_tiles_documents(some, texts, library):
     assert all(r["ids_crc32"] == zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes()) and r["doc_tokens"] == len(ids[r["doc_id"]]) for r in rows)
 
 
+def test_packing_of_documents_keeps_all_limits(some, texts, library):
+    """Loss-bearing tokens are those after the first line; both other limits hold in every sequence, and that on loss binds."""
+    rows, limits = packing.packed_documents(some, PATH).collect(), packing.Limits()
+    prompt = {i: len(library.encode(t.split("\n")[0], add_special_tokens=False).ids) if "\n" in t else 0 for i, t in texts.items()}
+    sequences = defaultdict(list)
+    for r in rows:
+        assert r["loss"] == max(0, r["start"] + r["length"] - max(r["start"], prompt[r["doc_id"]]))
+        sequences[r["sequence_id"]].append(r)
+    for own in sequences.values():
+        own.sort(key=lambda r: r["offset"])
+        assert [r["segment"] for r in own] == list(range(len(own))) and len(own) <= limits.segments
+        assert [r["loss_before"] for r in own] == [sum(x["loss"] for x in own[:k]) for k in range(len(own))]
+        assert sum(r["loss"] for r in own) <= limits.loss
+    assert any(sum(r["loss"] for r in own) > limits.loss - 8 for own in sequences.values())
+
+
+def test_dot_product_beats_longest_first():
+    """Types that crowd one limit are mixed with types that leave it; by length alone they are not."""
+    limits = packing.Limits(100, 50, 60, 1000)
+    sizes = [(25, 0)] * 60 + [(20, 20)] * 60
+    packer = packing.Packer(limits)
+    for k, (n, loss) in enumerate(sizes):
+        packer.add(packing.Item(k, 0, n, n - loss))
+    packer.fill(True)
+    assert sorted(x[0].owner for x in packer.done) == list(range(120))
+    left, longest = sorted(sizes, reverse=True), 0
+    while left:
+        room, longest = [100, 60], longest + 1
+        for x in list(left):
+            if x[0] <= room[0] and x[1] <= room[1]:
+                left.remove(x)
+                room = [room[0] - x[0], room[1] - x[1]]
+    assert len({x[1] for x in packer.done}) == 30 < longest
+
+
 def test_packing_keeps_all_limits():
     rng, limits = random.Random(9), packing.Limits(100, 5, 40, 4)
     packer, sizes = packing.Packer(limits), {}
@@ -286,12 +321,14 @@ def test_packing_keeps_all_limits():
             packer.fill(False)
     packer.fill(True)
     filled, used = defaultdict(list), Counter()
-    for item, sequence, offset in packer.done:
-        filled[sequence].append((offset, item))
+    for item, sequence, offset, segment, before in packer.done:
+        filled[sequence].append((offset, segment, before, item))
         used[item.owner] += item.end - item.start
     assert used == Counter({k: n for k, (n, _) in sizes.items()})
-    for items in filled.values():
-        assert sum(i.end - i.start for _, i in items) <= 100 and len(items) <= 5 and sum(i.loss() for _, i in items) <= 40
+    for rows in filled.values():
+        items = [x[3] for x in sorted(rows, key=lambda x: x[0])]
+        assert sum(i.end - i.start for i in items) <= 100 and len(items) <= 5 and sum(i.loss() for i in items) <= 40
+        assert sorted(x[1] for x in rows) == list(range(len(rows)))
 
 
 def test_packing_odd_rows(odd, empty, library):
