@@ -61,7 +61,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 @_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of tokenized texts, packed into sequences of 2048."""
-    return packing.pack(tokens.tokenized(docs, public_tokenizers.path(TOKENIZER), END_ID))
+    return packing.pack(tokens.tokenized(docs, public_tokenizers.path(TOKENIZER), END_ID, answers=True))
 
 
 STAGES = [
