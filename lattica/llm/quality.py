@@ -1,16 +1,21 @@
 """Quality classifier by weak labels.
 
-Overlapping heuristic labellers vote good, bad or abstain on every text.  Counts of
-their vote patterns over all rows, at most 3 ** labellers of them, feed an
+Overlapping heuristic labellers vote good, bad or abstain on every text that has the words
+their measure needs, and are missing on others.  Counts of
+their vote patterns over all rows, at most 4 ** labellers of them, feed an
 expectation-maximisation that estimates each labeller's accuracy on either class
-and the classes' shares.  The posterior of a text's pattern is its weak label.
+and the classes' shares; a missing vote says nothing.  The posterior of a text's pattern is its weak label.
 A hashed linear scorer, trained on the posteriors of a bounded sample, scores
 every whole text from byte trigrams and the labellers' measures.
 
-Null, empty and very short texts give little evidence: labellers abstain, and without a vote that
-they are bad they are kept.
-Repeated rows get equal scores.  Without rows, or where the sample has one class
-only, the score is the posterior.
+The scorer's trigrams are a mean over the text, so their evidence grows with their number n: the
+log-odds of the scorer count n / (n + ``EVEN``) and those of the posterior the rest.  A long
+text is judged by the scorer, a very short one by its votes; no length is a case of its own.
+
+Null and empty texts, on which all votes are missing, have the share of good texts as posterior; very long ones are read whole.
+Repeated rows get equal scores, ties with the threshold are kept.  Without rows, or where the sample has one class
+only, the score is the posterior.  An empty table gives no rows; other columns, whatever their names, are
+not looked at, and carried along by ``accepted``.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from lattica.llm.shingles import word_hashes
 
 #: Bound of the training sample, dimensions of the hashed features, steps of training.
 SAMPLE, DIMS, STEPS = 3000, 4096, 200
-ABSTAIN, BAD, GOOD = 0, 1, 2
+ABSTAIN, BAD, GOOD, MISSING = 0, 1, 2, 3
 
 #: Common function words of the languages to expect.
 FUNCTION_WORDS = (
@@ -41,7 +46,7 @@ FUNCTION_WORDS = (
 
 @dataclass(frozen=True)
 class Labeller:
-    """Votes bad from ``bad`` on, good up to ``good`` (both turned round where bad < good), else abstains, as on texts of fewer words."""
+    """Votes bad from ``bad`` on, good up to ``good`` (both turned round where bad < good), else abstains; missing on texts of fewer words."""
 
     name: str
     good: float
@@ -67,8 +72,8 @@ _KINDS[ord("a") : ord("z") + 1] = 3
 _KINDS[ord("0") : ord("9") + 1] = 4
 _KINDS[128:] = 5
 _KINDS[ord("!")] = 6
-#: Words from which a text may be rejected without a single vote that it is bad.
-WORDS = 20
+#: Trigrams at which the scorer and the votes weigh the same.
+EVEN = 100.0
 
 
 def measures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +117,7 @@ def votes(values: np.ndarray, words: np.ndarray) -> np.ndarray:
     turned = np.where(bad < good, -1.0, 1.0)
     v = values * turned
     out = np.where(v >= bad * turned, BAD, np.where(v <= good * turned, GOOD, ABSTAIN))
-    return np.where(words[:, None] >= np.array([x.words for x in LABELLERS]), out, ABSTAIN)
+    return np.where(words[:, None] >= np.array([x.words for x in LABELLERS]), out, MISSING)
 
 
 #: First guess of how often a labeller abstains, says bad and says good on texts of either class, and its weight in parts of the rows.
@@ -157,13 +162,13 @@ class Scorer:
     dense: np.ndarray
     bias: float
 
-    def __call__(self, texts: list[bytes]) -> np.ndarray:
-        values, words = measures(texts)
+    def __call__(self, texts: list[bytes], values: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Log-odds of good, of texts and their measures."""
         raw = _dense(values, words) @ self.dense + self.bias
         for i, t in enumerate(texts):
             if len(t) > 2:
                 raw[i] += self.weights[trigrams(np.frombuffer(t, np.uint8))].mean() * DIMS**0.5
-        return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
+        return np.clip(raw, -30, 30)
 
 
 def train(grams: np.ndarray, dense: np.ndarray, target: np.ndarray, steps: int = STEPS) -> Scorer:
@@ -183,7 +188,7 @@ def train(grams: np.ndarray, dense: np.ndarray, target: np.ndarray, steps: int =
 
 _VOTED = pa.schema([("doc_id", pa.int64()), ("pattern", pa.int64())])
 _SAMPLE = pa.schema([("pattern", pa.int64()), ("grams", pa.binary()), ("dense", pa.binary())])
-_BASE = 3 ** np.arange(len(LABELLERS))
+_BASE = 4 ** np.arange(len(LABELLERS))
 
 
 def _patterns(values: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -191,7 +196,7 @@ def _patterns(values: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def voted(texts: DataFrame) -> DataFrame:
-    """doc_id, pattern: the votes in base 3."""
+    """doc_id, pattern: the votes in base 4."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, most=1 << 19):
@@ -224,11 +229,11 @@ class Model:
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Labellers' accuracies from all rows, the scorer from about ``sample`` rows chosen by a hash of key and text."""
     texts = keyed_text(df, id_col, text_col)
-    found = voted(texts).groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()  # 3 ** labellers rows at most
+    found = voted(texts).groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()  # 4 ** labellers rows at most
     if not found:
         return Model({}, np.full((2, len(LABELLERS)), 0.8), 0.8, None)
     codes, counts = (np.array([r[k] for r in found], np.int64) for k in ("pattern", "n"))
-    good, accuracy, share = estimate(codes[:, None] // _BASE % 3, counts.astype(float))
+    good, accuracy, share = estimate(codes[:, None] // _BASE % 4, counts.astype(float))
     posterior = dict(zip(codes.tolist(), good.tolist(), strict=True))
     part = min(1.0, sample / int(counts.sum()))
     chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(part * (1 << 30)) + 1
@@ -240,23 +245,26 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: i
     return Model(posterior, accuracy, share, train(grams, dense, target))
 
 
-def _scores(m: Model, texts: list[str | None], threshold: float) -> tuple[list[float], np.ndarray]:
-    """Posterior and score of each text; without evidence none is rejected."""
+def _scores(m: Model, texts: list[str | None]) -> tuple[list[float], np.ndarray]:
+    """Posterior and score of each text."""
     data = [(t or "").encode() for t in texts]
     values, words = measures(data)
-    weak = [m.posterior.get(c, m.share) for c in _patterns(values, words).tolist()]
-    score = m.scorer(data) if m.scorer is not None else np.array(weak)
-    evident = (words >= WORDS) | (votes(values, words) == BAD).any(1)
-    return weak, np.where(evident, score, np.maximum(score, threshold))
+    weak = np.array([m.posterior.get(c, m.share) for c in _patterns(values, words).tolist()])
+    if m.scorer is None:
+        return weak.tolist(), weak
+    odds = np.clip(np.log(np.maximum(weak, 1e-12) / np.maximum(1 - weak, 1e-12)), -30, 30)
+    n = np.maximum([len(t) - 2 for t in data], 0)
+    part = n / (n + EVEN)
+    return weak.tolist(), 1 / (1 + np.exp(-(part * m.scorer(data, values, words) + (1 - part) * odds)))
 
 
 def scored(df: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, weak_label (posterior of good), score, kept (score of the threshold at least)."""
-    own = df.sparkSession.sparkContext.broadcast(model)  # DIMS weights and 3 ** labellers posteriors at most
+    own = df.sparkSession.sparkContext.broadcast(model)  # DIMS weights and 4 ** labellers posteriors at most
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, most=1 << 19):
-            weak, score = _scores(own.value, part.column(1).to_pylist(), threshold)
+            weak, score = _scores(own.value, part.column(1).to_pylist())
             yield table(_FULL, part.column(0), weak, score, score >= threshold)
 
     return keyed_text(df, id_col, text_col).mapInArrow(lean(scan), "doc_id bigint, weak_label double, score double, kept boolean")
@@ -271,7 +279,7 @@ def accepted(df: DataFrame, model: Model, threshold: float = 0.5, text_col: str
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col, 1 << 19):
-            yield part.filter(pa.array(_scores(own.value, part.column(k).to_pylist(), threshold)[1] >= threshold))
+            yield part.filter(pa.array(_scores(own.value, part.column(k).to_pylist())[1] >= threshold))
 
     return df.mapInArrow(lean(scan), df.schema)
 
