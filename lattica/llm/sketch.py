@@ -9,6 +9,9 @@ A fingerprint is the text form of a sketch: the scale, the number of distinct sh
 check of all of them and, in base 64, the retained hashes in order, each cut to 40
 bits.  Equal texts have equal fingerprints.  A text without words has no
 shingles; two sketches that retain nothing are alike only if their checks are equal.
+
+A null text is an empty one, repeated rows have equal fingerprints, and texts of any length are read whole.
+Empty tables give no rows; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,26 +93,61 @@ _ROWS = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
+_FIRST = pa.schema([("range", pa.int32()), ("known", pa.bool_()), ("first", pa.int64())])
+_SENT = pa.schema([("range", pa.int32()), ("extra", pa.bool_()), ("doc_id", pa.int64()), ("data", pa.binary())])
+
+
+def _range_of(keys: pa.Array, bounds: np.ndarray) -> np.ndarray:
+    """Number of the range of each key, by binary search; null keys are in the first."""
+    at = np.searchsorted(bounds, pc.fill_null(keys, 0).to_numpy(zero_copy_only=False), "right")
+    return np.where(pc.is_null(keys).to_numpy(zero_copy_only=False), 0, at).astype(np.int32)
+
+
+def _firsts(bounds):
+    """The first key of each range that a task sees, null keys first."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, tuple[bool, int]] = {}
+        for b in batches:
+            for r, key in zip(_range_of(b.column(0), bounds.value).tolist(), b.column(0).to_pylist(), strict=True):
+                own = (key is not None, key or 0)
+                if own < least.get(r, (True, 1 << 64)):
+                    least[r] = own
+        yield table(_FIRST, list(least), [k for k, _ in least.values()], [v if k else None for k, v in least.values()])
+
+    return scan
+
+
+def _sent(bounds, before):
+    """Each packed row to its range, and rows of a range's first key to the range before as well."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, data = b.column(0).to_pylist(), b.column(1).to_pylist()
+            rows = list(zip(_range_of(b.column(0), bounds.value).tolist(), [False] * len(keys), keys, data, strict=True))
+            rows += [(before.value[k], True, k, x) for k, x in zip(keys, data, strict=True) if k in before.value]
+            yield table(_SENT, *(list(c) for c in zip(*rows, strict=True))) if rows else table(_SENT, [], [], [], [])
+
+    return scan
+
+
 def compared_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's fingerprint against its edited text's and its follower's.
 
     The follower comes next in ascending key, after the last the first; null keys come
     first, equal keys by text.  Rows go, compressed and once, to ranges of keys; the
     first row of each range goes to the range before it as well.  Only the bounds and the
-    first keys of the ranges, as many as there are partitions, come to the driver.
+    first keys of the ranges, as many as there are partitions, come to the driver, and go to the
+    tasks beside the plan, which does not grow with them.
     """
     spark = df.sparkSession
     texts = keyed_text(df, id_col, text_col)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = texts.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("double").alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    bounds = sorted({int(b) for b in bounds})
-    own = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.expr(f"aggregate(array({', '.join(f'{b}L' for b in bounds) or '-9223372036854775808L'}), 0, (n, b) -> n + if(b <= doc_id, 1, 0))") if bounds else F.lit(0))
-    firsts = texts.select("doc_id", own.alias("range")).groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("k")).orderBy("range").collect()
-    before = [(r["k"]["doc_id"], firsts[i - 1]["range"]) for i, r in enumerate(firsts)]
-    ahead = F.broadcast(spark.createDataFrame(before, "first bigint, also int"))  # a row for each range
-    rows = packed(texts).join(ahead, F.col("doc_id").eqNullSafe(F.col("first")), "left")
-    spread = rows.select("doc_id", "data", F.explode(F.when(F.col("also").isNull(), F.array(F.struct(own.alias("range"), F.lit(False).alias("extra")))).otherwise(F.array(F.struct(own.alias("range"), F.lit(False).alias("extra")), F.struct(F.col("also").alias("range"), F.lit(True).alias("extra"))))).alias("to"))
-    ranged = spread.select("to.*", "doc_id", "data").repartitionById(parts, "range").sortWithinPartitions("range", "extra", F.asc_nulls_first("doc_id"), "data")
+    found = texts.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("double").alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
+    bounds = spark.sparkContext.broadcast(np.array(sorted({int(b) for b in found}), np.int64))  # a number for each partition
+    firsts = texts.select("doc_id").mapInArrow(lean(_firsts(bounds)), "range int, known boolean, first bigint").groupBy("range").agg(F.min(F.struct("known", "first")).alias("k")).orderBy("range").collect()
+    before = spark.sparkContext.broadcast({r["k"]["first"]: firsts[i - 1]["range"] for i, r in enumerate(firsts)})
+    ranged = packed(texts).mapInArrow(lean(_sent(bounds, before)), "range int, extra boolean, doc_id bigint, data binary").repartitionById(parts, "range").sortWithinPartitions("range", "extra", F.asc_nulls_first("doc_id"), "data")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
