@@ -7,8 +7,9 @@ languages apart; the smallest result names the language.  Narrow margins are
 rejected: ``confident`` is false there.
 
 Null texts and texts without letters are ``und`` with score 0.  Without any
-training rows every text is ``und``.  Ties go to the language with more training
-rows, then to the smaller name.
+training rows, as from an empty table, every text is ``und``.  Ties go to the language with more training
+rows, then to the smaller name.  Repeated rows get equal answers, very long texts are compressed whole.
+Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from lattica.llm.common import lean, slices, table
 LETTER, OTHERS = re.compile(r"[^\W\d_]"), re.compile(r"[\W\d_]+")
 #: Bounds of what is learned: training rows a language, bytes of a dictionary, and the languages that get as much; more share what these would get.
 ROWS, DICT_BYTES, LANGS = 300, 96 << 10, 200
+#: Characters of a training text that are learned from.
+LEARNED = 50_000
 LEVEL = 7
 #: Bytes of difference that halve a language's weight; least margin, in parts of the text's size, of a confident answer.
 SOFT, MARGIN = 4.0, 0.01
@@ -74,7 +77,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int
 
     The counts of rows a language are taken over all rows; copies of a text count there but
     are one text of the sample, so it has the size it can have however the copies are dealt,
-    and what comes to the driver is ``rows`` texts a language at most.  Every language is learned:
+    and what comes to the driver is LEARNED characters of ``rows`` texts a language at most.  Every language is learned:
     with over LANGS of them, texts and bytes a language shrink, to one text at least.
     """
     known = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(text_col)).alias("at")).where("text IS NOT NULL AND lang IS NOT NULL")
@@ -86,7 +89,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int
     # distinct by hash, without the texts; the limit of the rank is applied in each task before the shuffle, too
     nth = F.row_number().over(W.partitionBy("lang").orderBy("at"))
     least = known.select("lang", "at").distinct().withColumn("nth", nth).where(F.col("nth") <= rows).select("lang", "at")
-    chosen = known.select("lang", "at", "text").join(F.broadcast(least), ["lang", "at"], "left_semi")  # rows * LANGS hashes at most, or one a language
+    chosen = known.select("lang", "at", F.substring("text", 1, LEARNED).alias("text")).join(F.broadcast(least), ["lang", "at"], "left_semi")  # rows * LANGS hashes at most, or one a language
     each = chosen.mapInArrow(lean(_once), "lang string, at bigint, text string").groupBy("lang", "at").agg(F.min("text").alias("text"))
     sample: dict[str, list] = {lang: [] for lang in counts}
     for r in each.orderBy("lang", "at").collect():
