@@ -12,7 +12,8 @@ and roles a backslash becomes ``\\b``, ``</turn>`` ``\\e``, ``### `` ``\\h`` and
 
 Records whose fingerprint has no mapping have null turns.  Null roles and texts are
 empty ones.  Turns that tie are ordered by role, then text; repeated rows are
-turns of their own.
+turns of their own.  Texts of any length that fit in a row are kept whole; an empty table gives the control
+conversation alone, or no records; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -199,7 +200,7 @@ def chat_digest(conversations: DataFrame) -> DataFrame:
     """Format every conversation and a control one (-7), read the output back, and digest it."""
     rows = conversations.select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
-    control = conversations.sparkSession.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    control = conversations.sparkSession.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(LOSS_ROLE).alias("role"), F.lit(said).alias("text"))
     out = format_turns(rows.unionByName(control))
     turns = F.col("turns")
     loss = F.array_join(loss_texts(F.col("formatted")), "")
