@@ -8,7 +8,9 @@ in order, verifies the digest of the whole and decodes the samples.
 
 Media that are equal share a recipe and are rebuilt once, so copies cost one row.
 Chunks travel compressed.  Repeated rows give a row each; a null text is an
-empty one.
+empty one.  Very long texts have as many chunks as they need and are put together whole, so a medium must fit in a
+task's memory.  Rows without a key are rows like others, an empty table gives none; other columns, whatever
+their names, are not looked at.
 """
 
 from __future__ import annotations

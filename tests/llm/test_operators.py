@@ -103,7 +103,7 @@ def test_media_read_back(odd, empty):
         payload = media.pad(data)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), brute.sha(payload), zlib.crc32(payload[-64:]))
         whole = media.encode_media(payload)
-        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(whole), brute.sha(whole), media.feature(payload))
+        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(whole), brute.sha(whole), brute.feature(payload))
     assert media.media_columns(empty).count() == 0
 
 
@@ -232,6 +232,11 @@ def test_components(spark):
     assert got == dict(up.forest())
 
 
+def test_components_without_links(spark):
+    df = spark.createDataFrame([(None, 1), (2, None), (None, None), (3, 3)], "u bigint, v bigint")
+    assert components.components(df).count() == 0 and components.components(df.limit(0)).count() == 0
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="aB \t\x85éZ", max_size=30), max_size=6), st.integers(1, 5))
 def test_shingles_are_those_of_words(raw, k):
@@ -364,6 +369,27 @@ def test_estimated_accuracies():
     assert ((posterior[which.ravel()] >= 0.5) == truth).mean() > 0.95
 
 
+def test_posteriors_equal_those_row_by_row():
+    """The estimate over counted patterns is that over single rows, with missing votes left out."""
+    rng = random.Random(14)
+    rows = [tuple(rng.choice([0, 1, 2, 2, 3]) for _ in range(4)) for _ in range(300)]
+    want = brute.posteriors(rows, quality.GUESS.tolist(), quality.TRUST, 20)
+    patterns, which, counts = np.unique(np.array(rows), axis=0, return_inverse=True, return_counts=True)
+    good, _, share = quality.estimate(patterns, counts.astype(float), 20)
+    assert np.abs(good[which.ravel()] - want).max() < 1e-9 and abs(share - np.mean(want)) < 1e-9
+
+
+def test_no_length_is_a_case_of_its_own(spark):
+    """Scores of good and of bad texts of 1 to 60 words change little from one word to the next; marked ones are rejected once votes need no more words."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = quality.fit(docs)
+    prose = next(r["text"] for r in docs.orderBy("doc_id").where("lang = 'en' AND n_chars > 600").collect() if quality._scores(model, [r["text"]])[1][0] > 0.9).split()
+    marked = [w + "%$#" for w in prose]
+    good, bad = (quality._scores(model, [" ".join(x[:n]) for n in range(1, 61)])[1] for x in (prose, marked))
+    assert (good >= 0.5).all() and (bad[19:] < 0.5).all()
+    assert np.abs(np.diff(good)).max() < 0.25
+
+
 def test_quality_of_odd_rows(odd, empty):
     got = quality.classified(odd).collect()
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
@@ -391,6 +417,17 @@ def test_chat_round_trip(spark):
     assert chat.chat_digest(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string, extra int")).count() == 1
 
 
+def test_chat_of_odd_tables(spark):
+    """Nulls in every column, a very long text, ties, a repeated row, and extra columns whose names are used inside."""
+    rows = [(1, 0, "user", "x " * 200_000), (1, 1, "assistant", "y" * 300_000), (2, None, None, None), (None, None, None, None), (2, 1, "user", "b"), (2, 1, "user", "a"), (2, 1, "user", "a")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    for name in ("turns", "formatted", "loss_spans", "asked", "listed"):
+        df = df.withColumn(name, F.col("text"))
+    got = {r["conv_id"]: r for r in chat.chat_digest(df).collect()}
+    assert {k: r["n_turns"] for k, r in got.items()} == {1: 2, 2: 4, None: 1, -7: 2} and got[1]["loss_chars"] == 300_000
+    assert got[2]["turns_sha256"] == brute.sha("\n\nuser\na\nuser\na\nuser\nb\n")
+
+
 def test_chat_of_a_text_beyond_the_json_parser(spark):
     rows = spark.range(2).selectExpr("1L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role", "repeat('ab', IF(id = 0, 1, 10500000)) AS text")
     rows = rows.unionAll(rows.selectExpr("2L", "turn + 5", "role", "text")).unionAll(spark.sql("SELECT 2L, 9L, 'user', 'x'"))
@@ -464,6 +501,20 @@ def test_fingerprints_of_odd_rows(odd, empty):
     assert len(one) == 1 and one[0]["near_next"] == 1
 
 
+def test_likeness_estimates_exact_containment(some, texts):
+    """Against sets of all five-word shingles: within four standard errors of a quarter of the smaller set."""
+    order = sorted(texts.items())
+    got = by_id(sketch.compared_with_next(some))
+    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
+        half = len(t) // 2
+        for other, near in ((t[: len(t) - half] + nxt[:half], got[i]["near_edited"]), (nxt, got[i]["near_next"])):
+            n = min(len(brute.shingle_set(t, 5)), len(brute.shingle_set(other, 5)))
+            if t == other:
+                assert near == 1
+            elif n:
+                assert abs(near - brute.containment(t, other)) <= 4 / n**0.5 or n < 30
+
+
 def test_containment_of_unequal_documents():
     rng = random.Random(11)
     text = [f"w{rng.randrange(5000)}" for _ in range(4000)]
@@ -542,6 +593,13 @@ def test_language_held_out(spark):
     assert len(sure) > 0.9 * len(held) and sum(r["lang"] == r["lang_pred"] for r in sure) / len(sure) > 0.985
 
 
+def test_language_equals_a_plain_loop(some, texts):
+    own = langid.fit(some)
+    odd_texts = {-1: None, -2: "", -3: "123 !?", -4: "É"}
+    df = some.select("doc_id", "text").unionAll(some.sparkSession.createDataFrame(list(odd_texts.items()), "doc_id bigint, text string"))
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, own).collect()} == {i: brute.language(t, own, langid.LEVEL) for i, t in (texts | odd_texts).items()}
+
+
 def test_language_sample_of_copies(spark):
     some = "the quick brown fox jumps over the lazy dog number"
     de = spark.range(10000).selectExpr("'der schnelle braune fuchs springt immer wieder' AS text", "'de' AS lang")
@@ -598,6 +656,38 @@ def test_weak_parts_need_each_other():
     assert kinds("login = bob, password = hunter22") == ["id", "assign"]
 
 
+def test_parts_that_the_base_drops_are_linked():
+    """Planted pairs, and near misses: a part alone, one code point out of reach, and values that are no code."""
+    kinds = lambda t: [credentials.KINDS[k] for _, k, _ in credentials.spans_of(t)]
+    assert kinds("token = abc1 for ann@mail.example.com") == ["key", "id"] and kinds("token = abc1 and no more") == []
+    assert kinds("AKIAABC123 with 0a1b2c3d4e5f") == ["id", "key"] and kinds("AKIAABC123") == [] and kinds("0a1b2c3d4e5f") == []
+    assert kinds("0a1b2c3d4e5f at 10.0.0.17") == ["key", "endpoint"] and kinds("0a1b2c3d4e5f at 10.0.0.256") == []
+    assert kinds("9807915762804490 at 10.0.0.17") == [] and kinds("deadbeefdeadbeef at 10.0.0.17") == []
+    token = "token = 04dbebab91ab8568"
+    assert kinds(token + " " * 200 + "ann@mail.example.com") == ["assign", "id"] and kinds(token + " " * 201 + "ann@mail.example.com") == ["assign"]
+    assert kinds("ann@mail.example.com" + " " * 200 + token) == ["id", "assign"] and kinds("ann@mail.example.com" + " " * 201 + token) == ["assign"]
+    assert kinds("10.1.2.3 ann@mail.example.com") == [] and kinds("z" * 100_000 + "@") == []
+
+
+def test_links_join_the_nearest_parts():
+    text = "a@x.org b@x.org token = 04dbebab91ab8568 c@x.org 10.0.0.1" + " " * 300 + "secret = abcdefgh" + " " * 300 + "token = 0123456 10.0.0.2"
+    said = [[x and text[x[0] : x[2]] for x in g] for g in credentials.groups(credentials.spans_of(text))]
+    assert said == [["token = 04dbebab91ab8568", "b@x.org", "10.0.0.1"], ["token = 0123456", None, "10.0.0.2"]]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 300), st.integers(0, 5), st.integers(1, 30)), max_size=25), st.integers(0, 60))
+def test_groups_equal_all_pairs(raw, reach):
+    spans = sorted({(s, k, s + n) for s, k, n in raw})
+    part = lambda p: [x for x in spans if credentials.PART[credentials.KINDS[x[1]]] == p]
+    gap = lambda a, b: max(0, b[0] - a[2], a[0] - b[2])
+    least = lambda a, p: min((gap(a, x) for x in part(p) if gap(a, x) <= reach), default=None)
+    outer = [a for a in part("key") if not any(b != a and b[0] <= a[0] and a[2] <= b[2] and (b[0], b[2]) != (a[0], a[2]) for b in part("key"))]
+    want = {(a[0], a[2]): (least(a, "id"), least(a, "endpoint")) for a in outer}
+    got = {(s[0], s[2]): (i and gap(s, i), e and gap(s, e)) for s, i, e in credentials.groups(spans, reach)}
+    assert got == {k: v for k, v in want.items() if v != (None, None)}
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 300), st.integers(0, 5), st.integers(1, 30)), max_size=25), st.integers(0, 60))
 def test_linking_equals_all_pairs(raw, reach):
@@ -609,6 +699,12 @@ def test_linking_equals_all_pairs(raw, reach):
     assert credentials.link(base, candidates, reach) == want
 
 
+def test_documents_hold_linked_parts(spark):
+    """Over all documents some secrets stand near an identifier or endpoint, whose spans are reported beside the base."""
+    rows = credentials.secret_digest(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("n_links > 0").collect()
+    assert len(rows) > 5 and all(r["n_links"] == len(r["links"].split(",")) and ("id:" in r["spans"] or "endpoint:" in r["spans"]) for r in rows)
+
+
 def test_secrets_of_odd_rows(odd, empty):
     rows = credentials.secret_digest(odd).collect()
     got = {r["doc_id"]: r for r in rows}
