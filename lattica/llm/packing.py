@@ -102,46 +102,55 @@ class Packer:
         if item.end > item.start:
             self.pool[(item.end - item.start, item.loss())].append(item)
 
+    def _fill(self) -> None:
+        kinds = list(self.pool)
+        at, remaining = {k: i for i, k in enumerate(kinds)}, sum(map(len, self.pool.values()))
+        size = 2 * len(kinds) + 64  # room for types that cuts bring
+        tokens, loss, left = (np.zeros(size, np.int64) for _ in range(3))
+        tokens[: len(kinds)], loss[: len(kinds)] = np.array(kinds, np.int64).T
+        left[: len(kinds)] = [len(x) for x in self.pool.values()]
+        # weight of a limit: the mean demand in parts of it; each demand again in parts, for the dot product
+        most = self.limits
+        heavy = (tokens * left).sum() / remaining / most.tokens**3, (loss * left).sum() / remaining / most.loss**3
+        while remaining:
+            n = len(kinds)
+            own_tokens, own_loss, own_left = tokens[:n], loss[:n], left[:n]
+            fits = (own_tokens <= self.room[0]) & (own_loss <= self.room[2]) & (own_left > 0)
+            if self.room[1] > 0 and fits.any():
+                # the segments' part of the product is the same for all
+                product = own_tokens * (heavy[0] * self.room[0]) + own_loss * (heavy[1] * self.room[2])
+                k = int(np.where(fits, product, -1.0).argmax())
+                self._place(self.pool[kinds[k]].pop())
+                left[k] -= 1
+                remaining -= 1
+                continue
+            # a prompt comes before its answer, so as much can be cut off as is prompt and finds room for its loss
+            part = np.where(own_left > 0, np.minimum(self.room[0], own_tokens - own_loss + self.room[2]), 0)
+            k = int(part.argmax())
+            if self.room[1] > 0 and part[k] >= most.least_cut:
+                item = self.pool[kinds[k]].pop()
+                left[k] -= 1
+                cut = Item(item.owner, item.start, item.start + int(part[k]), item.answer)
+                rest = Item(item.owner, cut.end, item.end, item.answer)
+                self._place(cut)
+                key = (rest.end - rest.start, rest.loss())
+                if key not in at:
+                    if n == size:
+                        size *= 2
+                        tokens, loss, left = (np.concatenate([x, np.zeros(n, np.int64)]) for x in (tokens, loss, left))
+                    at[key] = n
+                    kinds.append(key)
+                    tokens[n], loss[n] = key
+                self.pool[key].append(rest)
+                left[at[key]] += 1
+                continue
+            self._close()
+        self.pool.clear()
+
     def fill(self, last: bool) -> None:
         """Place the pool's items; the open sequence stays open unless ``last``."""
-        while self.pool:
-            types = np.array(list(self.pool), np.int64)
-            tokens, loss = np.ascontiguousarray(types[:, 0]), np.ascontiguousarray(types[:, 1])
-            left = np.array([len(x) for x in self.pool.values()], np.int64)
-            # weight of a limit: the mean demand in parts of it; each demand again in parts, for the dot product
-            n, most = left.sum(), self.limits
-            by_tokens = tokens * ((tokens * left).sum() / n / most.tokens**3)
-            by_loss = loss * ((loss * left).sum() / n / most.loss**3)
-            grown, remaining = False, int(n)
-            while remaining and not grown:
-                fits = (tokens <= self.room[0]) & (loss <= self.room[2]) & (left > 0)
-                if self.room[1] > 0 and fits.any():
-                    k = int(np.where(fits, by_tokens * self.room[0] + by_loss * self.room[2], -1.0).argmax())  # the segments' part is the same for all
-                    self._place(self.pool[tuple(types[k].tolist())].pop())
-                    left[k] -= 1
-                    remaining -= 1
-                    continue
-                # a prompt comes before its answer, so as much can be cut off as is prompt and finds room for its loss
-                part = np.where(left > 0, np.minimum(self.room[0], tokens - loss + self.room[2]), 0)
-                k = int(part.argmax())
-                if self.room[1] > 0 and part[k] >= self.limits.least_cut:
-                    item = self.pool[tuple(types[k].tolist())].pop()
-                    left[k] -= 1
-                    remaining -= 1
-                    cut = Item(item.owner, item.start, item.start + int(part[k]), item.answer)
-                    rest = Item(item.owner, cut.end, item.end, item.answer)
-                    self._place(cut)
-                    key = (rest.end - rest.start, rest.loss())
-                    self.pool[key].append(rest)
-                    same = np.flatnonzero((types == key).all(1))
-                    if len(same):
-                        left[same[0]] += 1
-                        remaining += 1
-                    else:
-                        grown = True
-                    continue
-                self._close()
-            self.pool = defaultdict(list, {k: v for k, v in self.pool.items() if v})
+        if self.pool:
+            self._fill()
         if last:
             self._close()
 

@@ -101,19 +101,33 @@ class Encoder:
         starts[~flag], n[~flag] = len(split) + np.cumsum(more) - more, more
         return data, starts, n
 
-    def texts(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text."""
-        if any(map(_ODD.search, texts)):
-            lists = pa.array([words(t) for t in texts], pa.list_(pa.string()))
-        else:
-            lists = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+    def _spread(self, texts: list[str], heads: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """ids of all, ends of the words in them, bounds of the texts in words, and words of each head."""
+        odd = any(map(_ODD.search, texts))
+        parted = (lambda x: pa.array([words(t) for t in x], pa.list_(pa.string()))) if odd else (lambda x: pc.utf8_split_whitespace(pa.array(x, pa.large_string())))
+        lists = parted(texts)
         coded = lists.flatten().dictionary_encode()
         data, starts, n = self._words(coded.dictionary)
         which = coded.indices.to_numpy()
         raw = _gathered(data, starts[which], n[which]).tobytes()
-        bounds = (4 * np.concatenate([[0], np.cumsum(n[which])])[_offsets(lists)]).tolist()
-        for at, end in zip(bounds, bounds[1:], strict=False):
-            yield raw[at:end]
+        ahead = pc.list_value_length(parted(heads)).to_numpy(zero_copy_only=False).astype(np.int64)
+        return raw, np.concatenate([[0], np.cumsum(n[which])]), _offsets(lists), ahead
+
+    def headed(self, texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """The ids of each text, and how many of them are those of its first line; 0 for a text of one line."""
+        at = [t.find("\n") for t in texts]
+        heads = [t[:k].rstrip() if k > 0 else "" for t, k in zip(texts, at, strict=True)]
+        raw, ends, bounds, ahead = self._spread(texts, heads)
+        stops = (4 * ends[bounds]).tolist()
+        first = ends[bounds[:-1] + np.minimum(ahead, np.diff(bounds))] - ends[bounds[:-1]]
+        return [raw[a:b] for a, b in zip(stops, stops[1:], strict=False)], np.where([bool(h) for h in heads], first, 0)
+
+    def texts(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text."""
+        raw, ends, bounds, _ = self._spread(texts, [])
+        stops = (4 * ends[bounds]).tolist()
+        for a, b in zip(stops, stops[1:], strict=False):
+            yield raw[a:b]
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library's decode(ids, skip_special_tokens=False) for a tokenizer without a decoder."""
@@ -141,11 +155,10 @@ def tokenized(df: DataFrame, path: str, last: int | None = None, id_col: str = "
         own = encoder(path)
         for part in slices(batches, most=8 << 20):
             texts = part.column(1).to_pylist()
-            ids = [x + tail for x in own.texts(texts)]
             if answers:
-                starts = [len(x) // 4 for x in own.texts([t[: max(t.find("\n"), 0)] for t in texts])]
-                yield table(_ANSWERS, part.column(0), ids, starts)
+                ids, starts = own.headed(texts)
+                yield table(_ANSWERS, part.column(0), [x + tail for x in ids], starts)
             else:
-                yield table(_SCHEMA, part.column(0), ids)
+                yield table(_SCHEMA, part.column(0), [x + tail for x in own.texts(texts)])
 
     return keyed_text(df, id_col, text_col).mapInArrow(lean(scan), "doc_id bigint, ids binary" + ", answer_start bigint" * answers)
