@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,11 +62,42 @@ def levels(edges: DataFrame) -> DataFrame:
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """v, component: the smallest vertex that it reaches and that reaches it."""
-    paths = staged(closure(edges), "closure")
-    back = paths.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = paths.join(back, ["src", "dst"]).groupBy(F.col("src").alias("v")).agg(F.min("dst").alias("m"))
-    return vertices(edges).join(mutual, "v", "left").select("v", F.least("v", F.coalesce("m", "v")).alias("component"))
+    """v, component: the smallest vertex that it reaches and that reaches it.
+
+    Vertices without edges in or out are alone.  Others take the largest vertex that reaches them as
+    colour; those that reach a vertex of its own colour within the colour are its component.  What is found
+    goes, until nothing is left.  Only labels of vertices are kept, never pairs.
+    """
+    inner = staged(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
+    left, done = staged(vertices(edges), "vertices"), []
+    while True:
+        core = staged(inner.select(F.col("src").alias("v")).intersect(inner.select("dst")), "core")
+        done.append(left.join(core, "v", "left_anti").select("v", F.col("v").alias("component")))
+        if core.isEmpty():
+            return staged(reduce(DataFrame.unionAll, done), "strong")
+        inner = staged(_between(inner, core), "edges")
+        colour = core.withColumn("c", F.col("v"))
+        while True:
+            most = inner.join(colour.withColumnRenamed("v", "src"), "src").groupBy(F.col("dst").alias("v")).agg(F.max("c").alias("m"))
+            step = staged(colour.join(most, "v", "left").select("v", F.greatest("c", "m").alias("c"), F.col("c").alias("was")), "colours")
+            colour = step.select("v", "c")
+            if step.where("c <> was").isEmpty():
+                break
+        ends = colour.select(F.col("v").alias("src"), F.col("c").alias("a")), colour.select(F.col("v").alias("dst"), F.col("c").alias("b"))
+        same = staged(inner.join(ends[0], "src").join(ends[1], "dst").where("a = b").select("src", "dst"), "same")
+        front = found = staged(colour.where("v = c"), "found")
+        while not front.isEmpty():
+            back = same.join(front.withColumnRenamed("v", "dst"), "dst").select(F.col("src").alias("v"), "c").distinct()
+            front = staged(back.join(found, "v", "left_anti"), "front")
+            found = staged(found.unionAll(front), "found")
+        done.append(found.join(found.groupBy("c").agg(F.min("v").alias("component")), "c").select("v", "component"))
+        left = staged(core.join(found, "v", "left_anti"), "vertices")
+        inner = staged(_between(inner, left), "edges")
+
+
+def _between(edges: DataFrame, some: DataFrame) -> DataFrame:
+    """The edges with both ends among ``some`` vertices."""
+    return edges.join(some.select(F.col("v").alias("src")), "src", "left_semi").join(some.select(F.col("v").alias("dst")), "dst", "left_semi")
 
 
 def components(edges: DataFrame) -> DataFrame:
