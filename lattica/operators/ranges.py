@@ -39,17 +39,40 @@ def intersected(a: DataFrame, b: DataFrame, by: list[str], width: int) -> DataFr
     return pairs.select(*by, F.greatest("lo", "r_lo").alias("lo"), F.least("hi", "r_hi").alias("hi"))
 
 
+#: Levels of bins, and how many bins of a level make one of the next.
+LEVELS, FACTOR = 4, 64
+
+
+def _binned(df: DataFrame, width: int, own: bool, above: bool) -> DataFrame:
+    """``df`` once for each bin (_level, _bin) that a row touches on its own level, the first whose bins are as wide as it, and on those above."""
+    widths = [width * FACTOR**k for k in range(LEVELS)]
+    level = F.lit(LEVELS - 1)
+    for k in reversed(range(LEVELS - 1)):
+        level = F.when(F.col("hi") - F.col("lo") < widths[k], F.lit(k)).otherwise(level)
+    levels = F.filter(F.array(*map(F.lit, range(LEVELS))), lambda x: ((x == level) & F.lit(own)) | ((x > level) & F.lit(above)))
+    wide = F.element_at(F.array(*(F.lit(w).cast("bigint") for w in widths)), F.col("_level") + 1)
+    each = df.withColumn("_level", F.explode(levels))
+    return each.withColumn("_wide", wide).withColumn("_bin", F.explode(F.sequence(F.floor(F.col("lo") / F.col("_wide")), F.floor(F.col("hi") / F.col("_wide")))))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, by: list[str], width: int) -> DataFrame:
-    """Pairs of overlapping closed intervals with equal ``by``: an equi-join on bins of ``width``.
+    """Pairs of overlapping closed intervals with equal ``by``: equi-joins on bins of several levels.
 
-    Each interval goes to the bins that it touches; a pair is kept in the first bin that
-    both touch, so none comes twice.  The right columns other than ``by`` are named r_.
+    An interval's own level has bins as wide as it, so it touches two there at most; a pair meets on the
+    level of its wider interval.  So rows grow with the levels, not with the intervals' widths (the last level's bins are
+    FACTOR ** (LEVELS - 1) times ``width``).  A pair is kept in the first bin that both touch, so none comes
+    twice.  The right columns other than ``by`` are named r_.
     """
-    binned = lambda df: df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
-    r = binned(right).select(*by, "_bin", *(F.col(c).alias(f"r_{c}") for c in right.columns if c not in by))
-    both = binned(left).join(r, [*by, "_bin"])
-    first = F.floor(F.greatest("lo", "r_lo") / width)
-    return both.where((F.col("lo") <= F.col("r_hi")) & (F.col("r_lo") <= F.col("hi")) & (F.col("_bin") == first)).drop("_bin")
+    names, out = left.columns, None
+    # the left one as wide as the level and the right one that or narrower, then the left one narrower and the right one as wide
+    for wider in (True, False):
+        a, b = _binned(left, width, wider, not wider), _binned(right, width, True, wider)
+        r = b.select(*by, "_level", "_bin", *(F.col(c).alias(f"r_{c}") for c in right.columns if c not in by))
+        both = a.join(r, [*by, "_level", "_bin"])
+        first = F.floor(F.greatest("lo", "r_lo") / F.col("_wide"))
+        kept = both.where((F.col("lo") <= F.col("r_hi")) & (F.col("r_lo") <= F.col("hi")) & (F.col("_bin") == first)).select(*names, *(c for c in r.columns if c.startswith("r_")))
+        out = kept if out is None else out.unionAll(kept)
+    return out
 
 
 def stab_join(points: DataFrame, ranges: DataFrame, by: list[str], point: str, width: int) -> DataFrame:
