@@ -26,3 +26,12 @@ def with_position(df: DataFrame, order: list[Column], name: str = "position") ->
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
     local = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
     return parted.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + local).drop("_part", "_at", "_before")  # a row for each partition
+
+
+def running_total(df: DataFrame, order: str, amount: str, name: str = "total") -> DataFrame:
+    """``df``, whose ``order`` is unique, with the sum of ``amount`` up to each row, computed on all partitions at once."""
+    parted = staged(df.orderBy(order).withColumn("_part", F.spark_partition_id()), "sorted")
+    sums = parted.groupBy("_part").agg(F.sum(amount).alias("_n"))
+    before = sums.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
+    own = F.sum(amount).over(W.partitionBy("_part").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    return parted.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")  # a row for each partition

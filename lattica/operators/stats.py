@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators.ordering import with_position
+from lattica.operators.ordering import running_total
 
 
 def column_stats(df: DataFrame, column: str) -> DataFrame:
@@ -36,23 +36,35 @@ def equi_width(df: DataFrame, column: str, buckets: int) -> DataFrame:
 
 
 def equi_depth(df: DataFrame, column: str, buckets: int) -> DataFrame:
-    """bucket, lo, hi, n, distinct: ceil(count / buckets) rows each in order of value, the last one short."""
-    known = df.where(F.col(column).isNotNull()).select(column)
-    placed = with_position(known, [F.col(column)])
-    total = known.agg(F.count("*").alias("_total"))
+    """bucket, lo, hi, n, distinct: ceil(count / buckets) rows each in order of value, the last one short.
+
+    Values are counted first, and only the counts are put in order; a value with more rows than a bucket has goes to several.
+    """
+    counts = running_total(df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")), "value", "n")
+    total = counts.agg(F.max("total").alias("_total"))
     size = F.ceil(F.col("_total") / F.lit(float(buckets)))
-    bucket = F.floor((F.col("position") - 1) / size).cast("bigint")
-    joined = placed.join(F.broadcast(total))  # one row
-    return joined.groupBy(bucket.alias("bucket")).agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count("*").alias("n"), F.countDistinct(column).alias("distinct"))
+    sized = counts.join(F.broadcast(total.select(size.alias("size"))))  # one row
+    first, last = F.floor((F.col("total") - F.col("n")) / F.col("size")), F.floor((F.col("total") - 1) / F.col("size"))
+    spread = sized.withColumn("bucket", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))))
+    share = F.least("total", (F.col("bucket") + 1) * F.col("size")) - F.greatest(F.col("total") - F.col("n"), F.col("bucket") * F.col("size"))
+    return spread.groupBy("bucket").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum(share).cast("bigint").alias("n"), F.count("*").alias("distinct"))
 
 
 def nearest_rank(df: DataFrame, column: str, q: float) -> DataFrame:
-    """The value at index round((n - 1) q) of the sorted non-null values, halves up."""
-    known = df.where(F.col(column).isNotNull()).select(column)
-    placed = with_position(known, [F.col(column)])
-    total = known.agg(F.count("*").alias("_total"))
-    wanted = F.floor((F.col("_total") - 1) * F.lit(float(q)) + 0.5) + 1
-    return placed.join(F.broadcast(total)).where(F.col("position") == wanted).select(F.col(column).alias("value"))  # one row
+    """The value at index round((n - 1) q) of the sorted non-null values, halves up.
+
+    Approximate quantiles bracket the value; rows below the bracket are counted, and only the values in it are put in order.
+    """
+    known = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value"))
+    near = F.percentile_approx("value", [max(0.0, q - 0.01), min(1.0, q + 0.01)], 1000)
+    bracket = known.agg(F.count("*").alias("_n"), near.alias("_near")).select(F.floor((F.col("_n") - 1) * F.lit(float(q)) + 0.5).alias("_index"), F.get("_near", F.lit(0)).alias("_lo"), F.get("_near", F.lit(1)).alias("_hi"))
+    row = bracket.first()
+    if row["_lo"] is None:
+        return known.limit(0)
+    below = known.where(F.col("value") < F.lit(row["_lo"])).count()
+    inside = known.where(F.col("value").between(F.lit(row["_lo"]), F.lit(row["_hi"]))).groupBy("value").agg(F.count("*").alias("n"))
+    at = running_total(inside, "value", "n").withColumn("total", F.col("total") + below)
+    return at.where((F.col("total") > row["_index"]) & (F.col("total") - F.col("n") <= row["_index"])).select("value")
 
 
 def most_frequent(df: DataFrame, column: str, k: int) -> DataFrame:
