@@ -39,8 +39,17 @@ def copartitioned(left: DataFrame, right: DataFrame, n: int, a: str, b: str) ->
     return left.repartition(n, F.col(a)), right.repartition(n, F.col(b))
 
 
-def bloom_prefilter(probe: DataFrame, build: DataFrame, key: Column, build_key: Column, bits: int = 1 << 16) -> DataFrame:
-    """``probe`` without rows whose key is surely absent from ``build``: a bitmap of hashes of fixed size goes to every task."""
+def bloom_prefilter(probe: DataFrame, build: DataFrame, key: Column, build_key: Column, bits: int | None = None) -> DataFrame:
+    """``probe`` without rows whose key is surely absent from ``build``: a bitmap of hashes goes to every task.
+
+    It has sixteen bits for each row of ``build``, counted first, if not told otherwise, and 16 MB at most; beyond 134 million
+    rows that lets too much through, and ``probe`` is returned as it is.
+    """
+    if bits is None:
+        n = build.count()
+        if n > 1 << 27:
+            return probe
+        bits = min(1 << 27, max(1 << 16, 1 << (16 * n - 1).bit_length()))
     build_bits = build.select(F.pmod(F.xxhash64(build_key), F.lit(bits)).alias("bit"))
     words = build_bits.groupBy(F.bitmap_bucket_number("bit").alias("word")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))  # bits / 8 bytes at most
     bit = F.pmod(F.xxhash64(key), F.lit(bits))
