@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,23 +35,20 @@ def damerau(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else osa(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def rolling_hashes(s: pd.Series, window: pd.Series) -> pd.Series:
-    """Polynomial hashes of every window of bytes."""
+def window_hashes(data: bytes, window: int) -> np.ndarray:
+    """Polynomial hash of every window of bytes, all windows at once, a byte of each a step."""
+    x = np.frombuffer(data, np.uint8).astype(np.int64)
+    n = max(len(x) - window + 1, 0)
+    h = np.zeros(n, np.int64)
+    for k in range(window if n else 0):
+        h = (h * BASE + x[k : k + n]) % MODULUS
+    return h
 
-    def one(text: str | None, n: int) -> list[int] | None:
-        if text is None:
-            return None
-        data, out, h, top = text.encode(), [], 0, pow(BASE, n - 1, MODULUS)
-        for i, x in enumerate(data):
-            if i >= n:
-                h = (h - data[i - n] * top) % MODULUS
-            h = (h * BASE + x) % MODULUS
-            if i >= n - 1:
-                out.append(h)
-        return out
 
-    return pd.Series([one(t, int(n)) for t, n in zip(s, window, strict=True)])
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def rolling_hashes(s: pd.Series, window: pd.Series) -> pd.Series:
+    """Polynomial hashes of every window of bytes; NULL for a NULL."""
+    return pd.Series([None if t is None else window_hashes(t.encode(), int(n)).tolist() for t, n in zip(s, window, strict=True)])
 
 
 @F.pandas_udf(T.LongType())
@@ -68,27 +66,30 @@ def fnv(s: pd.Series) -> pd.Series:
     return pd.Series([one(t) for t in s], dtype="Int64")
 
 
-def chunked(df: DataFrame, key: str, text: str, least: int, mask: int, most: int) -> DataFrame:
-    """key, start, size: chunks of the text's bytes cut where a rolling sum of 16 bytes meets the mask.
+def chunk_ends(data: bytes, least: int, mask: int, most: int, window: int = 16) -> list[int]:
+    """Ends of chunks of ``data``, cut where the hash of the last ``window`` bytes has no bit of ``mask``.
 
-    Chunks tile the bytes; each has ``most`` at most and, but for the last, ``least`` at least.
+    What lies before the window has no say, so cuts come back soon after an insertion.  Each chunk has
+    ``most`` bytes at most and, but for the last, ``least`` at least.
     """
+    marks = np.flatnonzero(window_hashes(data, window) & mask == 0) + window
+    out, at = [], 0
+    while at < len(data):
+        k = int(np.searchsorted(marks, at + least))
+        at = min(int(marks[k]) if k < len(marks) else len(data), at + most, len(data))
+        out.append(at)
+    return out
+
+
+def chunked(df: DataFrame, key: str, text: str, least: int, mask: int, most: int, window: int = 16) -> DataFrame:
+    """key, start, size: content-defined chunks that tile the text's bytes; none for a null or empty text."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for k, t in zip(b[key], b[text], strict=True):
-                data, at, h = (t or "").encode(), 0, 0
-                for i, x in enumerate(data):
-                    h = (h * 31 + x) & 0xFFFFFFFF
-                    size = i + 1 - at
-                    if size >= most or (size >= least and h & mask == mask):
-                        out.append((k, at, size))
-                        at, h = i + 1, 0
-                if at < len(data):
-                    out.append((k, at, len(data) - at))
+                ends = chunk_ends((t or "").encode(), least, mask, most, window)
+                out += [(k, a, e - a) for a, e in zip([0, *ends], ends, strict=False)]
             yield pd.DataFrame(out, columns=["key", "start", "size"])
 
     return df.select(key, text).mapInPandas(cut, "key bigint, start bigint, size bigint")
-
-

@@ -84,7 +84,15 @@ _txt("tx_26", "array_to_string(list_filter(range(0, length(s)), lambda i: s[i +
 _txt("tx_31", "starts_with(s, 'b')", lambda: F.startswith(_c("s"), _l("b")))
 
 
-@query(None)
+_SWAP = "CASE WHEN i > 1 AND x[1] > 1 AND a[i] = b[x[1] - 1] AND a[i - 1] = b[x[1]] THEN st[1][x[1] - 1] + 1 ELSE 9999 END"
+_ROW = f"""list_reduce(list_prepend([i], list_transform(range(1, length(b) + 1), lambda j: [j])), lambda row, x: list_append(row,
+           least(st[2][x[1] + 1] + 1, row[-1] + 1, st[2][x[1]] + CASE WHEN a[i] = b[x[1]] THEN 0 ELSE 1 END, {_SWAP})))"""
+
+
+@query(f"""WITH p AS (SELECT DISTINCT p_name AS a, lower(p_type) AS b, p_type FROM part),
+           d AS (SELECT a, p_type, list_reduce(list_prepend([range(0, length(b) + 1), range(0, length(b) + 1)], list_transform(range(1, length(a) + 1), lambda k: [[k]])),
+                 lambda st, e: [st[2], {_ROW.replace("a[i", "a[e[1][1]").replace("[i]", "[e[1][1]]").replace("i > 1", "e[1][1] > 1")}])[2][-1] AS r FROM p)
+           SELECT p_partkey, r FROM part JOIN d ON p_name = d.a AND part.p_type = d.p_type""")
 def tx_22(spark, sf):
     return load(spark, sf, "part").select("p_partkey", udx.damerau("p_name", F.lower("p_type")).alias("r"))
 
@@ -96,20 +104,25 @@ def tx_25(spark, sf):
     return words.select("w", F.array_min(F.array(*near))["c"].alias("c"))
 
 
-@query("SELECT item_id, true AS rolled FROM benchmark")
+_BYTES = "SELECT item_id, list_transform(range(0, len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT) AS b FROM (SELECT item_id, hex(encode(text)) AS h FROM benchmark)"
+_HORNER = "list_reduce(list_prepend(0::BIGINT, b[{}]), lambda h, x: (h * 257 + x) % 1000000007)"
+
+
+@query(f"""SELECT item_id, len(h)::BIGINT AS windows, list_sum(h)::BIGINT AS total, h[-1] AS last FROM
+           (SELECT item_id, list_transform(range(1, len(b) - 6), lambda i: {_HORNER.format("i:i + 7")}) AS h FROM ({_BYTES}))""")
 def tx_27(spark, sf):
-    h = udx.rolling_hashes("text", _l(8))
-    n = F.greatest(F.octet_length("text") - 7, _l(0))
-    return load(spark, sf, "benchmark").select("item_id", ((F.size(h) == n) & F.forall(h, lambda x: (x >= 0) & (x < udx.MODULUS))).alias("rolled"))
+    h = F.col("h")
+    total = F.aggregate(h, _l(0).cast("bigint"), lambda a, x: a + x)
+    out = load(spark, sf, "benchmark").select("item_id", udx.rolling_hashes("text", _l(8)).alias("h"))
+    return out.select("item_id", F.size(h).cast("bigint").alias("windows"), F.when(F.size(h) > 0, total).alias("total"), F.try_element_at(h, _l(-1)).alias("last"))
 
 
-@query("SELECT item_id, strlen(text) AS size, true AS tiled, true AS bounded FROM benchmark")
+@query(f"""WITH c AS (SELECT item_id, len(b) AS n, list_reduce(list_prepend([0::BIGINT], list_transform(range(1, len(b) + 1), lambda i: [CASE WHEN i >= 16 THEN {_HORNER.format("i - 15:i")} ELSE 1 END, i])),
+               lambda e, x: CASE WHEN (x[2] - e[-1] >= 16 AND x[1] % 32 = 0) OR x[2] - e[-1] >= 128 THEN list_append(e, x[2]) ELSE e END) AS e FROM ({_BYTES})),
+           d AS (SELECT item_id, CASE WHEN e[-1] < n THEN list_append(e, n) ELSE e END AS e FROM c)
+           SELECT item_id, unnest(e[:-2]) AS start, unnest(list_transform(range(1, len(e)), lambda i: e[i + 1] - e[i])) AS size FROM d""")
 def tx_28(spark, sf):
-    df = load(spark, sf, "benchmark")
-    chunks = udx.chunked(df, "item_id", "text", 16, 31, 128)
-    w = W.partitionBy("key").orderBy("start")
-    told = chunks.select("key", "size", (F.col("start") == F.coalesce(F.lag(F.col("start") + F.col("size")).over(w), _l(0))).alias("next"), ((F.col("size") <= 128) & ((F.col("size") >= 16) | F.lead("start").over(w).isNull())).alias("right"))
-    return told.groupBy(F.col("key").alias("item_id")).agg(F.sum("size").alias("size"), F.bool_and("next").alias("tiled"), F.bool_and("right").alias("bounded"))
+    return udx.chunked(load(spark, sf, "benchmark"), "item_id", "text", 16, 31, 128).withColumnRenamed("key", "item_id")
 
 
 @query("SELECT count(DISTINCT p_name) AS names, count(DISTINCT p_name) AS prints FROM part")
@@ -171,7 +184,11 @@ _txt("cd_01", "lower(hex(encode(w))) || ' ' || w", lambda: F.concat_ws(" ", code
 _txt("cd_02", "to_base64(encode(w)) || ' ' || w", lambda: F.concat_ws(" ", codecs.base64_encode(_c("w")), codecs.base64_decode(codecs.base64_encode(_c("w"))).cast("string")))
 
 
-@query(None)
+@query(
+    """WITH t AS (SELECT list(v ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(b)))
+       SELECT p_partkey, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(p_name) + 1), lambda i: ascii(p_name[i])::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) AS r
+       FROM part, t"""
+)
 def cd_03(spark, sf):
     return load(spark, sf, "part").select("p_partkey", F.crc32(F.col("p_name").cast("binary")).alias("r"))
 
