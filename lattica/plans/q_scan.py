@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lattica.functions import nulls, scalar, text
 from lattica.operators import ranges
 from lattica.plans.catalog import query
+from lattica.plans.durable import shared_dir
 from lattica.sources import batchio, csvio, diag, jsonio, quality
 from lattica.tables import load
 
@@ -61,7 +64,9 @@ _CSV = 'id,flag,x,name\r\n1,true,1.5,"a,b"\r\n2,false,,"say ""hi"""\r\n3,true,2.
 @query("""SELECT * FROM (VALUES (1::BIGINT, true, 1.5::DOUBLE, 'a,b'), (2, false, NULL, 'say "hi"'), (3, true, 2.0, 'two
 lines'), (4, false, 7.0, NULL)) t(id, flag, x, name)""")
 def sc_11(spark, sf):
-    return csvio.read_text(spark, _CSV)
+    path = f"{shared_dir(spark)}/lattica-csv-{uuid.uuid4().hex}"
+    spark.createDataFrame([(_CSV,)], "value string").coalesce(1).write.option("lineSep", "\n").text(path)
+    return csvio.read_csv(spark, path)
 
 
 @query("""SELECT * FROM (VALUES (1::BIGINT, 'id', 'flag'), (2, '1', 'true'), (3, '2', 'false'), (4, '3', 'true'), (5, '4', 'false')) t(record, first, second)""")

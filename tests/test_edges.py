@@ -1,11 +1,15 @@
 """Edge cases that the fixture tables lack: NULLs, ties, empty tables, odd numbers and texts."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions import codecs, dates, decimals, jsons, nulls, scalar, text
 from lattica.operators import aggregate, graph, joins, mutate, ranges, stats, udx, versions, windows
 from lattica.operators.ordering import with_position
+from lattica.plans import durable
 from lattica.plans.script import run_script, statements
 from lattica.plans.session import Session, SessionError
 from lattica.sources import csvio
@@ -226,3 +230,77 @@ def test_transactions(spark):
         high.read()
     with pytest.raises(TransactionError):
         store.begin().rollback_to("nothing")
+
+
+def test_cuts_come_back_after_an_insertion():
+    data = random.Random(4).randbytes(40_000)
+    spots = lambda x: {x[max(0, e - 16) : e] for e in udx.chunk_ends(x, 16, 31, 128)}
+    before, after = spots(data), spots(data[:9000] + b"inserted" + data[9000:])
+    assert len(before - after) <= 12 and len(before) > 600
+    ends = udx.chunk_ends(data, 16, 31, 128)
+    assert ends[-1] == len(data) and all(16 <= b - a <= 128 for a, b in zip([0, *ends], ends[:-1], strict=False))
+    assert udx.chunk_ends(b"", 16, 31, 128) == [] and udx.chunk_ends(b"short", 16, 31, 128) == [5]
+
+
+def test_window_hashes_equal_each_window_alone():
+    data = random.Random(5).randbytes(300)
+    for n in (1, 8, 300, 301):
+        assert udx.window_hashes(data, n).tolist() == [udx.window_hashes(data[i : i + n], n)[0] for i in range(len(data) - n + 1)]
+
+
+def test_overlaps_of_narrow_and_very_wide_intervals(spark):
+    rng = random.Random(6)
+    sides = [[(i, lo, lo + rng.choice([0, 1, 3, 40, 900, 10**7, 10**12])) for i in range(60) for lo in [rng.randrange(-3000, 3000)]] for _ in range(2)]
+    a, b = (spark.createDataFrame([("g", *x) for x in s], "g string, id bigint, lo bigint, hi bigint") for s in sides)
+    got = sorted((r["id"], r["r_id"]) for r in ranges.overlap_join(a, b, ["g"], 4).collect())
+    assert got == sorted((i, j) for i, lo, hi in sides[0] for j, x, y in sides[1] if lo <= y and x <= hi)
+
+
+def test_strong_components_of_random_graphs(spark):
+    rng = random.Random(7)
+    pairs = {(rng.randrange(30), rng.randrange(30)) for _ in range(45)}
+    reach = {v: {v} for e in pairs for v in e}
+    for _ in reach:
+        for a, b in pairs:
+            reach[a] |= reach[b]
+    got = {r["v"]: r["component"] for r in graph.strong_components(spark.createDataFrame(sorted(pairs), "src bigint, dst bigint")).collect()}
+    assert got == {v: min(w for w in reach if w in reach[v] and v in reach[w]) for v in reach} and len(set(got.values())) > 1
+
+
+@pytest.mark.parametrize("q", [0.0, 0.37, 0.5, 0.9, 1.0])
+def test_ranks_and_buckets_with_a_hot_value(spark, q):
+    rng = random.Random(8)
+    values = sorted([5.0] * 700 + [rng.random() * 10 for _ in range(1300)])
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(5)
+    assert stats.nearest_rank(df, "v", q).first()["value"] == values[math.floor((len(values) - 1) * q + 0.5)]
+    size = math.ceil(len(values) / 7)
+    want = [(k, x[0], x[-1], len(x), len(set(x))) for k in range(7) if (x := values[k * size : (k + 1) * size])]
+    assert sorted(tuple(r) for r in stats.equi_depth(df, "v", 7).collect()) == want
+
+
+def test_bloom_filter_grows_with_its_build_side(spark):
+    probe, build = spark.range(0, 400_000).toDF("k"), spark.range(0, 100_000).toDF("b")
+    kept = joins.bloom_prefilter(probe, build, F.col("k"), F.col("b"))
+    assert kept.where("k < 100000").count() == 100_000 and kept.count() < 130_000
+
+
+def test_storage_off_a_local_master():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Context(), type("Conf", (), {"get": lambda self, k, d: d})()
+
+    with pytest.raises(ValueError):
+        durable.shared_dir(Session())
+
+
+def test_discarded_tables_are_gone(spark):
+    kept = durable.staged(spark.range(3).toDF("x"), "kept")
+    assert kept.count() == 3
+    durable.discard(kept)
+    with pytest.raises(Exception):
+        spark.read.parquet(kept._staged_at)
