@@ -242,26 +242,26 @@ def _hub_rounds(member: DataFrame, sets: DataFrame, percent: int) -> tuple[list[
             return links, wide
 
 
-def _open_pairs(large: DataFrame, member: DataFrame, wide: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(member: DataFrame, wide: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between documents that share a large bucket of a wide group and are in different components so far."""
-    own = member.join(wide, "g", "left_semi").join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", "g", "size", F.coalesce("component", "doc_id").alias("label"))
-    placed = large.select("bucket", "doc_id").join(own, "doc_id")
+    own = member.join(wide, "g", "left_semi").join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", "g", "size", F.coalesce("component", "doc_id").alias("label"), "buckets")
+    placed = own.withColumn("bucket", F.explode("buckets")).drop("buckets")
     split = placed.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket")
-    rest = staged(placed.join(split, "bucket", "left_semi"), "open")
-    docs = rest.select("doc_id", "g", "size", "label").distinct()
+    rest = placed.join(split, "bucket", "left_semi").groupBy("doc_id", "g", "size", "label").agg(F.collect_list("bucket").alias("open"))
+    docs = staged(rest, "open")
     # small components share blocks, large ones are cut into blocks of their own
     by_group = docs.groupBy("g").agg(_parts().alias("blocks"))
     by_label = docs.groupBy("label").agg(_parts().alias("cuts"))
     alone = F.col("cuts") > 1
     block = F.when(alone, F.xxhash64("label", F.pmod(F.xxhash64("doc_id"), "cuts"))).otherwise(F.xxhash64("g", F.pmod(F.xxhash64("label"), "blocks")))
-    dealt = staged(docs.join(by_group, "g").join(by_label, "label").select("doc_id", "label", block.alias("block"), F.when(alone, F.col("label")).alias("only")), "dealt")
-    there = rest.select("bucket", "doc_id").join(dealt, "doc_id").select("bucket", "block", "only").distinct()
+    dealt = staged(docs.join(by_group, "g").join(by_label, "label").select("doc_id", "label", block.alias("block"), F.when(alone, F.col("label")).alias("only"), "open"), "dealt")
+    there = dealt.select(F.explode("open").alias("bucket"), "block", "only").distinct()
     other = there.select("bucket", F.col("block").alias("j"), F.col("only").alias("other"))
     same = F.coalesce(F.col("only") == F.col("other"), F.lit(False))
     meets = there.join(other, "bucket").where((F.col("block") <= F.col("j")) & ~same).select(F.col("block").alias("i"), "j").distinct()
     ends = meets.select("i", "j", F.col("i").alias("block")).union(meets.where("i <> j").select("i", "j", F.col("j").alias("block")))
-    placed = dealt.join(sets, "doc_id").join(ends, "block").select(F.struct("i", "j").alias("place"), "doc_id", "elements", "label")
-    return _compared(placed, percent).where("doc_id <> root").select(F.col("doc_id").alias("u"), F.col("root").alias("v"))
+    met = dealt.drop("open").join(sets, "doc_id").join(ends, "block").select(F.struct("i", "j").alias("place"), "doc_id", "elements", "label")
+    return _compared(met, percent).where("doc_id <> root").select(F.col("doc_id").alias("u"), F.col("root").alias("v"))
 
 
 def linked(buckets: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -273,13 +273,14 @@ def linked(buckets: DataFrame, marks: DataFrame, sets: DataFrame, percent: int)
     few = confirmed(likely(pairs.select("u", "v").distinct(), marks, percent), sets, percent)
     large = staged(buckets.join(sizes.where(F.col("n") > SMALL), "bucket"), "large")
     coarse = components(large.select(F.col("doc_id").alias("u"), F.col("centre").alias("v")))
-    member = large.select("doc_id", "size").distinct().join(coarse.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "size", F.coalesce("component", "doc_id").alias("g"))
-    member = staged(member, "members")
-    links, wide = _hub_rounds(member, sets, percent)
+    # a row for each document with all its large buckets, at most as many as there are bands
+    member = large.groupBy("doc_id", "size").agg(F.collect_list("bucket").alias("buckets")).join(coarse.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    member = staged(member.select("doc_id", "size", F.coalesce("component", "doc_id").alias("g"), "buckets"), "members")
+    links, wide = _hub_rounds(member.drop("buckets"), sets, percent)
     found = staged(reduce(DataFrame.unionAll, links, few), "found")
     if wide.isEmpty():
         return found
-    return found.unionAll(_open_pairs(large, member, wide, components(found), sets, percent))
+    return found.unionAll(_open_pairs(member, wide, components(found), sets, percent))
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
