@@ -12,14 +12,15 @@ from lattica.tables import load
 
 
 def _sides(spark, sf):
-    """Orders and items with unmatched keys on both sides and NULL keys."""
-    o = load(spark, sf, "orders").where("o_orderkey % 3 <> 0").select(F.nullif("o_orderkey", F.lit(4)).cast("bigint").alias("ok"), "o_custkey")
-    i = load(spark, sf, "lineitem").where("l_linenumber = 1").select(F.nullif("l_orderkey", F.lit(5)).cast("bigint").alias("lk"), "l_partkey")
+    """All orders and all items: every third order's key is negated, so that it has no match, as have the items of these orders."""
+    k = F.col("o_orderkey")
+    o = load(spark, sf, "orders").select(F.when(k % 3 == 0, -k).otherwise(F.nullif(k, F.lit(4))).cast("bigint").alias("ok"), "o_custkey")
+    i = load(spark, sf, "lineitem").select(F.nullif("l_orderkey", F.lit(5)).cast("bigint").alias("lk"), "l_partkey")
     return o, i
 
 
-_O = "(SELECT nullif(o_orderkey, 4) AS ok, o_custkey FROM orders WHERE o_orderkey % 3 <> 0) o"
-_I = "(SELECT nullif(l_orderkey, 5) AS lk, l_partkey FROM lineitem WHERE l_linenumber = 1) i"
+_O = "(SELECT CASE WHEN o_orderkey % 3 = 0 THEN -o_orderkey ELSE nullif(o_orderkey, 4) END AS ok, o_custkey FROM orders) o"
+_I = "(SELECT nullif(l_orderkey, 5) AS lk, l_partkey FROM lineitem) i"
 
 
 @query("""SELECT user_id, event_id, next_event_id, event_type FROM (
@@ -43,31 +44,6 @@ def jn_07(spark, sf):
     return joins.equi_join(*_sides(spark, sf), [("ok", "lk")], "left_anti")
 
 
-def _sides_whole(spark, sf):
-    """All orders and all items: every third order's key is negated, so that it has no match, as have the items of these orders."""
-    k = F.col("o_orderkey")
-    o = load(spark, sf, "orders").select(F.when(k % 3 == 0, -k).otherwise(F.nullif(k, F.lit(4))).cast("bigint").alias("ok"), "o_custkey")
-    i = load(spark, sf, "lineitem").select(F.nullif("l_orderkey", F.lit(5)).cast("bigint").alias("lk"), "l_partkey")
-    return o, i
-
-
-_O_WHOLE = "(SELECT CASE WHEN o_orderkey % 3 = 0 THEN -o_orderkey ELSE nullif(o_orderkey, 4) END AS ok, o_custkey FROM orders) o"
-_I_WHOLE = "(SELECT nullif(l_orderkey, 5) AS lk, l_partkey FROM lineitem) i"
-
-for _id, _kind, _sql in (("jn_02_whole", "inner", "JOIN"), ("jn_03_whole", "left", "LEFT JOIN"), ("jn_04_whole", "right", "RIGHT JOIN"), ("jn_05_whole", "full", "FULL JOIN")):
-    query(f"SELECT ok, o_custkey, lk, l_partkey FROM {_O_WHOLE} {_sql} {_I_WHOLE} ON o.ok = i.lk", _id)(lambda spark, sf, k=_kind: joins.equi_join(*_sides_whole(spark, sf), [("ok", "lk")], k))
-
-
-@query(f"SELECT ok, o_custkey FROM {_O_WHOLE} WHERE EXISTS (SELECT 1 FROM {_I_WHOLE} WHERE o.ok = i.lk)")
-def jn_06_whole(spark, sf):
-    return joins.equi_join(*_sides_whole(spark, sf), [("ok", "lk")], "left_semi")
-
-
-@query(f"SELECT ok, o_custkey FROM {_O_WHOLE} WHERE NOT EXISTS (SELECT 1 FROM {_I_WHOLE} WHERE o.ok = i.lk)")
-def jn_07_whole(spark, sf):
-    return joins.equi_join(*_sides_whole(spark, sf), [("ok", "lk")], "left_anti")
-
-
 @query("SELECT n_nationkey, r_regionkey FROM nation JOIN region ON n_regionkey < r_regionkey")
 def jn_08(spark, sf):
     return joins.theta_join(load(spark, sf, "nation"), load(spark, sf, "region"), "n_regionkey", "<", "r_regionkey").select("n_nationkey", "r_regionkey")

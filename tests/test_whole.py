@@ -8,22 +8,22 @@ SF = "/root/testdata/sf0.001"
 def test_graph_reads_every_order(spark):
     orders = {r["o_orderkey"]: r["o_custkey"] for r in spark.read.parquet(f"{SF}/orders.parquet").collect()}
     run = registry.queries()
-    out = {r["v"]: r["out_degree"] for r in run["gr_05_whole"](spark, SF).collect()}
+    out = {r["v"]: r["out_degree"] for r in run["gr_05"](spark, SF).collect()}
     assert {v for v, n in out.items() if n == 1} == set(orders) and sum(out.values()) == len(orders)
     own: dict = {}
     for k, c in orders.items():
         own.setdefault(c, []).append(k)
     strong = {k: min(own[c]) if c % 2 == 0 else k for k, c in orders.items()} | {-c: -c for c in own if c % 2}
-    assert {r["v"]: r["component"] for r in run["gr_04_whole"](spark, SF).collect()} == strong
+    assert {r["v"]: r["component"] for r in run["gr_04"](spark, SF).collect()} == strong
     weak = {k: min(own[c]) if c % 2 == 0 else -c for k, c in orders.items()} | {-c: -c for c in own if c % 2}
-    assert {r["v"]: r["component"] for r in run["gr_07_whole"](spark, SF).collect()} == weak
+    assert {r["v"]: r["component"] for r in run["gr_07"](spark, SF).collect()} == weak
 
 
 def test_joins_read_every_row_and_fan_out(spark):
     run = registry.queries()
     orders, items = (spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("orders", "lineitem"))
-    inner, left, right, full = (run[f"jn_0{n}_whole"](spark, SF) for n in (2, 3, 4, 5))
+    inner, left, right, full = (run[f"jn_0{n}"](spark, SF) for n in (2, 3, 4, 5))
     assert right.count() == items and inner.groupBy("ok").count().where("count > 1").count() > 0
-    assert left.count() - inner.count() == run["jn_07_whole"](spark, SF).count() > 0
-    assert run["jn_06_whole"](spark, SF).count() + run["jn_07_whole"](spark, SF).count() == orders
+    assert left.count() - inner.count() == run["jn_07"](spark, SF).count() > 0
+    assert run["jn_06"](spark, SF).count() + run["jn_07"](spark, SF).count() == orders
     assert full.count() == left.count() + right.count() - inner.count()
