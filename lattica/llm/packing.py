@@ -32,8 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import lean, slices, table
-from lattica.llm.tokens import tokenized
+from lattica.llm.common import keyed_text, lean, slices, table
+from lattica.llm.tokens import scanner as tokenizing
 
 
 @dataclass(frozen=True)
@@ -156,18 +156,13 @@ class Packer:
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("loss", pa.int64()), ("segment", pa.int64()), ("loss_before", pa.int64())])
+_KINDS = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, loss bigint, segment bigint, loss_before bigint"
 #: Tokens packed at a time by a task.
 WINDOW = 1 << 20
 
 
-def pack(examples: DataFrame, limits: Limits = Limits(), window: int = WINDOW) -> DataFrame:
-    """Pieces of ``examples`` (doc_id, ids as little-endian 32-bit, optional answer_start): one row each.
-
-    doc_id, start, length, ids, doc_tokens, sequence_id, offset, loss (tokens of the piece that bear loss), and
-    segment and loss_before, the pieces and loss-bearing tokens ahead of it in its sequence.  Tokens from
-    ``answer_start`` on bear loss, all where it is absent or null.
-    """
-    answers = F.coalesce(F.col("answer_start").cast("long"), F.lit(0)) if "answer_start" in examples.columns else F.lit(0).cast("long")
+def scanner(limits: Limits, window: int):
+    """For batches of (doc_id, ids, answer start): batches of packed pieces."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
@@ -198,11 +193,28 @@ def pack(examples: DataFrame, limits: Limits = Limits(), window: int = WINDOW) -
                     keys, ids, held = [], [], 0
         yield from out(True)
 
+    return scan
+
+
+def pack(examples: DataFrame, limits: Limits = Limits(), window: int = WINDOW) -> DataFrame:
+    """Pieces of ``examples`` (doc_id, ids as little-endian 32-bit, optional answer_start): one row each.
+
+    doc_id, start, length, ids, doc_tokens, sequence_id, offset, loss (tokens of the piece that bear loss), and
+    segment and loss_before, the pieces and loss-bearing tokens ahead of it in its sequence.  Tokens from
+    ``answer_start`` on bear loss, all where it is absent or null.
+    """
+    answers = F.coalesce(F.col("answer_start").cast("long"), F.lit(0)) if "answer_start" in examples.columns else F.lit(0).cast("long")
     picked = examples.select("doc_id", F.coalesce("ids", F.lit(b"")).alias("ids"), answers.alias("answer"))
-    return picked.mapInArrow(lean(scan), "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, loss bigint, segment bigint, loss_before bigint")
+    return picked.mapInArrow(lean(scanner(limits, window)), _KINDS)
+
+
+def pack_texts(df: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits(), window: int = WINDOW) -> DataFrame:
+    """``pack`` of whole texts, each closed by ``end_id``, its first line the prompt; one Python worker a task tokenizes and packs."""
+    ids, placed = tokenizing(path, end_id, answers=True), scanner(limits, window)
+    return keyed_text(df, id_col, text_col).mapInArrow(lean(lambda batches: placed(ids(batches))), _KINDS)
 
 
 def packed_documents(df: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     """Whole documents, each closed by ``end_id``, packed: pieces with the CRC-32 of their ids."""
-    pieces = pack(tokenized(df, path, end_id, answers=True))
+    pieces = pack_texts(df, path, end_id)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss", "segment", "loss_before")

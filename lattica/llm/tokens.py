@@ -144,11 +144,8 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 _ANSWERS = _SCHEMA.append(pa.field("answer_start", pa.int64()))
 
 
-def tokenized(df: DataFrame, path: str, last: int | None = None, id_col: str = "doc_id", text_col: str = "text", answers: bool = False) -> DataFrame:
-    """(doc_id, ids): each whole text's ids, then ``last``. A null text is an empty one.
-
-    With ``answers`` also answer_start, the number of ids of the first line, 0 for a text of one line.
-    """
+def scanner(path: str, last: int | None = None, answers: bool = False):
+    """For batches of (doc_id, text): batches of (doc_id, ids), with ``answers`` also answer_start."""
     tail = b"" if last is None else int(last).to_bytes(4, "little")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,4 +158,12 @@ def tokenized(df: DataFrame, path: str, last: int | None = None, id_col: str = "
             else:
                 yield table(_SCHEMA, part.column(0), [x + tail for x in own.texts(texts)])
 
-    return keyed_text(df, id_col, text_col).mapInArrow(lean(scan), "doc_id bigint, ids binary" + ", answer_start bigint" * answers)
+    return scan
+
+
+def tokenized(df: DataFrame, path: str, last: int | None = None, id_col: str = "doc_id", text_col: str = "text", answers: bool = False) -> DataFrame:
+    """(doc_id, ids): each whole text's ids, then ``last``. A null text is an empty one.
+
+    With ``answers`` also answer_start, the number of ids of the first line, 0 for a text of one line.
+    """
+    return keyed_text(df, id_col, text_col).mapInArrow(lean(scanner(path, last, answers)), "doc_id bigint, ids binary" + ", answer_start bigint" * answers)
