@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import credentials, minhash, packing, quality, suffix, tokens
+from lattica.llm import credentials, minhash, packing, quality, suffix
 from lattica.plans.durable import staged
 from lattica.tables import load, reachable
 
@@ -61,7 +61,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 @_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of tokenized texts, packed into sequences of 2048."""
-    return packing.pack(tokens.tokenized(docs, public_tokenizers.path(TOKENIZER), END_ID, answers=True))
+    return packing.pack_texts(docs, public_tokenizers.path(TOKENIZER), END_ID)
 
 
 STAGES = [
