@@ -13,7 +13,7 @@ log-odds of the scorer count n / (n + ``EVEN``) and those of the posterior the r
 text is judged by the scorer, a very short one by its votes; no length is a case of its own.
 
 Null and empty texts, on which all votes are missing, have the share of good texts as posterior; very long ones are read whole.
-Repeated rows get equal scores, ties with the threshold are kept.  Without rows, or where the sample has one class
+Repeated rows get equal scores and are one row of the sample, ties with the threshold are kept.  Without rows, or where the sample has one class
 only, the score is the posterior.  An empty table gives no rows; other columns, whatever their names, are
 not looked at, and carried along by ``accepted``.
 """
@@ -227,7 +227,11 @@ class Model:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Labellers' accuracies from all rows, the scorer from about ``sample`` rows chosen by a hash of key and text."""
+    """Labellers' accuracies from all rows, the scorer from about ``sample`` rows chosen by a hash of key and text.
+
+    Rows equal in both fall in or out together, so of those chosen one is kept: however often a row
+    is repeated, no more than about ``sample`` come to the driver.
+    """
     texts = keyed_text(df, id_col, text_col)
     found = voted(texts).groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()  # 4 ** labellers rows at most
     if not found:
@@ -237,7 +241,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: i
     posterior = dict(zip(codes.tolist(), good.tolist(), strict=True))
     part = min(1.0, sample / int(counts.sum()))
     chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(part * (1 << 30)) + 1
-    rows = featured(texts.where(chosen)).orderBy("pattern", F.xxhash64("grams")).collect()
+    rows = featured(texts.where(chosen).dropDuplicates()).orderBy("pattern", F.xxhash64("grams")).collect()
     target = np.array([posterior[r["pattern"]] for r in rows])
     if not len(rows) or (target >= 0.5).all() or (target < 0.5).all():
         return Model(posterior, accuracy, share, None)

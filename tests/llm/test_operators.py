@@ -390,6 +390,21 @@ def test_no_length_is_a_case_of_its_own(spark):
     assert np.abs(np.diff(good)).max() < 0.25
 
 
+def test_repeated_rows_are_one_of_the_sample(spark, some, monkeypatch):
+    """40 rows, each 500 times: the counts are of 20,000 rows, what is trained on of 40 at most."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("quality = 1").select("doc_id")
+    prose = [r["text"] for r in some.join(labels, "doc_id").where("n_chars > 300").orderBy("doc_id").limit(20).collect()]
+    assert len(prose) == 20
+    rows = list(enumerate(prose + [f"%$# {k} &* !!! @@ ~~ " * 9 for k in range(20)]))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").crossJoin(spark.range(500).select())
+    sizes, train = [], quality.train
+    monkeypatch.setattr(quality, "train", lambda grams, dense, target: sizes.append(len(target)) or train(grams, dense, target))
+    model = quality.fit(docs, sample=10_000)
+    assert 2 <= sizes[0] <= len(rows)
+    good, bad = (quality._scores(model, [t for _, t in part])[1] for part in (rows[:20], rows[20:]))
+    assert (good >= 0.5).all() and (bad < 0.5).all()
+
+
 def test_quality_of_odd_rows(odd, empty):
     got = quality.classified(odd).collect()
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
