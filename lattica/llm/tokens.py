@@ -30,6 +30,8 @@ _PLAIN = f"^[{_UPPER}{_LOWER}0-9{_MARKS}]+$"
 _PIECE = f"([{_LOWER}]+|[0-9]|[{_MARKS}]+)"
 #: Pieces that the library encodes at a time.
 BLOCK = 1000
+#: Runs of ids that are put together at a time.
+RUNS = 1 << 16
 
 
 def words(text: str) -> list[str]:
@@ -37,9 +39,15 @@ def words(text: str) -> list[str]:
 
 
 def _gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The runs of ``data`` one after another."""
-    ends = np.cumsum(sizes)
-    return data[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+    """The runs of ``data`` one after another; found ``RUNS`` at a time, so that the places take little memory."""
+    out, at = np.empty(int(sizes.sum()), data.dtype), 0
+    for k in range(0, len(sizes), RUNS):
+        n = sizes[k : k + RUNS]
+        ends = np.cumsum(n)
+        upto = at + int(ends[-1])
+        out[at:upto] = data[np.repeat(starts[k : k + RUNS] - ends + n, n) + np.arange(upto - at)]
+        at = upto
+    return out
 
 
 def _offsets(lists: pa.Array) -> np.ndarray:
@@ -108,10 +116,12 @@ class Encoder:
         lists = parted(texts)
         coded = lists.flatten().dictionary_encode()
         data, starts, n = self._words(coded.dictionary)
-        which = coded.indices.to_numpy()
-        raw = _gathered(data, starts[which], n[which]).tobytes()
+        which, bounds = coded.indices.to_numpy(), _offsets(lists)
+        del lists, coded
+        sizes = n[which]
+        raw = _gathered(data, starts[which], sizes).tobytes()
         ahead = pc.list_value_length(parted(heads)).to_numpy(zero_copy_only=False).astype(np.int64)
-        return raw, np.concatenate([[0], np.cumsum(n[which])]), _offsets(lists), ahead
+        return raw, np.concatenate([[0], np.cumsum(sizes)]), bounds, ahead
 
     def headed(self, texts: list[str]) -> tuple[list[bytes], np.ndarray]:
         """The ids of each text, and how many of them are those of its first line; 0 for a text of one line."""
@@ -150,7 +160,7 @@ def scanner(path: str, last: int | None = None, answers: bool = False):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for part in slices(batches, most=8 << 20):
+        for part in slices(batches, most=6 << 20):
             texts = part.column(1).to_pylist()
             if answers:
                 ids, starts = own.headed(texts)
