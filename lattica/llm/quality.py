@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -173,14 +174,14 @@ class Scorer:
 
 def train(grams: np.ndarray, dense: np.ndarray, target: np.ndarray, steps: int = STEPS) -> Scorer:
     """Logistic regression on soft targets by full-batch gradients with momentum; classes weigh the same."""
-    x = grams * np.float32(DIMS**0.5)
-    w, v, b = np.zeros(x.shape[1], np.float32), np.zeros(dense.shape[1], np.float32), 0.0
+    scale = np.float32(DIMS**0.5)  # of the grams, which are not copied for it
+    w, v, b = np.zeros(grams.shape[1], np.float32), np.zeros(dense.shape[1], np.float32), 0.0
     moves = [np.zeros_like(w), np.zeros_like(v), 0.0]
     weight = np.where(target >= 0.5, 0.5 / max(1, (target >= 0.5).sum()), 0.5 / max(1, (target < 0.5).sum()))
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + dense @ v + b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(grams @ (scale * w) + dense @ v + b, -30, 30)))
         g = ((p - target) * weight).astype(np.float32)
-        grads = (g @ x + 1e-4 * w, g @ dense + 1e-4 * v, g.sum())
+        grads = (scale * (g @ grams) + 1e-4 * w, g @ dense + 1e-4 * v, g.sum())
         moves = [0.9 * m + d for m, d in zip(moves, grads, strict=True)]
         w, v, b = w - 0.5 * moves[0], v - 0.5 * moves[1], b - 0.5 * moves[2]
     return Scorer(w, v, float(b))
@@ -206,14 +207,15 @@ def voted(texts: DataFrame) -> DataFrame:
 
 
 def featured(texts: DataFrame) -> DataFrame:
-    """pattern, and features as 32-bit floats."""
+    """pattern, and features as 32-bit floats, those of the trigrams compressed."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
         for part in slices(batches, most=1 << 19):
             data = [t.encode() for t in part.column(1).to_pylist()]
             values, words = measures(data)
-            grams = [(np.bincount(trigrams(np.frombuffer(t, np.uint8)), minlength=DIMS) / (len(t) - 2) if len(t) > 2 else np.zeros(DIMS)).astype(np.float32).tobytes() for t in data]
-            yield table(_SAMPLE, _patterns(values, words), grams, [x.tobytes() for x in _dense(values, words)])
+            grams = ((np.bincount(trigrams(np.frombuffer(t, np.uint8)), minlength=DIMS) / (len(t) - 2) if len(t) > 2 else np.zeros(DIMS)).astype(np.float32) for t in data)
+            yield table(_SAMPLE, _patterns(values, words), [pack.compress(x.tobytes()) for x in grams], [x.tobytes() for x in _dense(values, words)])
 
     return texts.mapInArrow(lean(scan), "pattern bigint, grams binary, dense binary")
 
@@ -241,11 +243,15 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: i
     posterior = dict(zip(codes.tolist(), good.tolist(), strict=True))
     part = min(1.0, sample / int(counts.sum()))
     chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(part * (1 << 30)) + 1
-    rows = featured(texts.where(chosen).dropDuplicates()).orderBy("pattern", F.xxhash64("grams")).collect()
+    rows = sorted(featured(texts.where(chosen).dropDuplicates()).collect())  # in one order, however they were dealt
     target = np.array([posterior[r["pattern"]] for r in rows])
     if not len(rows) or (target >= 0.5).all() or (target < 0.5).all():
         return Model(posterior, accuracy, share, None)
-    grams, dense = (np.stack([np.frombuffer(r[k], np.float32) for r in rows]) for k in ("grams", "dense"))
+    dense = np.stack([np.frombuffer(r["dense"], np.float32) for r in rows])
+    grams, unpack = np.empty((len(rows), DIMS), np.float32), zstandard.ZstdDecompressor()
+    for own, r in zip(grams, rows, strict=True):
+        own[:] = np.frombuffer(unpack.decompress(r["grams"]), np.float32)
+    del rows
     return Model(posterior, accuracy, share, train(grams, dense, target))
 
 
