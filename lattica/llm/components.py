@@ -1,6 +1,8 @@
 """Connected components of an edge table, by alternating stars after union-find in each partition.
 
-No link or label ever goes to the driver; hubs are aggregated before they are shuffled.
+What union-find leaves is merged by a single task once it is no more than ``FEW`` links, as every
+round of stars takes many small stages.  No link or label ever goes to the driver; hubs are
+aggregated before they are shuffled.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from lattica.plans.durable import staged
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 #: Links that a task merges at a time.
 HELD = 1 << 20
+#: Links that a single task merges to the end; more go through rounds of stars.
+FEW = 1 << 17
 
 
 class UnionFind:
@@ -65,8 +69,8 @@ def components(edges: DataFrame) -> DataFrame:
     Links with a null end and links of a node with itself say nothing and are left out.
     """
     links = edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v"), (F.col("u") != F.col("v")).alias("ok")).where("ok").select("u", "v")
-    e = staged(links.mapInArrow(lean(_merged), "u bigint, v bigint").distinct(), "links")
-    while True:
+    e = staged(links.mapInArrow(lean(_merged), "u bigint, v bigint"), "links")
+    while e.count() > FEW:
         # small star: a node's smaller neighbours and itself go to the smallest of them
         least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         state = least.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()["most"]
@@ -79,3 +83,5 @@ def components(edges: DataFrame) -> DataFrame:
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         moved = e.join(least.withColumnRenamed("u", "v"), "v", "left").select("u", F.coalesce("m", "v").alias("v"))
         e = staged(moved.distinct(), "links")
+    merged = staged(e.coalesce(1).mapInArrow(lean(_merged), "u bigint, v bigint"), "links")
+    return merged.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -265,13 +265,15 @@ def _open_pairs(member: DataFrame, wide: DataFrame, labels: DataFrame, sets: Dat
 
 
 def linked(buckets: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) that join the same documents as all links between documents that share a bucket do."""
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("centre"))
-    small = buckets.join(sizes.where(F.col("n") <= SMALL), "bucket")
+    """Links (u, v) that join the same documents as all links between documents that share a bucket do.
+
+    buckets: a row for each document and bucket, with the bucket's number n of documents and the smallest of them, its centre.
+    """
+    small = buckets.where(F.col("n") <= SMALL)
     close = F.lit(100) * F.least("nu", "size") >= F.lit(percent) * F.greatest("nu", "size")
     pairs = small.select("bucket", F.col("doc_id").alias("u"), F.col("size").alias("nu")).join(small.select("bucket", F.col("doc_id").alias("v"), "size"), "bucket").where((F.col("u") < F.col("v")) & close)
     few = confirmed(likely(pairs.select("u", "v").distinct(), marks, percent), sets, percent)
-    large = staged(buckets.join(sizes.where(F.col("n") > SMALL), "bucket"), "large")
+    large = buckets.where(F.col("n") > SMALL)
     coarse = components(large.select(F.col("doc_id").alias("u"), F.col("centre").alias("v")))
     # a row for each document with all its large buckets, at most as many as there are bands
     member = large.groupBy("doc_id", "size").agg(F.collect_list("bucket").alias("buckets")).join(coarse.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -297,11 +299,12 @@ def _grouped(df: DataFrame, words: int, percent: int, id_col: str, text_col: str
     classes = staged(named.groupBy("set_digest").agg(F.min("doc_id").alias("rep"), F.min("id").alias("least")), "classes")
     reps = marks.join(classes, (marks["set_digest"] == classes["set_digest"]) & (marks["doc_id"] == classes["rep"]), "left_semi").dropDuplicates(["doc_id"])
     placed = reps.select(F.explode("bands").alias("bucket"), "doc_id", F.col("n_shingles").alias("size"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    buckets = staged(placed.join(shared, "bucket", "left_semi"), "buckets")
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("centre")).where("n > 1")
+    buckets = staged(placed.join(shared, "bucket"), "buckets")
     wanted = buckets.select("doc_id").distinct()
     sets = staged(full_sets(packed(texts.select("doc_id", "text")).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), words), "sets")
-    labels = components(linked(buckets, reps.select("doc_id", "slots"), sets, percent))
+    slots = marks.select("doc_id", "slots").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    labels = components(linked(buckets, slots, sets, percent))
     # nodes are hashes: the smallest doc_id of a group, then its row of the least key
     group = F.coalesce("component", "rep").alias("group")
     of = staged(classes.join(labels, F.col("rep") == F.col("node"), "left").select("set_digest", "least", group), "groups")

@@ -232,6 +232,21 @@ def test_components(spark):
     assert got == dict(up.forest())
 
 
+@pytest.mark.parametrize("few", [0, components.FEW])
+def test_few_links_take_no_rounds(spark, monkeypatch, few):
+    """What union-find leaves is merged at once if that is little, else by stars, with equal results."""
+    monkeypatch.setattr(components, "FEW", few)
+    written, keep = [], components.staged
+    monkeypatch.setattr(components, "staged", lambda df, name: written.append(name) or keep(df, name))
+    pairs = [(k, k + 1) for k in range(300)] + [(900 + k % 7, 1000 + k) for k in range(100)] + [(5, 5)]
+    up = components.UnionFind()
+    for a, b in pairs:
+        up.union(a, b)
+    links = spark.createDataFrame(pairs, "u bigint, v bigint").repartition(8)
+    assert {r["node"]: r["component"] for r in components.components(links).collect()} == dict(up.forest())
+    assert len(written) == 2 if few else len(written) > 3
+
+
 def test_components_without_links(spark):
     df = spark.createDataFrame([(None, 1), (2, None), (None, None), (3, 3)], "u bigint, v bigint")
     assert components.components(df).count() == 0 and components.components(df.limit(0)).count() == 0
