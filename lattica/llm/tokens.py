@@ -4,7 +4,8 @@ Such a tokenizer's ids for a text are those of its words one after another, and
 a word of plain letters, digits and marks are those of its pieces in lower case.  The
 distinct words of a batch, and their distinct pieces, are found column-wise; the
 library encodes each piece once, many at a time, parted by spaces, where each piece ends with
-the next end-of-word token.  Any other word is encoded alone.  Nothing is kept between batches.
+the next end-of-word token.  Any other word is encoded alone.  ``headed`` keeps the ids of a bounded
+number of words and pieces from batch to batch, those that came again before others; nothing else is kept.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ _PIECE = f"([{_LOWER}]+|[0-9]|[{_MARKS}]+)"
 BLOCK = 1000
 #: Runs of ids that are put together at a time.
 RUNS = 1 << 16
+#: Words, and pieces, whose ids a worker keeps, and the most bytes of each.
+KEEP, LONGEST = 400_000, 64
 
 
 def words(text: str) -> list[str]:
@@ -56,6 +59,40 @@ def _offsets(lists: pa.Array) -> np.ndarray:
     return own - own[0]
 
 
+class Kept:
+    """ids of strings that came before, of ``KEEP`` at most."""
+
+    def __init__(self):
+        self.strings, self.ids = pa.array([], pa.large_string()), np.zeros(0, "<u4")
+        self.n, self.again = np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def through(self, distinct: pa.Array, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all, start of each, number of each) for distinct strings; ``encode``, which gives the same, gets only those not kept."""
+        distinct = distinct.cast(pa.large_string())
+        found = pc.index_in(distinct, value_set=self.strings)
+        fresh = pc.is_null(found).to_numpy(zero_copy_only=False)
+        new = distinct.filter(pa.array(fresh))
+        ids, starts, n = encode(new)
+        place = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.again[place[~fresh]] = True
+        place[fresh] = len(self.strings) + np.arange(len(new))
+        ids = np.concatenate([self.ids, ids])
+        starts = np.concatenate([np.cumsum(self.n) - self.n, len(self.ids) + starts])
+        n = np.concatenate([self.n, n])
+        self._keep(pa.concat_arrays([self.strings, new]), ids, starts, n, np.concatenate([self.again, np.zeros(len(new), bool)]))
+        return ids, starts[place], n[place]
+
+    def _keep(self, strings: pa.Array, ids: np.ndarray, starts: np.ndarray, n: np.ndarray, again: np.ndarray) -> None:
+        """The short ones of these; if they are too many, those that came again, the first of them up to half the room."""
+        stay = pc.less_equal(pc.binary_length(strings), LONGEST).to_numpy(zero_copy_only=False)
+        if stay.sum() > KEEP:
+            stay &= again
+            stay[np.flatnonzero(stay)[KEEP // 2 :]] = False
+            again = np.zeros(len(again), bool)
+        self.strings, self.ids = strings.filter(pa.array(stay)), _gathered(ids, starts[stay], n[stay])
+        self.n, self.again = n[stay], again[stay]
+
+
 class Encoder:
     """ids of texts, as little-endian unsigned 32-bit integers."""
 
@@ -68,6 +105,7 @@ class Encoder:
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.strings = [self.library.id_to_token(i) or "" for i in range(size)]
         self.ends = np.array([s.endswith("</w>") for s in self.strings])
+        self.words, self.pieces = Kept(), Kept()
         probe = ["Ab", "c'd", "12", "é.", "!?"]
         if self.alone("\n ".join([*probe, ""])) != b"".join(map(self.alone, probe)):
             raise ValueError("the tokenizer does not drop white space")
@@ -76,9 +114,9 @@ class Encoder:
         """By the library itself."""
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all, number of each)."""
-        data, sizes = [], []
+    def _pieces(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all, start of each, number of each)."""
+        pieces, data, sizes = distinct.to_pylist(), [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
         for k in range(0, len(pieces), BLOCK):
             block = pieces[k : k + BLOCK]
             ids = np.array(self.library.encode(" ".join(block), add_special_tokens=False).ids, "<u4")
@@ -88,17 +126,18 @@ class Encoder:
                 ids, stops = np.concatenate(own), np.cumsum([len(x) for x in own])
             data.append(ids)
             sizes.append(np.diff(stops, prepend=0))
-        return (np.concatenate(data), np.concatenate(sizes)) if data else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        n = np.concatenate(sizes)
+        return np.concatenate(data), np.cumsum(n) - n, n
 
-    def _words(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _words(self, distinct: pa.Array, keep: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all, start of each, number of each) for distinct words without white space."""
         plain = pc.match_substring_regex(distinct, _PLAIN)
         parted = pc.utf8_rtrim(pc.replace_substring_regex(pc.utf8_lower(distinct.filter(plain)), _PIECE, r"\1 "), " ")
         lists = pc.split_pattern(parted, " ")
         coded = lists.flatten().dictionary_encode()
-        ids, sizes = self._pieces(coded.dictionary.to_pylist())
+        ids, begins, sizes = self.pieces.through(coded.dictionary, self._pieces) if keep else self._pieces(coded.dictionary)
         which = coded.indices.to_numpy()
-        split = _gathered(ids, (np.cumsum(sizes) - sizes)[which], sizes[which])
+        split = _gathered(ids, begins[which], sizes[which])
         ends = np.concatenate([[0], np.cumsum(sizes[which])])[_offsets(lists)]
         rest = [np.frombuffer(self.alone(w), "<u4") for w in distinct.filter(pc.invert(plain)).to_pylist()]
         more = np.array([len(x) for x in rest], np.int64)
@@ -109,13 +148,13 @@ class Encoder:
         starts[~flag], n[~flag] = len(split) + np.cumsum(more) - more, more
         return data, starts, n
 
-    def _spread(self, texts: list[str], heads: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    def _spread(self, texts: list[str], heads: list[str], keep: bool = False) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
         """ids of all, ends of the words in them, bounds of the texts in words, and words of each head."""
         odd = any(map(_ODD.search, texts))
         parted = (lambda x: pa.array([words(t) for t in x], pa.list_(pa.string()))) if odd else (lambda x: pc.utf8_split_whitespace(pa.array(x, pa.large_string())))
         lists = parted(texts)
         coded = lists.flatten().dictionary_encode()
-        data, starts, n = self._words(coded.dictionary)
+        data, starts, n = self.words.through(coded.dictionary, lambda new: self._words(new, True)) if keep else self._words(coded.dictionary)
         which, bounds = coded.indices.to_numpy(), _offsets(lists)
         del lists, coded
         sizes = n[which]
@@ -127,7 +166,7 @@ class Encoder:
         """The ids of each text, and how many of them are those of its first line; 0 for a text of one line."""
         at = [t.find("\n") for t in texts]
         heads = [t[:k].rstrip() if k > 0 else "" for t, k in zip(texts, at, strict=True)]
-        raw, ends, bounds, ahead = self._spread(texts, heads)
+        raw, ends, bounds, ahead = self._spread(texts, heads, keep=True)
         stops = (4 * ends[bounds]).tolist()
         first = ends[bounds[:-1] + np.minimum(ahead, np.diff(bounds))] - ends[bounds[:-1]]
         return [raw[a:b] for a, b in zip(stops, stops[1:], strict=False)], np.where([bool(h) for h in heads], first, 0)
@@ -160,7 +199,7 @@ def scanner(path: str, last: int | None = None, answers: bool = False):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for part in slices(batches, most=6 << 20):
+        for part in slices(batches, most=3 << 20):
             texts = part.column(1).to_pylist()
             if answers:
                 ids, starts = own.headed(texts)

@@ -351,6 +351,27 @@ def test_packing_keeps_all_limits():
         assert sorted(x[1] for x in rows) == list(range(len(rows)))
 
 
+@pytest.mark.parametrize("keep", [0, 7, 10**6])
+def test_words_kept_from_slice_to_slice(library, monkeypatch, keep):
+    """Ids are the library's whatever is kept; words that are kept are not encoded again."""
+    monkeypatch.setattr(tokens, "KEEP", keep)
+    own, rng = tokens.Encoder(PATH), random.Random(21)
+    words = ["Ab", "c'd", "x9.", "é!", "\u0130x", "a" * 100, "l'été,", "(1,2)", "<|end|>", "\x1c", "日本", "ß"] + [f"w{k}," for k in range(40)]
+    for _ in range(12):
+        texts = ["", " \n"] + ["\n".join(" ".join(rng.choices(words, k=9)) for _ in range(rng.randrange(1, 4))) for _ in range(6)]
+        ids, heads = own.headed(texts)
+        for t, x, n in zip(texts, ids, heads, strict=True):
+            want = library.encode(t, add_special_tokens=False).ids
+            first = t.split("\n")[0] if "\n" in t else ""
+            assert np.frombuffer(x, "<u4").tolist() == want and n == len(library.encode(first, add_special_tokens=False).ids)
+        assert max(len(own.words.strings), len(own.pieces.strings)) <= keep
+    again = []
+    monkeypatch.setattr(own, "alone", lambda t: again.append(t) or np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+    monkeypatch.setattr(own, "_pieces", lambda new, keep=own._pieces: again.extend(new.to_pylist()) or keep(new))
+    own.headed(texts)
+    assert set(again) <= {"a" * 100} if keep > 1000 else again
+
+
 def test_packing_odd_rows(odd, empty, library):
     rows = packing.packed_documents(odd.where("doc_id <> 5"), PATH).collect()
     want = {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in TEXTS if i not in (5, None)}
