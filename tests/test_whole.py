@@ -27,3 +27,10 @@ def test_joins_read_every_row_and_fan_out(spark):
     assert left.count() - inner.count() == run["jn_07"](spark, SF).count() > 0
     assert run["jn_06"](spark, SF).count() + run["jn_07"](spark, SF).count() == orders
     assert full.count() == left.count() + right.count() - inner.count()
+
+
+def test_no_sketch_for_each_distinct_key(spark):
+    """Beside a distinct count in one aggregate, a sketch of 3 KB is kept and shuffled for every key."""
+    plan = registry.queries()["ag_22"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    keyed = [line for line in plan.splitlines() if "Aggregate(keys=[l_partkey" in line]
+    assert keyed and not any("approx_count_distinct" in line or "hll_" in line for line in keyed)
