@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica import tables
+from lattica.operators import udx
 from lattica.plans.durable import staged
 
 
@@ -101,9 +103,51 @@ def _between(edges: DataFrame, some: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """v, component: the smallest vertex joined with it, by minimum labels and pointer jumping."""
+    """v, component: the smallest vertex joined with it, by pieces found within tasks; a NULL end is no vertex."""
+    ends = _ends(_pieces(edges))
+    found = staged(_spans(ends), "labels")
+    return _renamed(found.select("v", F.col("least").alias("component")), _joined(ends, found))
+
+
+def _pieces(edges: DataFrame) -> DataFrame:
+    """src, dst, piece: edges of a piece are joined, and named by its smallest vertex; pieces may share vertices.
+
+    Every task joins the edges it has, which are few pieces if they come in the order of their components.
+    """
+    tables.reachable(edges.sparkSession)
+    return staged(edges.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).mapInArrow(udx.pieces, "src bigint, dst bigint, piece bigint"), "pieces")
+
+
+def _ends(pieces: DataFrame) -> DataFrame:
+    return pieces.select(F.col("src").alias("v"), "piece").unionAll(pieces.select("dst", "piece")).where("v IS NOT NULL")
+
+
+def _spans(ends: DataFrame) -> DataFrame:
+    """v, least, most: the first and the last of the pieces that a vertex is in."""
+    return ends.groupBy("v").agg(F.min("piece").alias("least"), F.max("piece").alias("most"))
+
+
+def _joined(ends: DataFrame, spans: DataFrame) -> DataFrame | None:
+    """piece, whole: the smallest vertex of all that a piece is joined with, for pieces that share vertices; None if none does."""
+    shared = staged(spans.where("least < most").select("v", "least"), "shared")
+    if shared.isEmpty():
+        return None
+    links = ends.join(shared, "v").where("piece > least").select(F.col("piece").alias("src"), F.col("least").alias("dst"))
+    return _labels(links).select(F.col("v").alias("piece"), F.col("component").alias("whole"))
+
+
+def _renamed(df: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """``df`` with pieces in ``component`` replaced by what they are joined to."""
+    if joined is None:
+        return df
+    both = df.join(joined.withColumnRenamed("piece", "component"), "component", "left")
+    return both.select(*(F.coalesce("whole", c).alias(c) if c == "component" else c for c in df.columns))
+
+
+def _labels(edges: DataFrame) -> DataFrame:
+    """v, component, by minimum labels and pointer jumping."""
     both = staged(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "edges")
-    labels = staged(vertices(edges).withColumn("component", F.col("v")), "labels")
+    labels = staged(both.select(F.col("src").alias("v")).distinct().withColumn("component", F.col("v")), "labels")
     while True:
         near = both.join(labels.select(F.col("v").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("v")).agg(F.min("component").alias("m"))
         lower = labels.join(near, "v", "left").select("v", F.least("component", F.coalesce("m", "component")).alias("component"), F.col("component").alias("was"))

@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,3 +95,52 @@ def chunked(df: DataFrame, key: str, text: str, least: int, mask: int, most: int
             yield pd.DataFrame(out, columns=["key", "start", "size"])
 
     return df.select(key, text).mapInPandas(cut, "key bigint, start bigint, size bigint")
+
+
+#: Edges that a task takes at a time, where components need not be whole.
+HELD = 1 << 20
+#: Rows that a task returns at a time.
+ROWS = 1 << 17
+
+
+def _index(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct vertices in order, and the edges by their places among them."""
+    v, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    return v, at[: len(src)], at[len(src) :]
+
+
+def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n vertices the least one joined with it: roots hook to lesser ones, then pointers jump to the end."""
+    up = np.arange(n)
+    while True:
+        x, y = up[a], up[b]
+        if not (apart := x != y).any():
+            return up
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while ((nxt := up[up]) != up).any():
+            up = nxt
+
+
+def _numbers(c: pa.ChunkedArray) -> np.ndarray:
+    return c.combine_chunks().to_numpy(zero_copy_only=False)
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """src, dst, piece: the least vertex joined with the edge among ``HELD`` edges of the task; a NULL end joins nothing."""
+
+    def out() -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        src, dst = pc.coalesce(t["src"], t["dst"], 0), pc.coalesce(t["dst"], t["src"], 0)
+        v, a, b = _index(_numbers(src), _numbers(dst))
+        yield from t.append_column("piece", pa.array(v[roots(a, b, len(v))][a])).to_batches(ROWS)
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= HELD:
+            yield from out()
+            held, n = [], 0
+    if n:
+        yield from out()

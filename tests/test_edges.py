@@ -304,3 +304,34 @@ def test_discarded_tables_are_gone(spark):
     durable.discard(kept)
     with pytest.raises(Exception):
         spark.read.parquet(kept._staged_at)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_components_of_random_graphs_in_pieces(spark, parts):
+    rng = random.Random(11)
+    pairs = [(rng.randrange(-90, 90), rng.randrange(-90, 90)) for _ in range(80)] + [(k, k + 1) for k in range(200, 230)]
+    want = {v: v for e in pairs for v in e}
+    for _ in want:
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    e = spark.createDataFrame([*pairs, (500, None), (None, 501), (None, None)], "src bigint, dst bigint").repartition(parts)
+    rows = graph.components(e).collect()
+    assert {r["v"]: r["component"] for r in rows} == want | {500: 500, 501: 501} and len(rows) == len(want) + 2
+
+
+@pytest.fixture
+def tables_written(monkeypatch):
+    """The names of the tables that the graph operators stage."""
+    names = []
+    monkeypatch.setattr(graph, "staged", lambda df, name, f=graph.staged: names.append(name) or f(df, name))
+    return names
+
+
+def _chains(spark):
+    """Four chains of 25 edges, in order."""
+    return spark.range(0, 100, 1, 4).selectExpr("id AS src", "CASE WHEN id % 25 = 24 THEN -id ELSE id + 1 END AS dst")
+
+
+def test_components_of_edges_in_order_take_no_rounds(spark, tables_written):
+    found = graph.components(_chains(spark)).groupBy("component").count().collect()
+    assert {(r["component"], r["count"]) for r in found} == {(-24 - 25 * k, 26) for k in range(4)} and len(tables_written) <= 3
