@@ -22,8 +22,49 @@ def degrees(edges: DataFrame) -> DataFrame:
     return each.groupBy("v").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
 
 
+#: Edges of a component whose closure is one task's work; it has the square of its vertices as bytes.
+CLOSED = 1 << 12
+
+
 def closure(edges: DataFrame) -> DataFrame:
-    """All (src, dst) with a path of one edge at least: semi-naive rounds until nothing is new."""
+    """All (src, dst) with a path of one edge at least; a NULL end leads nowhere.
+
+    Components of up to ``CLOSED`` edges are closed whole, each in one task, and larger ones by rounds over all tasks.
+    """
+    pieces = _pieces(edges)
+    small, large = _whole(pieces.where("src IS NOT NULL AND dst IS NOT NULL"), CLOSED)
+    found = _in_tasks(small, udx.paths, "src bigint, dst bigint")
+    if large is not None:
+        found = found.unionAll(_closed_by_rounds(large))
+    odd = staged(pieces.where("src IS NULL OR dst IS NULL").select("src", "dst").distinct(), "odd")
+    if odd.isEmpty():
+        return found
+    found = staged(found, "paths")
+    before, behind = odd.where("dst IS NULL"), odd.where("src IS NULL")
+    to = found.join(before.select(F.col("src").alias("dst")), "dst").select("src", F.lit(None).cast("bigint").alias("dst"))
+    away = behind.select(F.col("dst").alias("src")).join(found, "src").select(F.lit(None).cast("bigint").alias("src"), "dst")
+    through = away.join(before.select(F.col("src").alias("dst")), "dst").unionAll(behind.join(before.select(F.col("src").alias("dst")), "dst"))
+    return found.unionAll(odd.union(to).union(away).union(through.select("src", F.lit(None).cast("bigint").alias("dst"))).distinct())
+
+
+def _whole(pieces: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """src, dst, component of components of at most ``most`` edges, and of the others; None if there are none."""
+    ends = _ends(pieces)
+    placed = _renamed(pieces.withColumnRenamed("piece", "component"), _joined(ends, _spans(ends)))
+    large = staged(placed.groupBy("component").count().where(F.col("count") > most).select("component"), "large")
+    if large.isEmpty():
+        return placed, None
+    large = F.broadcast(large)  # one row for every ``most`` edges at most
+    return placed.join(large, "component", "left_anti"), staged(placed.join(large, "component", "left_semi"), "edges")
+
+
+def _in_tasks(edges: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` on whole components, one after another."""
+    return edges.select("src", "dst", "component").repartition("component").sortWithinPartitions("component").mapInArrow(work, schema)
+
+
+def _closed_by_rounds(edges: DataFrame) -> DataFrame:
+    """Semi-naive rounds until nothing is new."""
     step = staged(edges.select("src", "dst").distinct(), "edges")
     found, new = step, step
     while not new.isEmpty():

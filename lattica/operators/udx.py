@@ -99,8 +99,10 @@ def chunked(df: DataFrame, key: str, text: str, least: int, mask: int, most: int
 
 #: Edges that a task takes at a time, where components need not be whole.
 HELD = 1 << 20
-#: Rows that a task returns at a time.
-ROWS = 1 << 17
+#: Edges after which a task works on the whole components it has read, and rows that it returns at a time.
+BLOCK, ROWS = 1 << 18, 1 << 17
+#: Places for paths that a task has at a time, besides those of one component.
+PLACES = 1 << 23
 
 
 def _index(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,3 +146,71 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, n = [], 0
     if n:
         yield from out()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """src, dst, component of whole components, from edges in order of component."""
+    held, n = [], 0
+    for batch in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in (batch["src"], batch["dst"], batch["component"])]
+        held.append(cols)
+        n += batch.num_rows
+        if n >= BLOCK:
+            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+            cut = int(np.searchsorted(cols[2], cols[2][-1]))  # the last component may go on
+            if cut:
+                yield tuple(c[:cut] for c in cols)
+            held, n = [[c[cut:] for c in cols]], n - cut
+    if n:
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+
+def _sliced(*columns: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(columns[0]), ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + ROWS]) for c in columns], names=names)
+
+
+def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """src, dst of every path, from edges in order of weak component.
+
+    A component of n vertices has n x n places for its paths, so what a block holds is bounded by its
+    edges times the vertices of its largest component.
+    """
+    for src, dst, component in _blocks(batches):
+        # whole components of a block, in runs of bounded places
+        first = np.flatnonzero(np.r_[True, component[1:] != component[:-1]])
+        edges = np.diff(np.r_[first, len(component)])
+        places = np.cumsum((edges + 1).astype(np.int64) ** 2)
+        run = places // PLACES
+        for k in np.flatnonzero(np.r_[True, run[1:] != run[:-1]]):
+            last = int(np.searchsorted(run, run[k], side="right")) - 1
+            yield from _paths(src[first[k] : first[last] + edges[last]], dst[first[k] : first[last] + edges[last]], component[first[k] : first[last] + edges[last]])
+
+
+def _paths(src: np.ndarray, dst: np.ndarray, component: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A vertex is the place of its component among all and its own within; paths grow by one edge a round."""
+    v, a, b = _index(src, dst)
+    own = np.empty(len(v), np.int64)
+    own[a] = own[b] = np.cumsum(np.r_[0, component[1:] != component[:-1]])
+    size = np.bincount(own)
+    order = np.argsort(own, kind="stable")
+    rank = np.empty(len(v), np.int64)
+    rank[order] = np.arange(len(v)) - (np.cumsum(size) - size)[own[order]]
+    row = np.cumsum(size[own]) - size[own]  # where a source's places begin
+    there = np.zeros(int(row[-1] + size[own[-1]]), bool)
+    by = np.argsort(a, kind="stable")
+    to, start = b[by], np.searchsorted(a[by], np.arange(len(v) + 1))
+    x, y = a, b
+    while len(x):
+        place = row[x] + rank[y]
+        fresh = np.unique(place, return_index=True)[1]
+        fresh = fresh[~there[place[fresh]]]
+        x, y = x[fresh], y[fresh]
+        there[place[fresh]] = True
+        n = start[y + 1] - start[y]
+        k = np.repeat(start[y] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        x, y = np.repeat(x, n), to[k]
+    found = np.flatnonzero(there)
+    x = np.searchsorted(row, found, side="right") - 1
+    begin = np.cumsum(size) - size
+    yield from _sliced(v[x], v[order[begin[own[x]] + found - row[x]]], names=["src", "dst"])

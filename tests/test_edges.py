@@ -335,3 +335,19 @@ def _chains(spark):
 def test_components_of_edges_in_order_take_no_rounds(spark, tables_written):
     found = graph.components(_chains(spark)).groupBy("component").count().collect()
     assert {(r["component"], r["count"]) for r in found} == {(-24 - 25 * k, 26) for k in range(4)} and len(tables_written) <= 3
+
+
+@pytest.mark.parametrize(("parts", "closed"), [(1, 1 << 12), (7, 1 << 12), (3, 20)])
+def test_closure_of_random_graphs(spark, monkeypatch, parts, closed):
+    rng = random.Random(12)
+    pairs = [(rng.randrange(-60, 60), rng.randrange(-60, 60)) for _ in range(70)] + [(k, k + 1) for k in range(200, 215)] + [(300, 300), (300, None), (None, 200), (214, None), (None, None)]
+    want = set(pairs)
+    while more := {(a, d) for a, b in want for c, d in pairs if b == c and b is not None} - want:
+        want |= more
+    monkeypatch.setattr(graph, "CLOSED", closed)
+    rows = graph.closure(spark.createDataFrame(pairs, "src bigint, dst bigint").repartition(parts)).collect()
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+
+
+def test_closure_of_chains_takes_no_rounds(spark, tables_written):
+    assert graph.closure(_chains(spark)).count() == 4 * 25 * 26 / 2 and len(tables_written) <= 5
