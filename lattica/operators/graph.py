@@ -104,9 +104,27 @@ def levels(edges: DataFrame) -> DataFrame:
         level += 1
 
 
+#: Edges of a component that are one task's work in strong components.
+WALKED = 1 << 19
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """v, component: the smallest vertex that it reaches and that reaches it.
 
+    Weak components of up to ``WALKED`` edges are walked whole, each in one task, and larger ones by rounds over all tasks.
+    """
+    pieces = _pieces(edges)
+    ends = F.coalesce("src", "dst").alias("src"), F.coalesce("dst", "src").alias("dst")
+    small, large = _whole(pieces.where("src IS NOT NULL OR dst IS NOT NULL").select(*ends, "piece"), WALKED)
+    found = _in_tasks(small, udx.strong_components, "v bigint, component bigint")
+    if large is not None:
+        found = found.unionAll(_strong_by_rounds(large))
+    return found.unionAll(pieces.where("src IS NULL OR dst IS NULL").limit(1).selectExpr("CAST(NULL AS bigint) AS v", "CAST(NULL AS bigint) AS component"))
+
+
+def _strong_by_rounds(edges: DataFrame) -> DataFrame:
+    """v, component in rounds over all tasks.
+
     Vertices without edges in or out are alone.  Others take the largest vertex that reaches them as
     colour; those that reach a vertex of its own colour within the colour are its component.  What is found
     goes, until nothing is left.  Only labels of vertices are kept, never pairs.

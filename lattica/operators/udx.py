@@ -170,6 +170,57 @@ def _sliced(*columns: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c[k : k + ROWS]) for c in columns], names=names)
 
 
+def _strong(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n vertices the least one of its strong component, by Tarjan's method without recursion."""
+    order = np.argsort(a, kind="stable")
+    to, start = b[order].tolist(), np.searchsorted(a[order], np.arange(n + 1)).tolist()
+    at, end = start[:-1], start[1:]
+    seen, low, least, stack, count = [0] * n, [0] * n, [-1] * n, [], 0
+    for top in range(n):
+        if seen[top]:
+            continue
+        path = [top]
+        while path:
+            v = path[-1]
+            if not seen[v]:
+                count += 1
+                seen[v] = low[v] = count
+                stack.append(v)
+            k, stop, down = at[v], end[v], False
+            while k < stop:
+                w = to[k]
+                k += 1
+                if not seen[w]:
+                    path.append(w)
+                    down = True
+                    break
+                if least[w] < 0 and seen[w] < low[v]:
+                    low[v] = seen[w]
+            at[v] = k
+            if down:
+                continue
+            path.pop()
+            if low[v] == seen[v]:
+                i = len(stack) - 1
+                while stack[i] != v:
+                    i -= 1
+                mine = stack[i:]
+                del stack[i:]
+                m = min(mine)
+                for w in mine:
+                    least[w] = m
+            if path and least[v] < 0 and low[v] < low[path[-1]]:
+                low[path[-1]] = low[v]
+    return np.array(least, dtype=np.int64)
+
+
+def strong_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """v, component: the least vertex of the strong component, from edges in order of weak component."""
+    for src, dst, _ in _blocks(batches):
+        v, a, b = _index(src, dst)
+        yield from _sliced(v, v[_strong(a, b, len(v))], names=["v", "component"])
+
+
 def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """src, dst of every path, from edges in order of weak component.
 

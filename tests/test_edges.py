@@ -351,3 +351,22 @@ def test_closure_of_random_graphs(spark, monkeypatch, parts, closed):
 
 def test_closure_of_chains_takes_no_rounds(spark, tables_written):
     assert graph.closure(_chains(spark)).count() == 4 * 25 * 26 / 2 and len(tables_written) <= 5
+
+
+@pytest.mark.parametrize(("parts", "walked"), [(1, 1 << 19), (7, 1 << 19), (3, 25)])
+def test_strong_components_in_tasks_and_in_rounds(spark, monkeypatch, parts, walked):
+    rng = random.Random(13)
+    pairs = [(rng.randrange(-40, 40), rng.randrange(-40, 40)) for _ in range(110)] + [(k, k + 1) for k in range(200, 215)] + [(215, 209), (300, 300), (301, 302), (302, 301)]
+    reach = {v: {v} for e in pairs for v in e}
+    for _ in reach:
+        for a, b in pairs:
+            reach[a] |= reach[b]
+    want = {v: min(w for w in reach[v] if v in reach[w]) for v in reach} | {400: 400, None: None}
+    monkeypatch.setattr(graph, "WALKED", walked)
+    rows = graph.strong_components(spark.createDataFrame([*pairs, (400, None), (None, 200)], "src bigint, dst bigint").repartition(parts)).collect()
+    assert {r["v"]: r["component"] for r in rows} == want and len(rows) == len(want)
+
+
+def test_strong_components_of_chains_take_no_rounds(spark, tables_written):
+    found = graph.strong_components(_chains(spark))
+    assert found.where("v = component").count() == found.count() == 4 * 26 and len(tables_written) <= 5
