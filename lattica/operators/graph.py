@@ -24,6 +24,8 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 #: Edges of a component whose closure is one task's work; it has the square of its vertices as bytes.
 CLOSED = 1 << 12
+#: Edges of a component that one task walks, for cycles and strong components.
+WALKED = 1 << 19
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -86,8 +88,16 @@ def reachable(edges: DataFrame, src: int) -> DataFrame:
 
 
 def has_cycle(edges: DataFrame) -> DataFrame:
-    """One row: has_cycle. Vertices without incoming edges are peeled until none is left or none can be."""
-    return levels(edges).agg(F.coalesce(F.bool_or(F.col("level").isNull()), F.lit(False)).alias("has_cycle"))
+    """One row: has_cycle; a NULL end leads nowhere.
+
+    Weak components of up to ``WALKED`` edges are walked whole, each in one task. Of larger ones, vertices
+    without incoming edges are peeled until none is left or none can be.
+    """
+    small, large = _whole(_pieces(edges).where("src IS NOT NULL AND dst IS NOT NULL"), WALKED)
+    found = _in_tasks(small, udx.cyclic, "cyclic boolean")
+    if large is not None:
+        found = found.unionAll(levels(large).select(F.col("level").isNull()))
+    return found.agg(F.coalesce(F.bool_or("cyclic"), F.lit(False)).alias("has_cycle"))
 
 
 def levels(edges: DataFrame) -> DataFrame:
@@ -104,10 +114,6 @@ def levels(edges: DataFrame) -> DataFrame:
         level += 1
 
 
-#: Edges of a component that are one task's work in strong components.
-WALKED = 1 << 19
-
-
 def strong_components(edges: DataFrame) -> DataFrame:
     """v, component: the smallest vertex that it reaches and that reaches it.
 

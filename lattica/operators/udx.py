@@ -221,6 +221,14 @@ def strong_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield from _sliced(v, v[_strong(a, b, len(v))], names=["v", "component"])
 
 
+def cyclic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """cyclic: whether a block has a cycle: an edge within a strong component; from edges in order of weak component."""
+    for src, dst, _ in _blocks(batches):
+        v, a, b = _index(src, dst)
+        of = _strong(a, b, len(v))
+        yield pa.RecordBatch.from_arrays([pa.array([bool((of[a] == of[b]).any())])], names=["cyclic"])
+
+
 def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """src, dst of every path, from edges in order of weak component.
 

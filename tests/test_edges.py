@@ -370,3 +370,13 @@ def test_strong_components_in_tasks_and_in_rounds(spark, monkeypatch, parts, wal
 def test_strong_components_of_chains_take_no_rounds(spark, tables_written):
     found = graph.strong_components(_chains(spark))
     assert found.where("v = component").count() == found.count() == 4 * 26 and len(tables_written) <= 5
+
+
+@pytest.mark.parametrize(("walked", "more", "cycle"), [(1 << 19, [(7, 3), (7, None)], True), (1 << 19, [(7, None), (None, 0)], False), (1 << 19, [(60, 60)], True), (5, [], False), (5, [(7, 25), (32, 0)], True)])
+def test_cycles_within_and_across_tasks(spark, monkeypatch, walked, more, cycle):
+    monkeypatch.setattr(graph, "WALKED", walked)
+    assert graph.has_cycle(_chains(spark).where("src % 25 < 7").unionAll(spark.createDataFrame(more, "src bigint, dst bigint"))).first()[0] is cycle
+
+
+def test_cycles_of_chains_take_no_rounds(spark, tables_written):
+    assert graph.has_cycle(_chains(spark)).first()[0] is False and len(tables_written) <= 5
